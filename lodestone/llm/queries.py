@@ -7,24 +7,40 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, token_counts
+from lodestone.llm import decontaminate, packing, quality, quality_rules, token_counts
 from lodestone.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 2048
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.scores(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.Items(table(spark, sf_dir, "benchmark"))
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), items))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.totals(token_counts.prefix_table(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack": op1_pack,
+    "op5_quality": op5_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
