@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, near_duplicates, packing, quality, quality_rules, token_counts
+from lodestone.llm import decontaminate, near_duplicates, packing, quality, quality_rules, substrings, token_counts
 from lodestone.llm import sql
 from lodestone.llm.common import table
 
@@ -29,6 +29,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = decontaminate.Items(table(spark, sf_dir, "benchmark"))
     return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), items))
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_near_duplicates": op2_near_duplicates,
     "op5_quality": op5_quality,
+    "op7_substrings": op7_substrings,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
@@ -53,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_near_duplicates": sql.NEAR_DUPLICATES,
+    "op7_substrings": sql.SUBSTRING_DUPLICATES,
     "op8_decontaminate": sql.DECONTAMINATION,
 }
