@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm.common import LOWER_AZ, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
-from lodestone.llm.rows import components, member_filter, numbered, split_by
+from lodestone.llm.rows import components, member_filter, numbered, settled, split_by
 
 WIDTH, PERCENT = 5, 80
 """Words of a shingle, and the least similarity, unless a caller says otherwise."""
@@ -179,6 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the first of those with the smallest id (nulls last). All columns are kept."""
-    found = near_duplicates(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), width, percent, id_col, text_col)
+    docs = settled(docs)
+    found = near_duplicates(docs, width, percent, id_col, text_col)
     first = found.where("kept").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row"))).agg(F.min("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(first.select("__row"), "__row", "left_semi").drop("__row")

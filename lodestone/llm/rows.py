@@ -15,16 +15,19 @@ FILTER_BITS = 26
 """log2 of the bits of a membership filter: 8 MB, whatever the number of members."""
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, if it comes straight from files and so in the same order each time; else as written to the shared folder."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    straight = docs.inputFiles() and not any(word in plan for word in ("Join", "Aggregate", "Repartition", "MapIn", "Union", "Sort", "Window", "Generate", "LogicalRDD", "Sample", "Limit"))
+    return docs if straight else written(docs, "rows")
+
+
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, text: every row with a number of its own, the same each time the result is read.
 
-    Numbers follow from a file scan's splits and order. What doesn't come straight from files is
-    written to the shared folder first.
+    Numbers follow from a file scan's splits and order, which don't depend on the columns read.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    straight = docs.inputFiles() and not any(word in plan for word in ("Join", "Aggregate", "Repartition", "MapIn", "Union", "Sort", "Window", "Generate", "LogicalRDD", "Sample", "Limit"))
-    found = two_columns(docs, id_col, text_col)
-    return (found if straight else written(found, "rows")).withColumn("row", F.monotonically_increasing_id())
+    return two_columns(settled(docs), id_col, text_col).withColumn("row", F.monotonically_increasing_id())
 
 
 def member_filter(members: DataFrame, column: str = "row") -> np.ndarray:
