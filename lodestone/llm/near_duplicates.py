@@ -16,7 +16,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.llm.common import LOWER_AZ, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
 from lodestone.llm.rows import components, member_filter, numbered, settled, split_by
@@ -96,6 +95,18 @@ def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, f"row long, doc_id {kind}, n long, key binary, bands array<long>, sketch array<long>")
 
 
+def full_sets(rows: DataFrame, width: int) -> DataFrame:
+    """row, shingles: the hashes of each row's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingles(t, width).view(np.int64) for t in texts(batch)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield record({"row": ids(batch, "row"), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))})
+
+    return rows.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
 def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of rows whose full sets are similar enough."""
     pairs = written(pairs, "pairs")
@@ -132,10 +143,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     are kept. A row whose id is null is never kept unless nothing else is in its component; then
     component_id is null. An empty table gives an empty one. Other columns are not read.
 
-    Candidates come in three rounds, none of which emits all pairs of a group. First every class
-    that shares a band meets the band's first class. Then each class meets, of the classes that
-    share a band but no component with it, the four with the nearest sketches. Last it meets
-    all such classes whose sketches are near enough for a link; by then hardly any are left.
+    Candidates come in two rounds, neither of which emits the pairs of a group. First every class
+    that shares a band meets the band's first class. Then, in the bands that still hold several
+    components, classes of different ones are compared inside a join that carries the full sets:
+    what leaves it are links. A band that many classes share without being linked costs
+    comparisons in proportion to its pairs, of which Spark deals a large band over several tasks.
     """
     rows = numbered(docs, id_col, text_col)
     found = written(sketches(rows, width, percent), "sketches")
@@ -143,7 +155,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = found.where("key is not null").groupBy("key").agg(F.min("row").alias("node"))
     members = written(found.select("row", "doc_id", "n", "key").join(classes, "key", "left").select("row", "doc_id", "n", "node"), "classes")
     nodes = found.join(members.where("row = node").select("row"), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
     firsts = banded.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"))
     grouped = written(banded.join(firsts, "band"), "bands")
     sketch_of = written(nodes.select("node", "sketch").join(grouped.select("node").distinct(), "node"), "odd")
@@ -156,20 +168,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     star = star.select("a", "b", F.struct("sa").alias("p"), F.struct("sb").alias("q")).where(" + ".join(f"bit_count(p.sa[{i}] ^ q.sb[{i}])" for i in range(SKETCH_WORDS)) + f" <= {most_apart(percent)}").select("a", "b")
     links = confirm(star, rows, width, percent)
     roots = components(links)
-    for nearest in (4, None):
-        rooted = grouped.join(roots, "node", "left").select("node", "n", "band", "first", F.coalesce("root", "node").alias("root"))
-        split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("band")
-        open_ = written(rooted.join(split, "band").where("node <> first").join(sketch_of, "node"), "open")
-        x, y = open_.alias("x"), open_.alias("y")
-        # The smaller root's class is the query where classes of one band are in two components.
-        pairs = x.join(y, F.expr(f"x.band = y.band and x.root > y.root and {alike} and {near}"))
-        pairs = pairs.selectExpr("least(x.node, y.node) a", "greatest(x.node, y.node) b", "x.node node", f"{apart} apart").distinct()
-        if nearest:
-            best = Window.partitionBy("node").orderBy("apart", "a", "b")
-            pairs = pairs.withColumn("__nth", F.row_number().over(best)).where(F.col("__nth") <= nearest)
-        more = confirm(pairs.select("a", "b").distinct(), rows, width, percent)
-        links = links.union(more)
-        roots = components(links)
+    rooted = grouped.join(roots, "node", "left").select("node", "n", "band", "first", "place", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("band")
+    still = written(rooted.join(split, "band").where("node <> first"), "still")
+    wanted = still.select(F.col("node").alias("row")).distinct()
+    maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
+    sets = full_sets(maybe.join(wanted, "row"), width).join(nodes.select(F.col("node").alias("row"), "bands", "sketch"), "row")
+    open_ = still.join(sets.withColumnRenamed("row", "node"), "node")
+    # A pair counts in its first common band only, and only a link leaves the join.
+    seen = " and ".join(f"(x.place <= {i} or x.bands[{i}] <> y.bands[{i}])" for i in range(bands(percent)[0]))
+    linked = f"100 * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n - size(array_intersect(x.shingles, y.shingles)))"
+    more = open_.alias("x").join(open_.alias("y"), F.expr(f"x.band = y.band and x.root > y.root and {alike} and {near} and {seen} and {linked}"))
+    links = links.union(written(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "links"))
+    roots = components(links)
     roots = written(roots, "roots")
     placed = members.join(roots, "node", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "row").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))

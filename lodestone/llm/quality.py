@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import id_field, ids, record, slices, texts, two_columns
@@ -163,7 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 40,
     return model
 
 
-def held_out(id_col: str = "doc_id") -> F.Column:
+def held_out(id_col: str = "doc_id") -> Column:
     """Whether the CRC-32 of the id as text leaves 1 when divided by 3. A null id isn't held out."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
