@@ -42,7 +42,7 @@ def base_class(header: str) -> str | None:
     if at is None:
         return None
     first, depth = "", 0
-    for c in re.split(r"\bwhere\b", header[at + 1 :])[0]:
+    for c in re.split(r"\bwhere\b|[{;]", header[at + 1 :])[0]:
         depth += (c in "<(") - (c in ">)")
         if c == "," and depth == 0:
             break
@@ -62,7 +62,7 @@ def _parens(header: str) -> int:
     return -1
 
 
-def classify(header: str, owner: str | None, owner_is_type: bool) -> tuple[str, str, str | None, str | None] | None:
+def classify(header: str, owner: str | None, owner_is_type: bool, braces: bool) -> tuple[str, str, str | None, str | None] | None:
     """Kind, name, generics and base of what a header declares; None for statements."""
     text = re.sub(r"^(\s*\[(?:[^\[\]]|\[[^\]]*\])*\])+", "", header).strip()
     if m := SPACE.search(text):
@@ -71,7 +71,11 @@ def classify(header: str, owner: str | None, owner_is_type: bool) -> tuple[str,
         return m[1].split()[0], m[2], m[3], base_class(text[m.end() :])
     if not owner_is_type:
         return None
-    head = re.split(r"\bwhere\b|=>|(?<![=!<>])=(?!=)", text)[0].rstrip()
+    outer = text
+    while (inner := re.sub(r"\([^()]*\)", lambda m: "\0" * len(m[0]), outer)) != outer:
+        outer = inner
+    end = re.search(r"\bwhere\b|=>|(?<![=!<>])=(?!=)", outer)
+    head = (text[: end.start()] if end else text).rstrip()
     head = re.sub(r"\)\s*:\s*(?:base|this)\s*\(.*$", ")", head, flags=re.S)
     opened = _parens(head) if head.endswith(")") else -1
     if opened >= 0 and (m := CALLABLE.search(head[: opened + 1])):
@@ -85,7 +89,7 @@ def classify(header: str, owner: str | None, owner_is_type: bool) -> tuple[str,
     if m := NAMED.search(head):
         words = m[1].split()
         if m[2] not in STATEMENTS and not (set(words) & (STATEMENTS - MODIFIERS)) and set(words) - MODIFIERS:
-            return ("event" if "event" in words else "property" if "{" in header or "=>" in header else "field"), m[2], None, None
+            return ("event" if "event" in words else "property" if braces or "=>" in header else "field"), m[2], None, None
     return None
 
 
@@ -108,9 +112,7 @@ def outline(text: str) -> list[Declaration]:
 
     def add(header: str, begin: int, end: int, braces: bool) -> Declaration | None:
         name, is_type = owner()
-        found = classify(header + ("{" if braces and "=>" not in header else ""), name, is_type) if header.strip() else None
-        if found is None:
-            found = classify(header, name, is_type) if header.strip() else None
+        found = classify(header, name, is_type, braces) if header.strip() else None
         if found is None:
             return None
         skip = len(header) - len(header.lstrip())

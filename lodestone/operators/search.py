@@ -31,7 +31,7 @@ def _phrase_hits(postings: DataFrame, words: list[str], prefix: bool, n_columns:
     # Each word's places less its place in the phrase: a phrase stands where all agree.
     found = None
     for i, word in enumerate(words):
-        here = of(word, i == len(words) - 1).select("doc_id", "length", (F.explode("places") - i).alias("place")).distinct()
+        here = of(word, i == len(words) - 1).select("doc_id", "length", F.explode("places").alias("place")).withColumn("place", F.col("place") - i).distinct()
         found = here if found is None else found.join(here.select("doc_id", "place"), ["doc_id", "place"])
     hits = F.array(*[F.count_if(F.shiftright("place", 40) == k) for k in range(n_columns)])
     return found.groupBy("doc_id", "length").agg(hits.alias("hits"))

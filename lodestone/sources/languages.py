@@ -70,5 +70,5 @@ def harvest(spark: SparkSession, mods: dict[str, str], language: str, listed: se
     injected = found.where(F.col("kind") == INJECTED).where(F.col("key").contains("."))
     return {
         "translations": injected.select("def_type", F.substring_index("key", ".", 1).alias("def_name"), F.expr("substring(key, instr(key, '.') + 1)").alias("path"), F.col("text").alias("translated"), F.lit(None).cast("string").alias("original"), F.lit(language).alias("language"), F.col("mod").alias("source_mod"), origin.alias("origin")),
-        "keyed": found.where((F.col("kind") == KEYED) & (F.col("key") != "")).select((F.xxhash64("file", "line") | F.lit(-(1 << 63))).alias("id"), "key", F.col("text").alias("translated"), F.lit(None).cast("string").alias("original"), F.lit(language).alias("language"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), F.col("mod").alias("source_mod"), (F.col("text") == "TODO").alias("placeholder"), origin.alias("origin")),
+        "keyed": found.where((F.col("kind") == KEYED) & (F.col("key") != "")).select(F.xxhash64("file", "line").bitwiseOR(F.lit(-(1 << 63))).alias("id"), "key", F.col("text").alias("translated"), F.lit(None).cast("string").alias("original"), F.lit(language).alias("language"), F.col("file").alias("source_file"), F.col("line").alias("source_line"), F.col("mod").alias("source_mod"), (F.col("text") == "TODO").alias("placeholder"), origin.alias("origin")),
     }
