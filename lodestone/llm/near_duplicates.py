@@ -134,7 +134,9 @@ def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, n_shingles, component_id, kept for every row of docs.
+    """row, root, doc_id, n_shingles, component_id, kept for every row of docs.
+
+    row numbers the rows; root is the number of a component's first one.
 
     Rows are linked if 100 * shared shingles >= percent * all shingles of the two sets. A
     component_id is the smallest id in reach of links; kept says that it is the row's own.
@@ -185,12 +187,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     placed = members.join(roots, "node", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "row").alias("root"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root")
-    return out.select("row", "doc_id", "n_shingles", F.col("component_id").cast(kind), F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("row", "root", "doc_id", "n_shingles", F.col("component_id").cast(kind), F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the first of those with the smallest id (nulls last). All columns are kept."""
     docs = settled(docs)
     found = near_duplicates(docs, width, percent, id_col, text_col)
-    first = found.where("kept").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("row"))).agg(F.min("row").alias("__row"))
+    first = found.where("kept").groupBy("root").agg(F.min("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(first.select("__row"), "__row", "left_semi").drop("__row")
