@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     grouped = written(banded.join(firsts, "band"), "bands")
     sketch_of = written(nodes.select("node", "sketch").join(grouped.select("node").distinct(), "node"), "odd")
     alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    apart = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_WORDS))
+    n_bands = bands(percent)[0]
+    apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_WORDS))
     near = f"{apart} <= {most_apart(percent)}"
 
     star = grouped.where("node <> first").where(f"100 * least(n, first_n) >= {percent} * greatest(n, first_n)").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
@@ -176,10 +177,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     wanted = still.select(F.col("node").alias("row")).distinct()
     maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
     sets = full_sets(maybe.join(wanted, "row"), width).join(nodes.select(F.col("node").alias("row"), "bands", "sketch"), "row")
-    open_ = still.join(sets.withColumnRenamed("row", "node"), "node")
+    # Plain columns keep the join's condition small enough to be compiled.
+    flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
+    open_ = still.join(sets.withColumnRenamed("row", "node"), "node").select("node", "n", "band", "root", "place", "shingles", *flat)
     # A pair counts in its first common band only, and only a link leaves the join.
-    seen = " and ".join(f"(x.place <= {i} or x.bands[{i}] <> y.bands[{i}])" for i in range(bands(percent)[0]))
-    linked = f"100 * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n - size(array_intersect(x.shingles, y.shingles)))"
+    seen = " and ".join(f"(x.place <= {i} or x.b{i} <> y.b{i})" for i in range(n_bands))
+    linked = f"{100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n)"
     more = open_.alias("x").join(open_.alias("y"), F.expr(f"x.band = y.band and x.root > y.root and {alike} and {near} and {seen} and {linked}"))
     links = links.union(written(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "links"))
     roots = components(links)
