@@ -17,7 +17,7 @@ from lodestone.operators import catalog, corpus, graph, keyed, lookup, reverse,
 from lodestone.operators.paging import MAX_LIMIT, UsageError, limit_of, offset_of
 from lodestone.plans.predicates import PathQuery
 from lodestone.plans.scope import ScopeError, parse
-from lodestone.report import Block, Kind, Report, name_list, page_notice
+from lodestone.report import Block, Kind, Report, counted, name_list, page_notice
 from lodestone.sources import settings as config
 
 
@@ -176,14 +176,14 @@ class Context:
         """How many rows the same query has in what a pure exclusion leaves out."""
         rest = self.scope.complement() if self.scope else None
         if rest and (n := page_of(rest).total()):
-            self.report.note(Kind.FILTER, f"{n} more {noun}s are in the excluded mods", total=n)
+            self.report.note(Kind.FILTER, f"in the excluded mods: {counted(n, noun)}", total=n)
 
 
 def run_search(c: Context) -> None:
     query = c.need(0, "query")
     stage, page, total = search.cascade(c.snapshot, query, c.scope, c.args.get("type"), c.limit, c.offset)
     shown = c.report.table("results", page)
-    c.report.add(page_notice(shown, total, "entity match" if total == 1 else "entity matche"))
+    c.report.add(page_notice(shown, total, "match"))
     if stage in ("original", "fuzzy"):
         c.report.note(Kind.ADVISORY, {"original": "found by the originals of texts", "fuzzy": "found by names that are like it"}[stage])
     if not total:
@@ -216,7 +216,7 @@ def run_where(c: Context) -> None:
     n = counts.first()
     shown = c.report.table("matches", page.take(c.limit, c.offset))
     c.report.add(page_notice(shown, n.matches, "row"))
-    c.report.note(Kind.COUNT, f"in {n.defs} entities", total=n.defs)
+    c.report.note(Kind.COUNT, f"in {counted(n.defs, 'entity')}", total=n.defs)
     if n.matches:
         for finding in triage.advisories(c.snapshot, path, value, exact, c.scope, n.matches):
             c.report.note(Kind.ADVISORY, finding.text + (f": {name_list(list(finding.names))}" if finding.names else ""))
@@ -284,7 +284,7 @@ def run_code_search(c: Context) -> None:
     n = corpus.match_counts(matches).first()
     shown = c.report.table("lines", corpus.shown(matches, limit=c.limit))
     c.report.add(page_notice(shown, n.lines, "line"))
-    c.report.note(Kind.COUNT, f"in {n.files} files", total=n.files)
+    c.report.note(Kind.COUNT, f"in {counted(n.files, 'file')}", total=n.files)
 
 
 def run_read(c: Context) -> None:

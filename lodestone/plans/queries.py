@@ -187,7 +187,10 @@ query(
     "select * from (select def_name, case when n = q then 100.0 when starts_with(n, q) then 90.0 when e <= 2 and e <= length(q) * 0.3 then least(95.0 - 5 * e + case when abs(length(n) - length(q)) <= 1 then 3 else 0 end, 95.0) when len(list_filter(regexp_split_to_array(n, '[_.\\-\\s]+'), lambda w: starts_with(w, q))) > 0 then 80.0 when e <= 3 and 1 - e / greatest(length(n), length(q)) >= 0.75 then 70 * (1 - e / greatest(length(n), length(q))) end::double score from (select distinct def_name, lower(def_name) n, 'red widgte' q, levenshtein(lower(def_name), 'red widgte') e from defs where def_type = 'part')) where score >= 60",
 )(lambda s: s.defs.where("def_type = 'part'").select("def_name").distinct().withColumn("score", text.fuzzy_score("def_name", "red widgte")).where("score >= 60"))
 query("t17_cascade", "select id, def_name from ix_score join defs on id = doc_id", INDEXED + ", " + _bm25("ix", ["starts_with(term, 'small')", "starts_with(term, 'gizmo')"], search.DEF_WEIGHTS))(lambda s: search.cascade(s, "small gizmo", limit=None)[1].select("id", "def_name"))
-query("t19_matched_on", "select id, case when regexp_matches(lower(def_name), '(^|[^a-z])red') then 'def_name+description' end matched_on from defs where def_type = 'part' and regexp_matches(lower(def_name), '(^| )red') and false")(lambda s: search.matched_on(s, s.defs.where("def_type = 'part' and def_name like 'red%' and false"), "red").select("id", "matched_on"))
+query("t19_matched_on", f"select id, case when len(list_filter({_TOKENS.format('def_name')}, lambda x: starts_with(x, 'red'))) > 0 then 'def_name' else 'indexed text' end matched_on from defs where def_type = 'part'")(lambda s: search.matched_on(s, s.defs.where("def_type = 'part'"), "red").select("id", "matched_on"))
+query("t19_matched_texts", f"select id, coalesce(p, 'indexed text') matched_on from defs left join (select def_id, min(path) p from translations where len(list_filter({_TOKENS.format('translated')}, lambda x: starts_with(x, 'eaque'))) > 0 and def_id is not null group by 1) t on t.def_id = id where def_type = 'orders' and def_name not in (select def_name from translations where def_id is null)")(
+    lambda s: search.matched_on(s, s.defs.where("def_type = 'orders'").join(s.translations.where("def_id is null").select("def_name"), "def_name", "left_anti"), "eaque").select("id", "matched_on")
+)
 
 # Inheritance
 

@@ -41,8 +41,11 @@ class Block:
     rows: list[tuple]
 
 
-def counted(n: int, noun: str, plural: str | None = None) -> str:
-    return f"{n} {noun if n == 1 else plural or noun + 's'}"
+PLURALS = {"entity": "entities", "child": "children", "match": "matches"}
+
+
+def counted(n: int, noun: str) -> str:
+    return f"{n} {noun if n == 1 else PLURALS.get(noun, noun + 's')}"
 
 
 def page_notice(shown: int, total: int, noun: str, at_least: bool = False) -> Notice:

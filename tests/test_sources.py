@@ -161,7 +161,7 @@ def test_command_line(spark, tmp_path):
     code, text = run("where", "compClass", "CompShield", "--json")
     assert code == 0 and len(json.loads(text)["matches"]) == 2
     code, text = run("list", "ThingDef", "-n", "2", "--mods", "-test.mod")
-    assert code == 0 and "showing the first 2" in text and "4 more entitys" in text
+    assert code == 0 and "showing the first 2" in text and "in the excluded mods: 4 entities" in text
     assert run("where", "nothing", "x")[0] == 1 and run("wher", "x")[0] == 2 and run("list", "--bogus")[0] == 2
     assert run("search", "VoidNode")[0] == 0 and run("get", "Firefoam", "--type", "ThingDef")[0] == 0 and run("snapshot", "list")[0] == 0
     for argv in (["fields", "ThingDef"], ["values", "compClass"], ["mods"], ["inherit", "Bullet_Revolver", "--path-contains", "thingClass"], ["keyed", "CommandSettle"], ["snapshot", "status"], ["snapshot", "truncated"]):
