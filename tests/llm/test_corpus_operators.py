@@ -202,7 +202,7 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert len(got) == len(ODD)
     by = {(r["doc_id"], r["n_shingles"] > 0): r for r in got}
     assert by[6, True]["component_id"] == 1 and not by[6, True]["kept"] and by[1, True]["kept"]
-    assert by[2, False]["component_id"] == 2 and by[None, True] | {"row": 0, "n_shingles": 0} == {"row": 0, "doc_id": None, "n_shingles": 0, "component_id": None, "kept": True}
+    assert by[2, False]["component_id"] == 2 and by[None, True] | {"row": 0, "root": 0, "n_shingles": 0} == {"row": 0, "root": 0, "doc_id": None, "n_shingles": 0, "component_id": None, "kept": True}
     assert rows(near_duplicates.near_duplicates(empty)) == [] and rows(near_duplicates.keep_one(empty)) == []
     kept = rows(near_duplicates.keep_one(odd))
     assert Counter(r["doc_id"] for r in kept) == Counter([1, 2, 3, 3, 4, None, 5, 7]) and set(kept[0]) == {"doc_id", "text", "lang", "row", "score"}
