@@ -68,20 +68,18 @@ def facts_of(field_values: DataFrame, defs: DataFrame) -> DataFrame:
     return out.join(about, "def_id")
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes a snapshot's tables; meta comes last, so that a snapshot without it is known to be unfinished.
+def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Writes a snapshot's table and reads it again.
 
     facts are range-partitioned and sorted by leaf: a query that names a field reads the row
-    groups of that field and skips the others.
+    groups of that field and skips the others. Postings likewise by term.
     """
-    for name in TABLES[1:]:
-        df = tables[name]
-        if name == "facts":
-            df = df.repartitionByRange("leaf_fold", "def_id").sortWithinPartitions("leaf_fold", "def_id", "seq")
-        elif name in ("postings", "keyed_postings"):
-            df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        df.write.parquet(f"{path}/{name}")
-    tables["meta"].write.parquet(f"{path}/meta")
+    if name == "facts":
+        df = df.repartitionByRange("leaf_fold", "def_id").sortWithinPartitions("leaf_fold", "def_id", "seq")
+    elif name in ("postings", "keyed_postings"):
+        df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    df.write.parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 def open_snapshot(spark: SparkSession, path: str) -> Snapshot:

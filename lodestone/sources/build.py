@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import afold, is_noise
 from lodestone.functions.text import for_index, tokens
-from lodestone.model import SAME, SCHEMA_VERSION, facts_of
+from lodestone.model import SAME, SCHEMA_VERSION, facts_of, write_table
 
 SHARED_LEAST = 8
 """Entities that must have a value before it can count as shared by their type."""
@@ -66,21 +66,21 @@ def postings(rows: DataFrame, id_col: str, columns: tuple[tuple[str, bool], ...]
     return flat.groupBy("doc_id", "length", "term").agg(hits.alias("hits"), F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def complete(meta: dict[str, str], tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All tables of a snapshot, from the raw ones (defs, field_values, translations, keyed, xml_nodes, mods)."""
-    defs, spark = tables["defs"], tables["defs"].sparkSession
-    translations = resolve_owners(tables["translations"], defs) if "def_id" not in tables["translations"].columns else tables["translations"]
-    facts = facts_of(without_noise(tables["field_values"]), defs)
-    named = defs.join(indexed_text(defs, translations), "id", "left")
-    return {
-        "meta": spark.createDataFrame(sorted((meta | {"schema_version": SCHEMA_VERSION}).items()), "key string, value string"),
-        "defs": defs.withColumn("name_fold", afold("def_name")),
-        "facts": facts,
-        "translations": translations,
-        "keyed": tables["keyed"].where("key <> ''"),
-        "xml_nodes": tables["xml_nodes"],
-        "shared_values": shared_values(facts, defs),
-        "mods": tables["mods"],
-        "postings": postings(named, "id", DEF_COLUMNS),
-        "keyed_postings": postings(tables["keyed"].where("key <> ''"), "id", KEYED_COLUMNS),
-    }
+def publish(meta: dict[str, str], tables: dict[str, DataFrame], path: str) -> None:
+    """Writes a snapshot from the raw tables (defs, field_values, translations, keyed, xml_nodes, mods).
+
+    What later tables are built from is read back from where it was written, so each source is
+    read once. meta comes last: a snapshot without it is known to be unfinished.
+    """
+    spark = tables["defs"].sparkSession
+    defs = write_table(tables["defs"].withColumn("name_fold", afold("def_name")), path, "defs")
+    raw = tables["translations"]
+    translations = write_table(raw if "def_id" in raw.columns else resolve_owners(raw, defs), path, "translations")
+    keyed = write_table(tables["keyed"].where("key <> ''"), path, "keyed")
+    facts = write_table(facts_of(without_noise(tables["field_values"]), defs), path, "facts")
+    write_table(shared_values(facts, defs), path, "shared_values")
+    write_table(tables["xml_nodes"], path, "xml_nodes")
+    write_table(tables["mods"], path, "mods")
+    write_table(postings(defs.join(indexed_text(defs, translations), "id", "left"), "id", DEF_COLUMNS), path, "postings")
+    write_table(postings(keyed, "id", KEYED_COLUMNS), path, "keyed_postings")
+    write_table(spark.createDataFrame(sorted((meta | {"schema_version": SCHEMA_VERSION}).items()), "key string, value string"), path, "meta")

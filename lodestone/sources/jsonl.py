@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.model import Snapshot, SnapshotError, open_snapshot, save
-from lodestone.sources.build import complete
+from lodestone.model import Snapshot, SnapshotError, open_snapshot
+from lodestone.sources.build import publish
 
 FORMAT_VERSION = 4
 
@@ -120,7 +120,7 @@ def import_export(spark: SparkSession, source: str, target: str, harvested: dict
     store = final.getFileSystem(spark._jsc.hadoopConfiguration())
     store.delete(place, True)
     try:
-        save(complete(facts, raw), unfinished)
+        publish(facts, raw, unfinished)
         store.delete(final, True)
         if not store.rename(place, final):
             raise SnapshotError(f"{target} can't be published")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.model import Snapshot, open_snapshot, save
+from lodestone.model import Snapshot, open_snapshot
 from lodestone.shared import shared_path
-from lodestone.sources.build import complete
+from lodestone.sources.build import publish
 
 NATIONS = "select n_nationkey, n_name, r_name from {nation} join {region} on n_regionkey = r_regionkey"
 
@@ -109,7 +109,7 @@ def snapshot_of(spark: SparkSession, sf_dir: str) -> Snapshot:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _open:
         path = shared_path(spark, "snapshot")
-        save(complete({"source_file": sf_dir, "language": "English", "game_version": "1.0"}, raw_tables(spark, sf_dir)), path)
+        publish({"source_file": sf_dir, "language": "English", "game_version": "1.0"}, raw_tables(spark, sf_dir), path)
         _open[key] = open_snapshot(spark, path)
     return _open[key]
 
