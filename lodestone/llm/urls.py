@@ -55,7 +55,8 @@ def template_tree(pages: DataFrame) -> DataFrame:
     """
     counts = written(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")), "shapes")
     tree = counts.withColumn("parts", F.split("shape", "/", DEPTH + 2)).withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 2):  # parts[0] is what stands before the first slash
+    deepest = min(DEPTH + 2, tree.agg(F.max(F.size("parts"))).first()[0] or 1)
+    for level in range(1, deepest):  # parts[0] is what stands before the first slash
         here = tree.withColumn("part", F.when(F.size("parts") > level, F.lit("**") if level > DEPTH else F.col("parts")[level]))
         parent = here.where("part is not null").groupBy("host", "template").agg(F.sum("n").alias("n_all"), F.sum("labelled").alias("l_all"), F.sum("good").alias("g_all"))
         child = here.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n_of"), F.sum("labelled").alias("l_of"), F.sum("good").alias("g_of"))
