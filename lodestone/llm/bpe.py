@@ -18,7 +18,7 @@ import numpy as np
 import regex
 import tiktoken
 
-CACHE = 250_000
+CACHE = 150_000
 """Segments in each of a cache's two generations."""
 
 PAIRS = 2_000_000

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ SLICE_BYTES = 8 << 20
 """Text bytes that one Python step holds as numpy arrays at once."""
 
 
+BATCH_ROWS = 1_000
+"""Rows of a batch that Spark hands to Python."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,8 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Spark hand texts to Python BATCH_ROWS at a time, so that a worker holds few of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so that no other column can clash."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
@@ -69,7 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         if column.nbytes <= limit:
             yield batch
             continue
-        sizes = np.array([len(x) if x is not None else 0 for x in column.to_pylist()]) + 1
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:
@@ -89,6 +102,19 @@ def ids(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n different rows whose keys have the lowest hashes, or all if there are fewer.
+
+    A first count sets a bound on the hash that lets through hardly more than n rows, so that
+    however many partitions there are, few rows meet in the last sort.
+    """
+    total = rows.count()
+    if total > 2 * n:
+        share = (1.5 * n + 100) / total
+        rows = rows.where(F.xxhash64(key) < int(-(1 << 63) + share * (1 << 64)))
+    return rows.distinct().orderBy(F.xxhash64(key), key).limit(n)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_field, ids, record, slices, spans_of, texts, two_columns
+from lodestone.llm.common import bounded_batches, id_field, ids, record, slices, spans_of, texts, two_columns
 
 WINDOW = 10
 """Consecutive item words that count as an occurrence; a shorter item counts whole."""
@@ -278,4 +278,5 @@ def remove(docs: DataFrame, items: Items, text_col: str = "text", max_coverage:
             out = batch.set_column(at, text_col, pa.array([t for t, _ in new], batch.schema.field(at).type))
             yield out.filter(pa.array([not bad for _, bad in new], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_field, ids, record, slices, texts, two_columns
+from lodestone.llm.common import bounded_batches, bounded_sample, id_field, ids, record, slices, texts, two_columns
 
 # The kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
@@ -206,8 +206,8 @@ def fit(sample: list[str]) -> Field:
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Field:
     """A field fitted on at most `sample` texts of at most `size` bytes that have a digit or an @."""
     text = F.col(f"`{text_col}`")
-    chosen = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= size)).distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
-    return fit([r.text for r in chosen.collect()])
+    known = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= size))
+    return fit([r.text for r in bounded_sample(known, "text", sample).collect()])
 
 
 def added_spans(batch_texts: list[str | None], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:
@@ -294,4 +294,5 @@ def mask(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
             new = [masked(t, b + m) if b or m else t for t, b, m in zip(text, base, more, strict=True)]
             yield batch.set_column(at, text_col, pa.array(new, batch.schema.field(at).type))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import id_field, ids, record, slices, texts, two_columns
+from lodestone.llm.common import bounded_batches, bounded_sample, id_field, ids, record, slices, texts, two_columns
 from lodestone.llm.features import Counts
 
 FEATURES = (
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of ids without a document. Of an id with several documents all count, up to four times the sample.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
-    chosen = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = bounded_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", sample)
     rows = two_columns(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     got = measure(rows, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("features", "label").limit(4 * sample).toArrow()
     x = np.array(got.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
@@ -210,4 +210,5 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: floa
             score = sent.value.score(np.array([features(t) for t in texts(batch, text_col)], float))
             yield batch.filter(pa.array(score >= least))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)
