@@ -1,4 +1,9 @@
-"""Cross-entropy difference: two n-gram models over one vocabulary, and the losses between them."""
+"""Cross-entropy difference: two n-gram models over one vocabulary, and the losses between them.
+
+Pairs of tokens are counted exactly, in a table that grows with the corpus and stays distributed.
+Texts are coded once and kept in chunks of neighbouring rows; a chunk asks for the counts of its
+different pairs only, and these come back to it by a join.
+"""
 
 from __future__ import annotations
 
@@ -10,89 +15,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
-from lodestone.llm.common import id_field, ids, mix, record, slices, texts, two_columns
+from lodestone.llm.common import id_field, record, slices, texts, two_columns, written
 from lodestone.llm.rows import member_filter, split_by
 
-PAIR_BITS = 21
-"""log2 of the cells in which a model counts its token pairs; pairs that share a cell share its count."""
-BLOCK = 1 << 14
+CHUNK = 1 << 20
+"""Tokens after which a chunk of texts ends."""
 SLICE = 2 << 20
-"""Text bytes whose tokens are held as arrays at once."""
+"""Text bytes that are coded at once."""
+STEP = 1 << 18
+"""Bytes of codes that are scored at once."""
 PULL = 30.0
 """Pairs that the single-token model counts for after every token."""
 
 
 def cells_of(codes: np.ndarray, before: np.ndarray, n_tokens: int) -> np.ndarray:
-    """The cell of each token's pair with the token before it."""
-    pair = before.astype(np.uint64) << np.uint64(32) | codes.astype(np.uint64)
-    return (mix(pair) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + n_tokens + 1
+    """A number of its own for each token's pair with the token before it."""
+    return before.astype(np.int64) << 32 | codes.astype(np.int64)
+
+
+def kind_of(n_tokens: int) -> str:
+    """The type in which tokens are kept."""
+    return "<u2" if n_tokens <= 1 << 16 else "<u4"
 
 
-def coded(model: bpe.Bpe, held: list[str | None], n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(parts: list[bytes], n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of all texts in one array, the token before each (n_tokens at a text's start), and the texts' lengths."""
-    parts = [model.ids(t) if t else b"" for t in held]
-    lengths = np.array([len(p) // 4 for p in parts], np.int64)
-    codes = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+    kind = np.dtype(kind_of(n_tokens))
+    lengths = np.array([len(p) // kind.itemsize for p in parts], np.int64)
+    codes = np.frombuffer(b"".join(parts), kind).astype(np.int64)
     before = np.append(n_tokens, codes[:-1])[: len(codes)]
     starts = np.cumsum(lengths) - lengths
     before[starts[lengths > 0]] = n_tokens
     return codes, before, lengths
 
 
-def counts(docs: DataFrame, vocabulary: str, text_col: str = "text") -> np.ndarray:
-    """How often each token and each pair's cell occurs in all texts.
+def coded(docs: DataFrame, vocabulary: str, n_tokens: int, id_type: str) -> DataFrame:
+    """row, chunk, doc_id, codes: the tokens of every row, written to the shared folder.
 
-    Tasks send what they have counted in blocks of cells; the driver gets one row for each
-    block: a number that the vocabulary and PAIR_BITS fix, whatever the size of docs.
+    row numbers the rows in their order; a chunk is a run of rows and has its first row's number.
     """
+    kind, most = np.dtype(kind_of(n_tokens)), CHUNK
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(vocabulary)
-        n_tokens = max(*model.ranks.values(), *model.special.values()) + 1
-        held = np.zeros(n_tokens + 1 + (1 << PAIR_BITS), np.int64)
+        chunk, held = None, 0
         for batch in slices(batches, limit=SLICE):
-            codes, before, lengths = coded(model, texts(batch), n_tokens)
-            held += np.bincount(codes, minlength=len(held))
-            held += np.bincount(cells_of(codes, before, n_tokens), minlength=len(held))
-            held[n_tokens] += int((lengths > 0).sum())
-        for block in range(-(-len(held) // BLOCK)):
-            part = held[block * BLOCK : (block + 1) * BLOCK]
-            cell = np.flatnonzero(part)
-            if len(cell):
-                yield record({"block": pa.array([block], pa.int32()), "cells": pa.array([cell.astype(np.uint16).tobytes()], pa.binary()), "n": pa.array([part[cell].tobytes()], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.int64)
-        for cells, n in zip(table.column("cells").to_pylist(), table.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.int64)
-        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "block int, cells binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary").toArrow()
-    model = bpe.load(vocabulary)
-    n_tokens = max(*model.ranks.values(), *model.special.values()) + 1
-    out = np.zeros((n_tokens + 1 + (1 << PAIR_BITS)) // BLOCK * BLOCK + BLOCK, np.int64)
-    for block, n in zip(rows.column("block").to_pylist(), rows.column("n").to_pylist(), strict=True):
-        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(n, np.int64)
-    return out[: n_tokens + 1 + (1 << PAIR_BITS)]
+            parts = [np.frombuffer(model.ids(t), "<u4").astype(kind).tobytes() if t else b"" for t in texts(batch)]
+            chunks = []
+            for row, part in zip(batch.column(0).to_pylist(), parts, strict=True):
+                if chunk is None or held >= most:
+                    chunk, held = row, 0
+                chunks.append(chunk)
+                held += len(part) // kind.itemsize
+            yield record({"row": batch.column(0), "chunk": pa.array(chunks, pa.int64()), "doc_id": batch.column(1), "codes": pa.array(parts, pa.binary())})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return written(rows.mapInArrow(run, f"row long, chunk long, doc_id {id_type}, codes binary"), "codes")
+
+
+def pair_counts(rows: DataFrame, n_tokens: int) -> DataFrame:
+    """chunk, pair, n: how often each different pair occurs in runs of rows of a chunk (of a task, if rows have no chunk)."""
+    by_chunk = "chunk" in rows.columns
+    wide = np.dtype(kind_of(n_tokens)).itemsize * CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            codes, before, _ = joined(held, n_tokens)
+            pair, n = np.unique(cells_of(codes, before, n_tokens), return_counts=True)
+            return record({"chunk": pa.array(np.full(len(pair), at, np.int64)), "pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
+
+        held, size, at = [], 0, 0
+        for batch in batches:
+            chunks = batch.column(1).to_pylist() if by_chunk else [0] * batch.num_rows
+            for part, chunk in zip(batch.column(0).to_pylist(), chunks, strict=True):
+                if size and (chunk != at or not by_chunk and size >= wide):
+                    yield counted()
+                    held, size = [], 0
+                at = chunk
+                if part:
+                    held.append(part)
+                    size += len(part)
+        if size:
+            yield counted()
+
+    return rows.select("codes", *["chunk"] * by_chunk).mapInArrow(run, "chunk long, pair long, n long")
 
 
 class Bigrams:
     """Token pairs, smoothed by single tokens, those by equal shares."""
 
     def __init__(self, found: np.ndarray, n_tokens: int):
+        """found: how often each token occurs, and at n_tokens how many texts have tokens."""
         self.n_tokens = n_tokens
         single = found[:n_tokens] + 1.0
         self.single = (single / single.sum()).astype(np.float32)
-        self.context = (found[: n_tokens + 1] + PULL).astype(np.float32)
-        self.pairs = found.astype(np.float32)
+        self.context = (found + PULL).astype(np.float32)
 
-    def losses(self, codes: np.ndarray, before: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Bits that each token takes."""
-        return np.log2(self.context[before]) - np.log2(self.pairs[cells] + PULL * self.single[codes])
+    def losses(self, codes: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Bits that each token takes; pairs: how often the token's pair occurs."""
+        return np.log2(self.context[before]) - np.log2(pairs + np.float32(PULL) * self.single[codes])
+
+
+def singles(table: DataFrame, n_tokens: int) -> list[np.ndarray]:
+    """How often each token occurs, and texts with tokens, by the background's and the target's pairs.
+
+    Every token is the second of one pair. The driver gets a row for each token at most.
+    """
+    sums = (F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    tokens = table.groupBy(F.col("pair").bitwiseAND((1 << 32) - 1).alias("token")).agg(*sums)
+    starts = table.where(F.shiftright("pair", 32) == n_tokens).groupBy().agg(*sums).select(F.lit(n_tokens).cast("long").alias("token"), "n", "n_target").where("n is not null")
+    found = tokens.union(starts).toArrow()
+    out = []
+    for name in ("n", "n_target"):
+        out.append(np.zeros(n_tokens + 1, np.int64))
+        out[-1][found.column("token").to_numpy()] = found.column(name).to_numpy()
+    return out
 
 
 def scores(docs: DataFrame, target: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for every row of docs.
+    """doc_id, n_tokens, target_loss, background_loss, score for every row of docs, in the order of docs.
 
     target: a column id_col with the ids of the rows that are as wanted. Its model counts
     their texts, the background's all texts; both count all they have, over the vocabulary's
@@ -101,27 +142,42 @@ def scores(docs: DataFrame, target: DataFrame, vocabulary: str, id_col: str = "d
     Null ids are never target. Repeated rows are kept, one row each, and all count; an empty
     table gives an empty one. Other columns are not read.
     """
-    rows = two_columns(docs, id_col, text_col)
+    id_type = id_field(docs, id_col)
+    model = bpe.load(vocabulary)
+    n_tokens = max(*model.ranks.values(), *model.special.values()) + 1
+    rows = coded(two_columns(docs, id_col, text_col), vocabulary, n_tokens, id_type)
     wanted = target.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null").distinct()
-    maybe, _ = split_by(rows, member_filter(wanted, "doc_id"), "doc_id")
-    n_tokens = len(background := counts(rows, vocabulary, "text")) - 1 - (1 << PAIR_BITS)
-    models = tuple(Bigrams(c, n_tokens) for c in (counts(maybe.join(wanted, "doc_id", "left_semi"), vocabulary, "text"), background))
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = bpe.load(vocabulary)
-        for batch in slices(batches, limit=SLICE):
-            codes, before, lengths = coded(model, texts(batch), n_tokens)
-            cells = cells_of(codes, before, n_tokens)
-            some = lengths > 0
-            starts = (np.cumsum(lengths) - lengths)[some]
-            means = []
-            for m in sent.value:
-                mean = np.zeros(len(lengths))
+    maybe, _ = split_by(rows.select("codes", "doc_id"), member_filter(wanted, "doc_id"), "doc_id")
+    asked = written(pair_counts(rows, n_tokens), "asked")
+    liked = pair_counts(maybe.join(wanted, "doc_id", "left_semi"), n_tokens).groupBy("pair").agg(F.sum("n").alias("n_target"))
+    table = asked.groupBy("pair").agg(F.sum("n").alias("n")).join(liked, "pair", "left")
+    table = written(table.select("pair", "n", F.coalesce("n_target", F.lit(0)).cast("long").alias("n_target")), "pairs")
+    background, wished = (Bigrams(c, n_tokens) for c in singles(table, n_tokens))
+    sent = docs.sparkSession.sparkContext.broadcast((wished, background))
+    schema = f"row long, doc_id {id_type}, n_tokens long, target_loss double, background_loss double"
+
+    def score(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
+        bpe.load.cache_clear()  # the worker has coded its texts
+        pairs, first = np.unique(answers.column("pair").to_numpy(), return_index=True)
+        counts = [answers.column(name).to_numpy()[first].astype(np.float32) for name in ("n_target", "n")]
+        parts = texts_of.column("codes").to_pylist()
+        part_of = np.cumsum([len(p) for p in parts]) // STEP
+        lengths, means = [], ([], [])
+        for step in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(part_of)) + 1):
+            codes, before, n = joined([parts[i] for i in step], n_tokens)
+            at = np.searchsorted(pairs, cells_of(codes, before, n_tokens))
+            some = n > 0
+            starts = (np.cumsum(n) - n)[some]
+            lengths.append(n)
+            for m, count, out in zip(sent.value, counts, means, strict=True):
+                mean = np.zeros(len(n))
                 if len(starts):
-                    mean[some] = np.add.reduceat(m.losses(codes, before, cells), starts, dtype=np.float64) / lengths[some]
-                means.append(pa.array(mean, pa.float64(), mask=~some))
-            yield record({"doc_id": ids(batch), "n_tokens": pa.array(lengths), "target_loss": means[0], "background_loss": means[1]})
-
-    out = rows.mapInArrow(run, f"doc_id {id_field(docs, id_col)}, n_tokens long, target_loss double, background_loss double")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+                    mean[some] = np.add.reduceat(m.losses(codes, before, count[at]), starts, dtype=np.float64) / n[some]
+                out.append(mean)
+        n = np.concatenate(lengths)
+        target_loss, background_loss = (pa.array(np.concatenate(m), pa.float64(), mask=n == 0) for m in means)
+        return pa.table({"row": texts_of.column("row"), "doc_id": texts_of.column("doc_id"), "n_tokens": pa.array(n), "target_loss": target_loss, "background_loss": background_loss})
+
+    answers = asked.select("chunk", "pair").join(table, "pair").select("chunk", "pair", "n", "n_target")
+    out = written(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "losses")
+    return out.orderBy("row").drop("row").withColumn("score", F.col("target_loss") - F.col("background_loss"))

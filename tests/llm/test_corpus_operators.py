@@ -374,6 +374,27 @@ def test_lm_scores(spark, odd, empty, tokenizer):
     assert rows(lm.scores(empty, target, VOCABULARY)) == [] and len(rows(lm.scores(odd, target.limit(0), VOCABULARY))) == len(ODD)
 
 
+def test_pairs_of_tokens_never_share_a_count():
+    codes, before = np.meshgrid(np.arange(3000), np.arange(3000))
+    assert len(np.unique(lm.cells_of(codes.ravel(), before.ravel(), 50257))) == codes.size
+
+
+def test_lm_scores_over_several_chunks(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 40)
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["a", "cat", "sat", "on", "mats", "then", "ran"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    got = rows(lm.scores(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.range(0, 60, 3).toDF("doc_id"), VOCABULARY))
+    assert [r["doc_id"] for r in got] == list(range(60))
+    coded = [tokenizer.encode(t, add_special_tokens=False).ids for _, t in docs]
+    n = 50257
+    for name, held in (("target_loss", coded[::3]), ("background_loss", coded)):
+        single, pair = Counter(b for c in held for b in c), Counter(p for c in held for p in zip([n, *c], c, strict=False))
+        context = single + Counter({n: sum(map(bool, held))})
+        for r, c in zip(got, coded, strict=True):
+            bits = [-np.log2((pair[a, b] + lm.PULL * (single[b] + 1) / (single.total() + n)) / (context[a] + lm.PULL)) for a, b in zip([n, *c], c, strict=False)]
+            assert r[name] is None if not c else abs(r[name] - np.mean(bits)) < 1e-3
+
+
 # 7
 
 
