@@ -2,18 +2,19 @@
 
 The language model is a modified Kneser-Ney model over symbols. A symbol is one of 32 classes
 of UTF-8 bytes, so the number of n-grams has a fixed bound (32 to the power of the order) and
-the model can be broadcast whatever the size of the corpus. Its n-grams are counted by Spark
-over all texts, and kept as arrays sorted by hash (the packed classes: 5 bits a symbol).
+a language's model can be broadcast whatever the size of the corpus. Its n-grams are counted by
+Spark over all texts, and kept as arrays sorted by hash (the packed classes: 5 bits a symbol).
+Every language has a model of its own; a block of languages is broadcast at a time.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bounded_batches, id_field, ids, record, slices, texts, written
@@ -21,8 +22,12 @@ from lodestone.llm.features import Counts
 
 ORDER = 4
 BITS = 5
-SLOTS = 16
-"""Models at most: languages beyond share a slot by their hash."""
+BLOCK = 1 << 22
+"""N-grams of the models that are broadcast at once, or those of a single language."""
+HELD, STEP = 1 << 19, 1 << 20
+"""N-grams that a task holds before it sums them up, or hands on those that are different; text bytes that it counts at once."""
+DENSE = 16
+"""Models of which a worker keeps what it has looked up."""
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SPREAD = 9.0
@@ -34,11 +39,6 @@ SHORT = 20.0
 CLASSES = np.array([0 if c in b" \t\n\r\x0b\x0c" else c - 96 if 97 <= c <= 122 else 27 if 65 <= c <= 90 else 28 if 48 <= c <= 57 else 29 if c < 128 else 31 if c < 192 else 30 for c in range(256)], np.uint32)
 
 
-def slot_of(lang: str | None) -> int:
-    """The model of a language; null counts as a language of its own."""
-    return zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % SLOTS
-
-
 def codes_of(data: bytes) -> np.ndarray:
     """Every n-gram of a text, packed; the text is led in by white space."""
     symbols = CLASSES[np.frombuffer(data, np.uint8)]
@@ -49,26 +49,53 @@ def codes_of(data: bytes) -> np.ndarray:
     return code
 
 
+def language(docs: DataFrame, lang_col: str) -> Column:
+    return docs[f"`{lang_col}`"].cast("string")
+
+
 def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """slot, code, n: how often each n-gram occurs in all texts of a model's languages."""
+    """lang, code, n: how often each n-gram occurs in all texts of a language; null is a language of its own."""
     bounded_batches(docs.sparkSession)
+    width = ORDER * BITS
+
+    def summed(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate(keys), np.concatenate(ns)
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[start], np.add.reduceat(n[order], start)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in slices(batches):
+        number: dict[str | None, int] = {}
+        keys: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+
+        def handed() -> pa.RecordBatch:
+            names = pa.array(list(number), pa.string())
+            return record({"lang": names.take(pa.array(keys[0] >> width)), "code": pa.array((keys[0] & ((1 << width) - 1)).astype(np.int32)), "n": pa.array(ns[0])})
+
+        for batch in slices(batches, limit=STEP):
+            by_language: dict[int, list[bytes]] = {}
             for text, lang in zip(texts(batch), texts(batch, "lang"), strict=True):
                 if text:
-                    slot = slot_of(lang)
-                    if slot not in held:
-                        held[slot] = np.zeros(1 << ORDER * BITS, np.int64)
-                    code, n = np.unique(codes_of(text.encode("utf-8", "surrogatepass")), return_counts=True)
-                    held[slot][code] += n
-        for slot, n in held.items():
-            code = np.flatnonzero(n)
-            yield record({"slot": pa.array(np.full(len(code), slot, np.int32)), "code": pa.array(code.astype(np.int32)), "n": pa.array(n[code])})
-
-    counted = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).mapInArrow(rows, "slot int, code int, n long")
-    return counted.groupBy("slot", "code").agg(F.sum("n").alias("n"))
+                    by_language.setdefault(number.setdefault(lang, len(number)), []).append(text.encode("utf-8", "surrogatepass"))
+            for i, held in by_language.items():
+                code, found = np.unique(np.concatenate([codes_of(data) for data in held]), return_counts=True)
+                keys.append(code.astype(np.int64) | i << width)
+                ns.append(found)
+            if sum(map(len, keys)) > HELD:
+                key, n = summed(keys, ns)
+                keys, ns = [key], [n]
+                if 2 * len(key) > HELD:
+                    yield handed()
+                    number, keys, ns = {}, [], []
+        if keys:
+            key, n = summed(keys, ns)
+            keys, ns = [key], [n]
+            yield handed()
+
+    counted = docs.select(F.col(f"`{text_col}`").alias("text"), language(docs, lang_col).alias("lang")).mapInArrow(rows, "lang string, code int, n long")
+    return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
@@ -122,50 +149,86 @@ class KneserNey:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[int, KneserNey]:
-    """The model of every slot. The driver gets at most SLOTS * 32**ORDER counts."""
-    counts = count_ngrams(docs, text_col, lang_col).toArrow()
-    slot, code, n = (counts.column(c).to_numpy() for c in ("slot", "code", "n"))
-    return {int(s): KneserNey(code[slot == s], n[slot == s]) for s in np.unique(slot)}
+def blocks(counts: DataFrame) -> list[list[str | None]]:
+    """The languages, in runs whose models have about BLOCK n-grams."""
+    out, held = [], 0
+    for r in sorted(counts.groupBy("lang").count().collect(), key=lambda r: (r["lang"] is not None, r["lang"] or "")):
+        if not out or held + r["count"] > BLOCK:
+            out.append([])
+            held = 0
+        out[-1].append(r["lang"])
+        held += r["count"]
+    return out
 
 
-def measure(docs: DataFrame, models: dict[int, KneserNey], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, slot, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, bits of every row.
+def among(column: Column, langs: list[str | None]) -> Column:
+    """Whether a language, null included, is one of these."""
+    named = column.isin([x for x in langs if x is not None]) & column.isNotNull()
+    return named | column.isNull() if None in langs else named
 
-    bits: mean bits a symbol under the row's language model; null without symbols.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # what has been looked up so far
-
-        def bits(data: bytes, slot: int) -> float | None:
-            if not data:
-                return None
-            if slot not in dense:
-                dense[slot] = np.zeros(1 << ORDER * BITS, np.float32), np.zeros(1 << ORDER * BITS, bool)
-            value, known = dense[slot]
-            code = codes_of(data)
-            new = np.unique(code[~known[code]])
-            if len(new):
-                value[new], known[new] = models[slot].log2(new), True
-            return float(-value[code].mean(dtype=np.float64))
-
-        for batch in slices(batches):
-            slots = [slot_of(x) for x in texts(batch, "lang")]
-            found = [Counts(t) for t in texts(batch)]
-            yield record({
-                "doc_id": ids(batch),
-                "slot": pa.array(slots, pa.int32()),
-                **{k: pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
-                "n_grams": pa.array([len(c.data) for c in found], pa.int64()),
-                "bits": pa.array([bits(c.data, s) for c, s in zip(found, slots, strict=True)], pa.float64()),
-            })
+def models_of(counts: DataFrame, langs: list[str | None]) -> dict[str | None, KneserNey]:
+    """The models of these languages. The driver gets about BLOCK counts, or 32**ORDER of one language."""
+    found = counts.where(among(F.col("lang"), langs)).orderBy("lang").toArrow()
+    lang = found.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")
+    lang = lang if isinstance(lang, pa.DictionaryArray) else lang.combine_chunks()
+    names, index = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
+    code, n = (found.column(c).to_numpy() for c in ("code", "n"))
+    start = np.searchsorted(index, np.arange(len(names) + 1))
+    return {name: KneserNey(code[a:b], n[a:b]) for name, a, b in zip(names, start, start[1:], strict=False)}
 
+
+def measure(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, bits of every row.
+
+    bits: mean bits a symbol under the row's language model; null without symbols. Each block of
+    languages reads its own rows; those of languages without a symbol come last.
+    """
     bounded_batches(docs.sparkSession)
-    rows_of = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return rows_of.mapInArrow(rows, f"doc_id {id_field(docs, id_col)}, slot int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, bits double")
+    rows_of = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), language(docs, lang_col).alias("lang"))
+    schema = f"doc_id {id_field(docs, id_col)}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, bits double"
+
+    def measured(part: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(models)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models = sent.value
+            dense: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}  # what has been looked up so far
+
+            def bits(data: bytes, lang: str | None) -> float | None:
+                if not data:
+                    return None
+                if lang not in dense:
+                    if len(dense) >= DENSE:
+                        del dense[next(iter(dense))]
+                    dense[lang] = np.zeros(1 << ORDER * BITS, np.float32), np.zeros(1 << ORDER * BITS, bool)
+                value, known = dense[lang]
+                code = codes_of(data)
+                new = np.unique(code[~known[code]])
+                if len(new):
+                    value[new], known[new] = models[lang].log2(new), True
+                return float(-value[code].mean(dtype=np.float64))
+
+            for batch in slices(batches):
+                langs = texts(batch, "lang")
+                found = [Counts(t) for t in texts(batch)]
+                yield record({
+                    "doc_id": ids(batch),
+                    "lang": pa.array(langs, pa.string()),
+                    **{k: pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
+                    "n_grams": pa.array([len(c.data) for c in found], pa.int64()),
+                    "bits": pa.array([bits(c.data, x) for c, x in zip(found, langs, strict=True)], pa.float64()),
+                })
+
+        return part.mapInArrow(rows, schema)
+
+    found = blocks(counts)
+    if len(found) < 2:
+        return written(measured(rows_of, models_of(counts, found[0]) if found else {}), "perplexity")
+    out = [written(measured(rows_of.where(among(F.col("lang"), langs)), models_of(counts, langs)), "perplexity") for langs in found]
+    every = [x for langs in found for x in langs]
+    out.append(written(measured(rows_of.where(~among(F.col("lang"), every)), {}), "perplexity"))
+    return reduce(DataFrame.union, out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD) -> DataFrame:
@@ -174,17 +237,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Model, counts and bands are of all rows. A row is kept unless it fails the base rules or its
     perplexity (2 ** bits) lies outside its language's band: the median, and `spread`
     interquartile ranges to either side, wider for short texts. Null and empty texts have no
-    words and fail. Null languages form one of their own. Repeated rows and null ids are kept,
+    words and fail. Null languages form one of their own, and so does every other value. Repeated rows and null ids are kept,
     one row each; an empty table gives an empty one. Other columns are not read.
     """
-    measured = written(measure(docs, train(docs, text_col, lang_col), id_col, text_col, lang_col), "perplexity")
+    counts = written(count_ngrams(docs, text_col, lang_col), "ngrams")
+    measured = measure(docs, counts, id_col, text_col, lang_col)
     long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("bits").isNotNull()
-    bands = measured.where(long_enough).groupBy("slot").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    bands = bands.select("slot", F.col("q")[1].alias("middle"), (spread * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01))).alias("reach"))
+    bands = measured.where(long_enough).groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    bands = bands.select(F.col("lang").alias("band"), F.col("q")[1].alias("middle"), (spread * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01))).alias("reach"))
     reach = F.col("reach") + SHORT / F.sqrt(F.greatest("n_grams", F.lit(1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        measured.join(F.broadcast(bands), "slot", "left")  # a row for each of SLOTS at most
+        measured.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("band")), "left")  # a row for each language
         .withColumn("base_failed", failed)
         .withColumn("lower", F.col("middle") - reach)
         .withColumn("upper", F.col("middle") + reach)

@@ -517,6 +517,20 @@ def test_gibberish_is_out_of_band(spark):
     assert not got.pop(99) and all(got.values())
 
 
+@pytest.mark.parametrize("block", [quality_rules.BLOCK, 1])
+def test_each_language_has_its_own_model(spark, monkeypatch, block):
+    """The languages de and es, whose hashes meet modulo 16, and null and empty ones, are measured alone or together alike."""
+    monkeypatch.setattr(quality_rules, "BLOCK", block)
+    rng = random.Random(8)
+    words = {"de": ["der", "zwei", "nicht", "und", "auf"], "es": ["el", "dos", "nada", "pero", "casa"], None: ["x", "yy", "zzz"], "": ["0", "12", "345"]}
+    docs = [(100 * k + i, " ".join(rng.choice(w) for _ in range(60)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)] + [(999, "", "fr")]
+    schema = "doc_id long, text string, lang string"
+    got = {r["doc_id"]: (r["bits"], r["lower"], r["upper"], r["kept"]) for r in rows(quality_rules.judge(spark.createDataFrame(docs, schema)))}
+    assert len(got) == len(docs)
+    alone = {r["doc_id"]: (r["bits"], r["lower"], r["upper"], r["kept"]) for lang in ("de", None) for r in rows(quality_rules.judge(spark.createDataFrame([d for d in docs if d[2] == lang], schema)))}
+    assert all(got[i] == x for i, x in alone.items())
+
+
 def test_kneser_ney_is_a_distribution():
     rng = np.random.default_rng(5)
     code, n = np.unique(quality_rules.codes_of(bytes(rng.choice(list(b"abcd e"), 3000))), return_counts=True)
