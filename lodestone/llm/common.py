@@ -105,14 +105,22 @@ def ids(batch: pa.RecordBatch, name: str = "doc_id") -> pa.Array:
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """The n different rows whose keys have the lowest hashes, or all if there are fewer.
 
-    A first count sets a bound on the hash that lets through hardly more than n rows, so that
-    however many partitions there are, few rows meet in the last sort.
+    A first count of the different hashes sets a bound on the hash that lets through hardly more
+    than n different rows, so that however many partitions there are, few rows meet in the last
+    sort. Copies of a row don't count; where too few pass, the bound is doubled.
     """
-    total = rows.count()
+    h = F.xxhash64(key)
+    hashes = written(rows.select(h.alias("h")).distinct(), "hashes")
+    total = hashes.count()
     if total > 2 * n:
         share = (1.5 * n + 100) / total
-        rows = rows.where(F.xxhash64(key) < int(-(1 << 63) + share * (1 << 64)))
-    return rows.distinct().orderBy(F.xxhash64(key), key).limit(n)
+        while share < 1:
+            bound = int(-(1 << 63) + share * (1 << 64))
+            if hashes.where(F.col("h") < bound).count() >= n:
+                rows = rows.where(h < bound)
+                break
+            share *= 2
+    return rows.distinct().orderBy(h, key).limit(n)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import bpe, decontaminate, lm, near_duplicates, packing, pii, quality, quality_rules, substrings, token_counts, urls
+from lodestone.llm import bpe, common, decontaminate, lm, near_duplicates, packing, pii, quality, quality_rules, substrings, token_counts, urls
 from lodestone.llm.queries import VOCABULARY
 
 LONG = "word another thing " * 30_000
@@ -315,6 +315,16 @@ def test_pii(odd, empty):
     assert rows(pii.find(empty, pii.train(empty))) == [] and rows(pii.mask(empty, field)) == []
 
 
+def test_sample_of_many_copies_is_whole(spark):
+    """100 texts of 400 copies each; then one of them has many more."""
+    docs = spark.range(40_000).selectExpr("concat('text ', id % 100) as text")
+    hot = docs.union(spark.range(30_000).selectExpr("'text 0' as text"))
+    for frame in (docs, hot):
+        for n in (5, 40, 100):
+            want = sorted(r.text for r in docs.distinct().selectExpr("text", "xxhash64(text) as h").orderBy("h").limit(n).collect())
+            assert sorted(r.text for r in common.bounded_sample(frame, "text", n).collect()) == want and len(want) == n
+
+
 # 5
 
 
