@@ -258,6 +258,15 @@ def test_bad_templates_are_rejected(spark):
     assert {r["template"] for r in tree} >= {"/c/*"} and len({r["template"] for r in tree if r["shape"] in ("/a/#", "/b/#")}) <= 2
 
 
+def test_small_bad_sections_of_a_large_host_are_rejected(spark):
+    """One of 30 even sections, and one with 2 % of a host's pages, are bad."""
+    pages = [(i, f"http://even.org/s{'abcdefghijklmnopqrstuvwxyzABCD'[i % 30]}/x") for i in range(3000)]
+    pages += [(3000 + i, f"http://large.org/{'bad' if i % 50 == 0 else 'good'}/x") for i in range(5000)]
+    labels = [(i, int("/sb/" not in u and "/bad/" not in u)) for i, u in pages]
+    got = rows(urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert {r["path"] for r in got if r["verdict"] == "block"} == {"/sb/x", "/bad/x"}
+
+
 # 4
 
 
