@@ -10,8 +10,6 @@ from lodestone.llm.common import LOWER, UPPER, written
 # The rules (host, start of the path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-DEPTH = 6
-"""Segments with a level of their own in the tree; what lies below is one wildcard."""
 SUPPORT = 20
 """A segment stays literal only if at least this number of its parent's pages have it."""
 ALIKE = 2.0
@@ -52,21 +50,29 @@ def template_tree(pages: DataFrame) -> DataFrame:
     pages, so a host with a third of all pages is a number of rows like any other. At each level
     the segments of a parent that fewer than SUPPORT pages have become the wildcard *; of the
     others, those whose share of good pages is within ALIKE standard errors of the parent's
-    become * too, however small or large a part of the parent's pages they are.
+    become * too, however small or large a part of the parent's pages they are. The levels end
+    where no branch has SUPPORT pages of several shapes; what lies below is a * for each segment.
     """
     counts = written(pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good")), "shapes")
-    tree = counts.withColumn("parts", F.split("shape", "/", DEPTH + 2)).withColumn("template", F.lit(""))
-    deepest = min(DEPTH + 2, tree.agg(F.max(F.size("parts"))).first()[0] or 1)
-    for level in range(1, deepest):  # parts[0] is what stands before the first slash
-        here = tree.withColumn("part", F.when(F.size("parts") > level, F.lit("**") if level > DEPTH else F.col("parts")[level]))
-        parent = here.where("part is not null").groupBy("host", "template").agg(F.sum("labelled").alias("l_all"), F.sum("good").alias("g_all"))
-        child = here.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n_of"), F.sum("labelled").alias("l_of"), F.sum("good").alias("g_of"))
+    tree = counts.withColumn("parts", F.split("shape", "/")).withColumn("template", F.lit(""))
+    level = 0
+    while True:  # parts[0] is what stands before the first slash
+        level += 1
+        here = tree.withColumn("part", F.when(F.size("parts") > level, F.col("parts")[level]))
+        open_ = here.where("part is not null")
+        parent = open_.groupBy("host", "template").agg(F.sum("n").alias("n_all"), F.count("*").alias("shapes"), F.sum("labelled").alias("l_all"), F.sum("good").alias("g_all"))
+        parent = parent.where((F.col("n_all") >= SUPPORT) & (F.col("shapes") > 1))  # no other can be told apart further down
+        if not parent.limit(1).count():
+            break
+        child = open_.groupBy("host", "template", "part").agg(F.sum("n").alias("n_of"), F.sum("labelled").alias("l_of"), F.sum("good").alias("g_of"))
         rate = (F.col("g_all") + 1) / (F.col("l_all") + 2)
         apart = F.abs((F.col("g_of") + 2 * rate) / (F.col("l_of") + 2) - rate) / F.sqrt(rate * (1 - rate) / F.greatest("l_of", F.lit(1)))
         literal = (F.col("n_of") >= SUPPORT) & (F.col("l_of") > 0) & (apart > ALIKE)
-        named = child.join(parent, ["host", "template"]).select("host", "template", "part", F.when(literal | (F.col("part") == "**"), F.col("part")).otherwise("*").alias("segment"))
-        tree = here.join(named, ["host", "template", "part"], "left").select("host", "shape", "n", "labelled", "good", "parts", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "segment")).alias("template"))
+        named = child.join(parent, ["host", "template"]).where(literal).select("host", "template", "part", F.col("part").alias("segment"))
+        segment = F.when(F.col("part").isNotNull(), F.concat(F.lit("/"), F.coalesce("segment", F.lit("*")))).otherwise("")
+        tree = here.join(named, ["host", "template", "part"], "left").select("host", "shape", "n", "labelled", "good", "parts", F.concat("template", segment).alias("template"))
         tree = written(tree, "templates")
+    tree = tree.withColumn("template", F.concat("template", F.expr(f"repeat('/*', greatest(size(parts) - {level}, 0))")))
     return tree.drop("parts")
 
 

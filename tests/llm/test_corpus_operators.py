@@ -267,6 +267,13 @@ def test_small_bad_sections_of_a_large_host_are_rejected(spark):
     assert {r["path"] for r in got if r["verdict"] == "block"} == {"/sb/x", "/bad/x"}
 
 
+def test_branches_are_told_apart_below_the_sixth_level(spark):
+    pages = [(i, f"http://deep.org/a/b/c/d/e/f/g/{'bad' if i % 4 == 0 else 'good'}/h/i/x") for i in range(400)]
+    labels = [(i, int(i % 4 > 0)) for i, _ in pages]
+    got = rows(urls.judge(spark.createDataFrame([*pages, (999, "http://trap.org" + "/x" * 3000)], "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert {r["path"] for r in got if r["verdict"] == "block"} == {"/a/b/c/d/e/f/g/bad/h/i/x"} and len(got) == 401
+
+
 # 4
 
 
