@@ -33,8 +33,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
 OUTER = ".,;:!?\"'<>[]{}"
 
-SAMPLE, SAMPLE_BYTES = 2_000, 20_000
-"""Texts to fit on at most, and the size of one; those whose hashes are lowest."""
+SAMPLE, SAMPLE_BYTES = 2_000, 40_000_000
+"""Texts to fit on at most, and bytes of them all after which no further one is taken; chosen by hash, whatever their length."""
 SURE = 0.95
 ROUNDS = 8
 
@@ -204,10 +204,16 @@ def fit(sample: list[str]) -> Field:
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Field:
-    """A field fitted on at most `sample` texts of at most `size` bytes that have a digit or an @."""
+    """A field fitted on at most `sample` texts that have a digit or an @, fewer where these together reach `size` bytes."""
     text = F.col(f"`{text_col}`")
-    known = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= size))
-    return fit([r.text for r in bounded_sample(known, "text", sample).collect()])
+    known = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    chosen, held = [], 0
+    for r in bounded_sample(known.select("h", F.octet_length("text").alias("bytes")), "h", sample).collect():
+        if held >= size:
+            break
+        chosen.append(r.h)
+        held += r.bytes
+    return fit([r.text for r in known.where(F.col("h").isin(chosen)).select("text").distinct().collect()] if chosen else [])
 
 
 def added_spans(batch_texts: list[str | None], base: list[list[tuple[int, int, int]]], field: Field) -> list[list[tuple[int, int, int]]]:

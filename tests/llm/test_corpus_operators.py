@@ -341,6 +341,18 @@ def test_sample_of_many_copies_is_whole(spark):
             assert sorted(r.text for r in common.bounded_sample(frame, "text", n).collect()) == want and len(want) == n
 
 
+def test_long_texts_are_in_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(pii, "fit", lambda sample: taken.append(sorted(sample, key=len)))
+    docs = spark.createDataFrame([("short 1",), ("short 1",), ("long 2 " * 10_000,), ("none",), (None,)], "text string")
+    pii.train(docs)
+    assert taken == [["short 1", "long 2 " * 10_000]]
+    pii.train(docs, size=1)
+    assert len(taken[1]) == 1
+    pii.train(docs.limit(0))
+    assert taken[2] == []
+
+
 # 5
 
 
