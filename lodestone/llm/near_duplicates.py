@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_AZ, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
-from lodestone.llm.rows import components, member_filter, numbered, settled, split_by
+from lodestone.llm.common import LOWER_AZ, bounded_batches, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
+from lodestone.llm.rows import components, free_name, member_filter, numbered, split_by, spread_join, with_row
 
 WIDTH, PERCENT = 5, 80
 """Words of a shingle, and the least similarity, unless a caller says otherwise."""
@@ -29,6 +29,9 @@ SKETCH_WORDS = 16
 MISS = 1e-7
 """Chance that a pair of just the least similarity shares no band, or that its sketches are too far apart."""
 
+TOGETHER = 256
+"""Classes of a band that one task compares with all others of the band."""
+
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -110,10 +113,11 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
 def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of rows whose full sets are similar enough."""
     pairs = written(pairs, "pairs")
+    of_a = pairs.groupBy("a").agg(F.count("*").alias("size"))
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
     maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
     side = lambda name: maybe.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    both = spread_join(pairs.join(side("b"), "b"), side("a").join(of_a, "a"), "a", pairs.count(), "inner").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[int, np.ndarray] | None = None
@@ -151,51 +155,66 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     what leaves it are links. A band that many classes share without being linked costs
     comparisons in proportion to its pairs, of which Spark deals a large band over several tasks.
     """
-    rows = numbered(docs, id_col, text_col)
+    return duplicates_among(numbered(docs, id_col, text_col), width, percent)
+
+
+def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """near_duplicates() of a numbered table."""
+    bounded_batches(rows.sparkSession)
     found = written(sketches(rows, width, percent), "sketches")
-    kind = id_field(docs, id_col)
-    classes = found.where("key is not null").groupBy("key").agg(F.min("row").alias("node"))
-    members = written(found.select("row", "doc_id", "n", "key").join(classes, "key", "left").select("row", "doc_id", "n", "node"), "classes")
-    nodes = found.join(members.where("row = node").select("row"), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
+    kind, total = id_field(rows, "doc_id"), found.count()
+    classes = found.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("size"))
+    classes = written(classes, "classes")
+    nodes = found.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
     banded = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
-    firsts = banded.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"))
-    grouped = written(banded.join(firsts, "band"), "bands")
+    n_bands = bands(percent)[0]
+    firsts = banded.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"), "size")
+    grouped = written(spread_join(banded, written(firsts, "firsts"), "band", total * n_bands, "inner"), "bands")
     sketch_of = written(nodes.select("node", "sketch").join(grouped.select("node").distinct(), "node"), "odd")
     alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    n_bands = bands(percent)[0]
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_WORDS))
     near = f"{apart} <= {most_apart(percent)}"
 
     star = grouped.where("node <> first").where(f"100 * least(n, first_n) >= {percent} * greatest(n, first_n)").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    star = written(star, "star")
+    hubs = star.groupBy("a").agg(F.count("*").alias("size")).join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    star = spread_join(star.join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b"), hubs, "a", total, "inner")
     star = star.select("a", "b", F.struct("sa").alias("p"), F.struct("sb").alias("q")).where(" + ".join(f"bit_count(p.sa[{i}] ^ q.sb[{i}])" for i in range(SKETCH_WORDS)) + f" <= {most_apart(percent)}").select("a", "b")
     links = confirm(star, rows, width, percent)
-    roots = components(links)
+    roots = written(components(links), "roots")
     rooted = grouped.join(roots, "node", "left").select("node", "n", "band", "first", "place", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("band")
-    still = written(rooted.join(split, "band").where("node <> first"), "still")
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
+    split = split.select("band", "size", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
+    still = written(spread_join(rooted, written(split, "split"), "band", total * n_bands, "inner").where("node <> first"), "still")
     wanted = still.select(F.col("node").alias("row")).distinct()
     maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
     sets = full_sets(maybe.join(wanted, "row"), width).join(nodes.select(F.col("node").alias("row"), "bands", "sketch"), "row")
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
-    open_ = still.join(sets.withColumnRenamed("row", "node"), "node").select("node", "n", "band", "root", "place", "shingles", *flat)
+    open_ = still.join(sets.withColumnRenamed("row", "node"), "node").select("node", "n", "band", "root", "place", "parts", "shingles", *flat)
+    # One side of a large band is dealt over parts, and the other goes to each of them.
+    one = open_.withColumn("part", F.pmod(F.hash("node"), "parts"))
+    other = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A pair counts in its first common band only, and only a link leaves the join.
     seen = " and ".join(f"(x.place <= {i} or x.b{i} <> y.b{i})" for i in range(n_bands))
     linked = f"{100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n)"
-    more = open_.alias("x").join(open_.alias("y"), F.expr(f"x.band = y.band and x.root > y.root and {alike} and {near} and {seen} and {linked}"))
+    more = one.alias("x").join(other.alias("y"), F.expr(f"x.band = y.band and x.part = y.part and x.root > y.root and {alike} and {near} and {seen} and {linked}"))
     links = links.union(written(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "links"))
-    roots = components(links)
-    roots = written(roots, "roots")
-    placed = members.join(roots, "node", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node", "row").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root")
-    return out.select("row", "root", "doc_id", "n_shingles", F.col("component_id").cast(kind), F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    # Rows meet their component by way of their class alone, and a hot class or component is dealt over many tasks.
+    placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(placed, "placed")
+    least = written(placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size")), "least")
+    placed = spread_join(placed.select("key", "root", F.col("size").alias("members")), least, "root", total).select("key", "root", "component_id", F.col("members").alias("size"))
+    out = spread_join(found.select("row", "doc_id", "key", F.col("n").alias("n_shingles")), written(placed, "components"), "key", total)
+    own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select("row", F.coalesce("root", "row").alias("root"), "doc_id", "n_shingles", own.cast(kind).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the first of those with the smallest id (nulls last). All columns are kept."""
-    docs = settled(docs)
-    found = near_duplicates(docs, width, percent, id_col, text_col)
-    first = found.where("kept").groupBy("root").agg(F.min("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(first.select("__row"), "__row", "left_semi").drop("__row")
+    row = free_name(docs, "row")
+    held = with_row(docs, row)
+    found = duplicates_among(held.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), width, percent)
+    first = found.where("kept").groupBy("root").agg(F.min("row").alias(row)).select(row)
+    return held.join(first, row, "left_semi").drop(row)

@@ -15,19 +15,46 @@ FILTER_BITS = 26
 """log2 of the bits of a membership filter: 8 MB, whatever the number of members."""
 
 
-def settled(docs: DataFrame) -> DataFrame:
-    """docs, if it comes straight from files and so in the same order each time; else as written to the shared folder."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    straight = docs.inputFiles() and not any(word in plan for word in ("Join", "Aggregate", "Repartition", "MapIn", "Union", "Sort", "Window", "Generate", "LogicalRDD", "Sample", "Limit"))
-    return docs if straight else written(docs, "rows")
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, text: every row with a number of its own, stored with it in the shared folder.
 
+    The number is given once, when the table is written; whoever comes back reads it. Nothing
+    rests on how a later scan splits its files, which changes as executors come and go.
+    """
+    return written(two_columns(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "rows")
 
-def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, text: every row with a number of its own, the same each time the result is read.
 
-    Numbers follow from a file scan's splits and order, which don't depend on the columns read.
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """docs as written to the shared folder, with a stored number for every row in the column `name`."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, made longer until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+HOT, LEAST_HOT = 1_000, 1_000
+"""A key is hot if it has one in HOT of all rows, and LEAST_HOT at least: there are never more than HOT such keys."""
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with table by key, a hot key dealt over many tasks.
+
+    table: one row for each key, and in the column `size` how many of the `total` rows have it.
+    The hot keys, HOT at most, are broadcast; their rows get a part by their content's hash, and
+    the table's row is repeated for each part. Rows with a null key are dealt out alike.
     """
-    return two_columns(settled(docs), id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    parts = F.when((F.col("size") >= LEAST_HOT) & (F.col("size") * HOT >= total), F.ceil(F.col("size") * HOT / F.lit(max(total, 1))).cast("long"))
+    hot = table.withColumn("__parts", parts).where(F.col("__parts") > 1).select(F.col(key).alias("__hot"), "__parts")
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    dealt = dealt.withColumn("__part", F.when(F.col(key).isNull(), mixed).otherwise(F.coalesce(F.pmod(mixed, F.col("__parts")), F.lit(0)))).drop("__hot", "__parts")
+    copies = table.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts - 1, F.lit(0))))).drop("size")
+    return dealt.join(copies, [key, "__part"], how).drop("__part")
 
 
 def member_filter(members: DataFrame, column: str = "row") -> np.ndarray:
@@ -69,17 +96,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     shared_dir(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    state = None
+    state, total = None, edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size"))
+        large = spread_join(both.where("v > u"), least, "u", total, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        small = spread_join(large, down, "u", total, "inner").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = small.checkpoint()
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select("root", "root").distinct().toDF("node", "root"))

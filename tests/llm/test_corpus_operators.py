@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, common, decontaminate, lm, near_duplicates, packing, pii, quality, quality_rules, substrings, token_counts, urls
@@ -577,3 +578,44 @@ def test_kneser_ney_is_a_distribution():
         assert abs(np.exp2(model.log2((int(context) << 5) + np.arange(32))).sum() - 1) < 1e-9
     for k in model.keys:
         assert (np.diff(model.keys[k]) > 0).all()
+
+
+# Row numbers
+
+
+def test_results_do_not_move_with_the_cores(spark, tmp_path, monkeypatch):
+    """Every pass over the input runs with another parallelism, so that files are split and packed anew."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{' '.join(rng.choices('abcdefghij', k=rng.randint(3, 60)))} {passage if i % 5 == 0 else ''}" for i in range(120)]
+    spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, row int").repartition(24).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    operators = {
+        "near": lambda: near_duplicates.near_duplicates(docs, 3, 50).select("doc_id", "component_id", "kept"),
+        "one": lambda: near_duplicates.keep_one(docs, 3, 50).select("doc_id", "row"),
+        "repeats": lambda: substrings.remove_repeats(docs),
+    }
+    still = {name: ordered(rows(f())) for name, f in operators.items()}
+    cores = iter(range(2, 10_000))
+    for module in (near_duplicates, substrings):
+        def moving(df, name, kept=module.written):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(next(cores) % 41 + 1))
+            return kept(df, name)
+        monkeypatch.setattr(module, "written", moving)
+    try:
+        assert {name: ordered(rows(f())) for name, f in operators.items()} == still
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from lodestone.llm import rows as module
+
+    monkeypatch.setattr(module, "LEAST_HOT", 10)
+    data = [(i, 7 if i % 3 else i) for i in range(300)] + [(-1, None)]
+    left = spark.createDataFrame(data, "x long, k long")
+    right = left.groupBy("k").agg(F.count("*").alias("size"), F.max("x").alias("most"))
+    got = rows(module.spread_join(left, right, "k", 301))
+    most = {k: max(x for x, y in data if y == k) for k in {k for _, k in data} if k is not None}
+    assert sorted((r["x"], r["k"], r["most"]) for r in got if r["k"] is not None) == sorted((x, k, most[k]) for x, k in data if k is not None)
+    assert [(r["x"], r["most"]) for r in got if r["k"] is None] == [(-1, None)]
