@@ -1,234 +1,257 @@
 """Quality rules: counts of each text, and language-specific bands of n-gram perplexity.
 
-The language model is a modified Kneser-Ney model over symbols. A symbol is one of 32 classes
-of UTF-8 bytes, so the number of n-grams has a fixed bound (32 to the power of the order) and
-a language's model can be broadcast whatever the size of the corpus. Its n-grams are counted by
-Spark over all texts, and kept as arrays sorted by hash (the packed classes: 5 bits a symbol).
-Every language has a model of its own; a block of languages is broadcast at a time.
+The language model is an interpolated modified Kneser-Ney model over characters (code points),
+one for every value of the language. Spark counts the n-grams of all texts, derives the lower
+orders from the highest, and turns counts into probabilities with joins and windows; the tables
+grow with the corpus and stay distributed. What is looked up is the model as arrays sorted by
+hash: in one broadcast where its size has been checked, else by a join with each chunk of texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, id_field, ids, record, slices, texts, written
+from lodestone.llm.common import bounded_batches, id_field, ids, mix, record, slices, texts, window_hashes, written
 from lodestone.llm.features import Counts
+from lodestone.llm.rows import spread_join
 
-ORDER = 4
-BITS = 5
-BLOCK = 1 << 22
-"""N-grams of the models that are broadcast at once, or those of a single language."""
+ORDER = 5
+START, NUL = 0x10FFFF, 0x10FFFE
+"""Code points that stand before a text, and for the code point 0."""
+BROADCAST = 1 << 21
+"""N-grams of all languages that may be broadcast (12 bytes each); a larger model is joined."""
 HELD, STEP = 1 << 19, 1 << 20
-"""N-grams that a task holds before it sums them up, or hands on those that are different; text bytes that it counts at once."""
-DENSE = 16
-"""Models of which a worker keeps what it has looked up."""
+"""Different n-grams that a task sums up before it hands them on, and text bytes that it codes at once."""
+CHUNK = 16 << 20
+"""Code points whose different n-grams are asked for together, where the model is joined."""
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SPREAD = 9.0
+SPREAD = 1.5
 """Interquartile ranges between a language's median perplexity and either end of its band."""
-SHORT = 20.0
-"""Bits by which a band widens for short texts, over the root of their symbols."""
+SHORT = 2.5
+"""Bits by which a band widens for short texts, over the root of their code points."""
 
-# 0 white space, 1-26 small letters, 27 capitals, 28 digits, 29 other ASCII, 30 first and 31 further bytes of other characters.
-CLASSES = np.array([0 if c in b" \t\n\r\x0b\x0c" else c - 96 if 97 <= c <= 122 else 27 if 65 <= c <= 90 else 28 if 48 <= c <= 57 else 29 if c < 128 else 31 if c < 192 else 30 for c in range(256)], np.uint32)
 
+def tongue(lang: Column) -> Column:
+    """The language as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
-def codes_of(data: bytes) -> np.ndarray:
-    """Every n-gram of a text, packed; the text is led in by white space."""
-    symbols = CLASSES[np.frombuffer(data, np.uint8)]
-    padded = np.concatenate((np.zeros(ORDER - 1, np.uint32), symbols))
-    code = np.zeros(len(symbols), np.uint32)
-    for k in range(ORDER):
-        code = code << np.uint32(BITS) | padded[k : k + len(symbols)]
-    return code
 
+def coded(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts, ORDER - 1 times START before each, and the places of the texts' own."""
+    lead = chr(START) * (ORDER - 1)
+    codes = np.frombuffer("".join([lead + t for t in found]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(codes == 0, np.uint32(NUL), codes)
+    sizes = np.array([len(t) for t in found], np.int64)
+    own = np.arange(int(sizes.sum())) + np.repeat((ORDER - 1) * np.arange(1, len(sizes) + 1), sizes)
+    return codes, own
 
-def language(docs: DataFrame, lang_col: str) -> Column:
-    return docs[f"`{lang_col}`"].cast("string")
+
+def hashes(codes: np.ndarray, own: np.ndarray, key: str) -> np.ndarray:
+    """A 64-bit hash of the n-gram that ends at each place, different for each language."""
+    if not len(own):
+        return np.empty(0, np.uint64)
+    return window_hashes(mix(codes.astype(np.uint64)), ORDER)[own - ORDER + 1] ^ np.uint64(xxhash.xxh3_64_intdigest(key))
+
+
+def by_language(batch: pa.RecordBatch) -> dict[str, list[int]]:
+    """The rows of each language that have text."""
+    out: dict[str, list[int]] = {}
+    for i, (key, text) in enumerate(zip(texts(batch, "tongue"), texts(batch), strict=True)):
+        if text:
+            out.setdefault(key, []).append(i)
+    return out
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, code, n: how often each n-gram occurs in all texts of a language; null is a language of its own."""
+    """tongue, gram, n: how often each n-gram of ORDER characters occurs in all texts of a language."""
     bounded_batches(docs.sparkSession)
-    width = ORDER * BITS
-
-    def summed(keys: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = np.concatenate(keys), np.concatenate(ns)
-        order = np.argsort(key)
-        key = key[order]
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        return key[start], np.add.reduceat(n[order], start)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str | None, int] = {}
-        keys: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
+        keys: list[str] = []
+        held: list[tuple[np.ndarray, ...]] = []  # hash, code points, language, count
+
+        def summed() -> tuple[np.ndarray, ...]:
+            h, gram, lang, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            start = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+            first = order[start]
+            return h[first], gram[first], lang[first], np.add.reduceat(n[order], start)
 
         def handed() -> pa.RecordBatch:
-            names = pa.array(list(number), pa.string())
-            return record({"lang": names.take(pa.array(keys[0] >> width)), "code": pa.array((keys[0] & ((1 << width) - 1)).astype(np.int32)), "n": pa.array(ns[0])})
+            _, gram, lang, n = held[0]
+            text = np.ascontiguousarray(gram).view(f"<U{ORDER}").reshape(-1)
+            return record({"tongue": pa.array(keys, pa.string()).take(pa.array(lang)), "gram": pa.array(text, pa.string()), "n": pa.array(n)})
 
         for batch in slices(batches, limit=STEP):
-            by_language: dict[int, list[bytes]] = {}
-            for text, lang in zip(texts(batch), texts(batch, "lang"), strict=True):
-                if text:
-                    by_language.setdefault(number.setdefault(lang, len(number)), []).append(text.encode("utf-8", "surrogatepass"))
-            for i, held in by_language.items():
-                code, found = np.unique(np.concatenate([codes_of(data) for data in held]), return_counts=True)
-                keys.append(code.astype(np.int64) | i << width)
-                ns.append(found)
-            if sum(map(len, keys)) > HELD:
-                key, n = summed(keys, ns)
-                keys, ns = [key], [n]
-                if 2 * len(key) > HELD:
+            text = texts(batch)
+            for key, at in by_language(batch).items():
+                if key not in keys:
+                    keys.append(key)
+                codes, own = coded([text[i] for i in at])
+                h, first, n = np.unique(hashes(codes, own, key), return_index=True, return_counts=True)
+                gram = np.stack([codes[own[first] - ORDER + 1 + k] for k in range(ORDER)], axis=1)
+                held.append((h, gram, np.full(len(h), keys.index(key), np.int32), n.astype(np.int64)))
+            if sum(len(x[0]) for x in held) > HELD:
+                held[:] = [summed()]
+                if 2 * len(held[0][0]) > HELD:
                     yield handed()
-                    number, keys, ns = {}, [], []
-        if keys:
-            key, n = summed(keys, ns)
-            keys, ns = [key], [n]
+                    held.clear()
+                    keys.clear()
+        if held:
+            held[:] = [summed()]
             yield handed()
 
-    counted = docs.select(F.col(f"`{text_col}`").alias("text"), language(docs, lang_col).alias("lang")).mapInArrow(rows, "lang string, code int, n long")
-    return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney: for each order sorted hashes, log2 probabilities and log2 back-off weights."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray, order: int = ORDER):
-        self.order = order
-        count: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        keys = np.sort(code.astype(np.int64))
-        count[order] = (keys, n[np.argsort(code, kind="stable")].astype(np.float64))
-        for k in range(order - 1, 0, -1):  # lower orders count the different symbols before
-            keys, found = np.unique(count[k + 1][0] & ((1 << BITS * k) - 1), return_counts=True)
-            count[k] = (keys, found.astype(np.float64))
-        lower = None  # probabilities of the order below, by its keys
-        self.keys, self.log_p, self.log_weight = {}, {}, {}
-        for k in range(1, order + 1):
-            keys, c = count[k]
-            discount = self.discounts(c)
-            d = discount[np.minimum(c, 3).astype(int)]
-            context, where = np.unique(keys >> BITS, return_inverse=True)
-            total = np.bincount(where, c)
-            weight = np.bincount(where, d) / total
-            below = 1.0 / (1 << BITS) if lower is None else lower[np.searchsorted(count[k - 1][0], keys & ((1 << BITS * (k - 1)) - 1))]
-            p = (c - d) / total[where] + weight[where] * below
-            self.keys[k], self.log_p[k] = keys, np.log2(p)
-            self.log_weight[k] = (context, np.log2(np.maximum(weight, 1e-12)))
-            lower = p
-
-    @staticmethod
-    def discounts(c: np.ndarray) -> np.ndarray:
-        """Of an n-gram seen never, once, twice, and more often."""
-        n1, n2, n3, n4 = (max(1, int((c == k).sum())) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.9, 2.9])
-
-    def log2(self, code: np.ndarray) -> np.ndarray:
-        """Log probability of the last symbol after those before, for packed n-grams."""
-        return self._log2(code.astype(np.int64), self.order)
-
-    def _log2(self, code: np.ndarray, k: int) -> np.ndarray:
-        if k == 0:
-            return np.full(len(code), -float(BITS))
-        at = np.minimum(np.searchsorted(self.keys[k], code), len(self.keys[k]) - 1)
-        seen = self.keys[k][at] == code
-        out = np.where(seen, self.log_p[k][at], 0.0)
-        if not seen.all():
-            context, weight = self.log_weight[k]
-            rest = code[~seen]
-            at = np.minimum(np.searchsorted(context, rest >> BITS), len(context) - 1)
-            out[~seen] = np.where(context[at] == rest >> BITS, weight[at], 0.0) + self._log2(rest & ((1 << BITS * (k - 1)) - 1), k - 1)
-        return out
-
-
-def blocks(counts: DataFrame) -> list[list[str | None]]:
-    """The languages, in runs whose models have about BLOCK n-grams."""
-    out, held = [], 0
-    for r in sorted(counts.groupBy("lang").count().collect(), key=lambda r: (r["lang"] is not None, r["lang"] or "")):
-        if not out or held + r["count"] > BLOCK:
-            out.append([])
-            held = 0
-        out[-1].append(r["lang"])
-        held += r["count"]
-    return out
-
+    counted = docs.select(F.col(f"`{text_col}`").alias("text"), tongue(docs[f"`{lang_col}`"]).alias("tongue")).mapInArrow(rows, "tongue string, gram string, n long")
+    return counted.groupBy("tongue", "gram").agg(F.sum("n").alias("n"))
 
-def among(column: Column, langs: list[str | None]) -> Column:
-    """Whether a language, null included, is one of these."""
-    named = column.isin([x for x in langs if x is not None]) & column.isNotNull()
-    return named | column.isNull() if None in langs else named
 
+def discounts(grams: DataFrame) -> DataFrame:
+    """tongue, d1, d2, d3, symbols, size: what is taken off n-grams seen once, twice and more often; grams: tongue, gram, n."""
+    seen = [F.greatest(F.count_if(F.col("n") == k), F.lit(1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}") for k in (1, 2, 3)]
+    bounded = [F.least(F.greatest(x, F.lit(0.1)), F.lit(k - 0.1)).alias(f"d{k}") for k, x in enumerate(d, 1)]
+    return grams.groupBy("tongue").agg(*seen, F.count("*").alias("size")).select("tongue", *bounded, F.col("size").alias("symbols"), "size")
 
-def models_of(counts: DataFrame, langs: list[str | None]) -> dict[str | None, KneserNey]:
-    """The models of these languages. The driver gets about BLOCK counts, or 32**ORDER of one language."""
-    found = counts.where(among(F.col("lang"), langs)).orderBy("lang").toArrow()
-    lang = found.column("lang").combine_chunks().dictionary_encode(null_encoding="encode")
-    lang = lang if isinstance(lang, pa.DictionaryArray) else lang.combine_chunks()
-    names, index = lang.dictionary.to_pylist(), lang.indices.to_numpy(zero_copy_only=False)
-    code, n = (found.column(c).to_numpy() for c in ("code", "n"))
-    start = np.searchsorted(index, np.arange(len(names) + 1))
-    return {name: KneserNey(code[a:b], n[a:b]) for name, a, b in zip(names, start, start[1:], strict=False)}
 
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """tongue, gram, p for every n-gram of `order` characters: the probability of its last one after the others.
 
-def measure(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, bits of every row.
+    An n-gram below the highest order counts the different characters before it. Each order's
+    discounted share is topped up by the next lower order's probability; below single
+    characters stand equal shares for those seen and for one unseen. A window holds the
+    characters that follow one context: at most as many as there are characters.
+    """
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):
+        levels[k] = written(levels[k + 1].groupBy("tongue", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    lower = None
+    for k in range(1, order + 1):
+        less = written(discounts(levels[k]), "discounts")
+        grams = spread_join(levels[k], less, "tongue", levels[k].count(), "inner")
+        after = Window.partitionBy("tongue", F.expr(f"substring(gram, 1, {k - 1})"))
+        off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        grams = grams.withColumn("off", off).withColumn("all", F.sum("n").over(after)).withColumn("spare", F.sum("off").over(after) / F.col("all"))
+        if lower is None:
+            grams = grams.withColumn("below", 1 / (F.col("symbols") + 1))
+        else:
+            grams = grams.withColumn("rest", F.expr("substring(gram, 2)")).join(lower.select("tongue", F.col("gram").alias("rest"), F.col("p").alias("below")), ["tongue", "rest"])
+        lower = grams.select("tongue", "gram", ((F.col("n") - F.col("off")) / F.col("all") + F.col("spare") * F.col("below")).alias("p"))
+    return lower
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """h, bits: a model's n-grams by their hash, and the bits that each costs."""
 
-    bits: mean bits a symbol under the row's language model; null without symbols. Each block of
-    languages reads its own rows; those of languages without a symbol come last.
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.empty(batch.num_rows, np.int64)
+            gram = np.array(texts(batch, "gram"), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+            key = np.array(texts(batch, "tongue"), object)
+            for name in set(key.tolist()):
+                mine = np.flatnonzero(key == name)
+                h[mine] = hashes(gram[mine].reshape(-1), np.arange(len(mine)) * ORDER + ORDER - 1, name).view(np.int64)
+            p = batch.column(batch.schema.get_field_index("p")).to_numpy()
+            yield record({"h": pa.array(h), "bits": pa.array(-np.log2(p))})
+
+    return model.mapInArrow(rows, "h long, bits double")
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def measured(batch: pa.RecordBatch, keys: np.ndarray, bits: np.ndarray) -> dict:
+    """The columns of measure() for rows of doc_id, text and tongue; keys, bits: n-grams by sorted hash."""
+    text = texts(batch)
+    mean: list[float | None] = [None] * len(text)
+    for key, rows in by_language(batch).items():
+        codes, own = coded([text[i] for i in rows])
+        cost = bits[np.searchsorted(keys, hashes(codes, own, key))]
+        sizes = np.array([len(text[i]) for i in rows], np.int64)
+        for i, x in zip(rows, (np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes).tolist(), strict=True):
+            mean[i] = x
+    found = [Counts(t) for t in text]
+    return {
+        "doc_id": ids(batch),
+        "tongue": ids(batch, "tongue"),
+        **{k: pa.array([getattr(c, k) for c in found], pa.int64()) for k in COUNTS},
+        "n_chars": pa.array([c.n_chars for c in found], pa.int64()),
+        "bits": pa.array(mean, pa.float64()),
+    }
+
+
+def measure(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, tongue, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, bits of every row.
+
+    model: h and bits, from the n-grams of docs itself, so that it has every n-gram asked for.
+    bits: mean bits a character under the row's language model; null without characters.
     """
     bounded_batches(docs.sparkSession)
-    rows_of = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), language(docs, lang_col).alias("lang"))
-    schema = f"doc_id {id_field(docs, id_col)}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long, bits double"
-
-    def measured(part: DataFrame, models: dict[str | None, KneserNey]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(models)
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            models = sent.value
-            dense: dict[str | None, tuple[np.ndarray, np.ndarray]] = {}  # what has been looked up so far
-
-            def bits(data: bytes, lang: str | None) -> float | None:
-                if not data:
-                    return None
-                if lang not in dense:
-                    if len(dense) >= DENSE:
-                        del dense[next(iter(dense))]
-                    dense[lang] = np.zeros(1 << ORDER * BITS, np.float32), np.zeros(1 << ORDER * BITS, bool)
-                value, known = dense[lang]
-                code = codes_of(data)
-                new = np.unique(code[~known[code]])
-                if len(new):
-                    value[new], known[new] = models[lang].log2(new), True
-                return float(-value[code].mean(dtype=np.float64))
-
-            for batch in slices(batches):
-                langs = texts(batch, "lang")
-                found = [Counts(t) for t in texts(batch)]
-                yield record({
-                    "doc_id": ids(batch),
-                    "lang": pa.array(langs, pa.string()),
-                    **{k: pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
-                    "n_grams": pa.array([len(c.data) for c in found], pa.int64()),
-                    "bits": pa.array([bits(c.data, x) for c, x in zip(found, langs, strict=True)], pa.float64()),
-                })
-
-        return part.mapInArrow(rows, schema)
-
-    found = blocks(counts)
-    if len(found) < 2:
-        return written(measured(rows_of, models_of(counts, found[0]) if found else {}), "perplexity")
-    out = [written(measured(rows_of.where(among(F.col("lang"), langs)), models_of(counts, langs)), "perplexity") for langs in found]
-    every = [x for langs in found for x in langs]
-    out.append(written(measured(rows_of.where(~among(F.col("lang"), every)), {}), "perplexity"))
-    return reduce(DataFrame.union, out)
+    kind = id_field(docs, id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), tongue(docs[f"`{lang_col}`"]).alias("tongue"))
+    schema = f"doc_id {kind}, tongue string, {', '.join(f'{k} long' for k in COUNTS)}, n_chars long, bits double"
+    if model.count() > BROADCAST:
+        return written(joined(rows, model, schema), "perplexity")
+    table = model.toArrow()
+    order = np.argsort(table.column("h").to_numpy().view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast((table.column("h").to_numpy().view(np.uint64)[order], table.column("bits").to_numpy().astype(np.float32)[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=STEP):
+            yield record(measured(batch, *sent.value))
+
+    return written(rows.mapInArrow(run, schema), "perplexity")
+
+
+def joined(rows: DataFrame, model: DataFrame, schema: str) -> DataFrame:
+    """measure() for a model of any size: each chunk of texts asks for its different n-grams by a join."""
+    most = CHUNK
+    kind = id_field(rows, "doc_id")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, 0
+        for batch in slices(batches):
+            chunks = []
+            for row, text in zip(ids(batch, "row").to_pylist(), texts(batch), strict=True):
+                if chunk is None or held >= most:
+                    chunk, held = row, 0
+                chunks.append(chunk)
+                held += len(text or "")
+            yield record({"chunk": pa.array(chunks, pa.int64()), "doc_id": ids(batch), "text": ids(batch, "text"), "tongue": ids(batch, "tongue")})
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.empty(0, np.uint64)
+        for batch in slices(batches, limit=STEP):
+            text, chunk = texts(batch), ids(batch, "chunk").to_numpy()
+            found = by_language(batch)
+            for c in dict.fromkeys(chunk.tolist()):
+                if at is not None and c != at and len(held):
+                    yield record({"chunk": pa.array(np.full(len(held), at)), "h": pa.array(held.view(np.int64))})
+                    held = np.empty(0, np.uint64)
+                at = c
+                for key, rows_of in found.items():
+                    own = [text[i] for i in rows_of if chunk[i] == c]
+                    if own:
+                        held = np.union1d(held, hashes(*coded(own), key))
+        if len(held):
+            yield record({"chunk": pa.array(np.full(len(held), at)), "h": pa.array(held.view(np.int64))})
+
+    def answered(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, first = np.unique(answers.column("h").to_numpy().view(np.uint64), return_index=True)
+        bits = answers.column("bits").to_numpy()[first].astype(np.float32)
+        parts = [measured(b, keys, bits) for b in slices(iter(texts_of.select(["doc_id", "text", "tongue"]).to_batches()), limit=STEP)]
+        return pa.concat_tables([pa.table(p) for p in parts])
+
+    chunks = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, f"chunk long, doc_id {kind}, text string, tongue string"), "chunks")
+    answers = chunks.mapInArrow(asked, "chunk long, h long").join(model, "h").select("chunk", "h", "bits")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, schema)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = SPREAD) -> DataFrame:
@@ -237,21 +260,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Model, counts and bands are of all rows. A row is kept unless it fails the base rules or its
     perplexity (2 ** bits) lies outside its language's band: the median, and `spread`
     interquartile ranges to either side, wider for short texts. Null and empty texts have no
-    words and fail. Null languages form one of their own, and so does every other value. Repeated rows and null ids are kept,
-    one row each; an empty table gives an empty one. Other columns are not read.
+    words and fail. Null languages form one of their own, and so does every other value. Repeated
+    rows and null ids are kept, one row each; an empty table gives an empty one. Other columns
+    are not read.
     """
     counts = written(count_ngrams(docs, text_col, lang_col), "ngrams")
-    measured = measure(docs, counts, id_col, text_col, lang_col)
-    long_enough = (F.col("n_words") >= MIN_WORDS) & F.col("bits").isNotNull()
-    bands = measured.where(long_enough).groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q"))
-    bands = bands.select(F.col("lang").alias("band"), F.col("q")[1].alias("middle"), (spread * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01))).alias("reach"))
-    reach = F.col("reach") + SHORT / F.sqrt(F.greatest("n_grams", F.lit(1)))
+    model = written(hashed(kneser_ney(counts)), "model")
+    found = measure(docs, model, id_col, text_col, lang_col)
+    long_enough = F.when((F.col("n_words") >= MIN_WORDS) & F.col("bits").isNotNull(), F.col("bits"))
+    bands = found.groupBy("tongue").agg(F.percentile_approx(long_enough, [0.25, 0.5, 0.75], 10_000).alias("q"), F.count("*").alias("size"))
+    bands = bands.select("tongue", "size", F.col("q")[1].alias("middle"), (spread * F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.01))).alias("reach"))
+    reach = F.col("reach") + SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        measured.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("band")), "left")  # a row for each language
+        spread_join(found, written(bands, "bands"), "tongue", found.count())
         .withColumn("base_failed", failed)
         .withColumn("lower", F.col("middle") - reach)
         .withColumn("upper", F.col("middle") + reach)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("lower"), F.col("upper")), F.lit(True)))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "bits", "lower", "upper", "kept")
+        .select("doc_id", *COUNTS, "base_failed", "bits", "lower", "upper", "kept")
     )

@@ -556,10 +556,11 @@ def test_gibberish_is_out_of_band(spark):
     assert not got.pop(99) and all(got.values())
 
 
-@pytest.mark.parametrize("block", [quality_rules.BLOCK, 1])
-def test_each_language_has_its_own_model(spark, monkeypatch, block):
-    """The languages de and es, whose hashes meet modulo 16, and null and empty ones, are measured alone or together alike."""
-    monkeypatch.setattr(quality_rules, "BLOCK", block)
+@pytest.mark.parametrize("most", [quality_rules.BROADCAST, 0])
+def test_each_language_has_its_own_model(spark, monkeypatch, most):
+    """Languages, null and empty ones are measured alone or together alike, with the model broadcast or joined."""
+    monkeypatch.setattr(quality_rules, "BROADCAST", most)
+    monkeypatch.setattr(quality_rules, "CHUNK", 900)
     rng = random.Random(8)
     words = {"de": ["der", "zwei", "nicht", "und", "auf"], "es": ["el", "dos", "nada", "pero", "casa"], None: ["x", "yy", "zzz"], "": ["0", "12", "345"]}
     docs = [(100 * k + i, " ".join(rng.choice(w) for _ in range(60)), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)] + [(999, "", "fr")]
@@ -567,17 +568,59 @@ def test_each_language_has_its_own_model(spark, monkeypatch, block):
     got = {r["doc_id"]: (r["bits"], r["lower"], r["upper"], r["kept"]) for r in rows(quality_rules.judge(spark.createDataFrame(docs, schema)))}
     assert len(got) == len(docs)
     alone = {r["doc_id"]: (r["bits"], r["lower"], r["upper"], r["kept"]) for lang in ("de", None) for r in rows(quality_rules.judge(spark.createDataFrame([d for d in docs if d[2] == lang], schema)))}
-    assert all(got[i] == x for i, x in alone.items())
-
-
-def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(5)
-    code, n = np.unique(quality_rules.codes_of(bytes(rng.choice(list(b"abcd e"), 3000))), return_counts=True)
-    model = quality_rules.KneserNey(code, n)
-    for context in [*np.unique(code >> 5)[:20], 31 << 10 | 30 << 5 | 29]:
-        assert abs(np.exp2(model.log2((int(context) << 5) + np.arange(32))).sum() - 1) < 1e-9
-    for k in model.keys:
-        assert (np.diff(model.keys[k]) > 0).all()
+    assert all(got[i][3] == x[3] and got[i][:3] == pytest.approx(x[:3], abs=1e-6) for i, x in alone.items())
+
+
+def brute_kneser_ney(texts, order):
+    """Probabilities of all n-grams of the highest order, by the published formulas."""
+    top = Counter()
+    for t in texts:
+        t = "\U0010ffff" * (order - 1) + t
+        top.update(t[i : i + order] for i in range(len(t) - order + 1))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    below = None
+    for k in range(1, order + 1):
+        c = levels[k]
+        n1, n2, n3, n4 = (max(1, sum(v == x for v in c.values())) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [min(max(x, 0.1), j - 0.1) for j, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        off = {g: d[min(v, 3) - 1] for g, v in c.items()}
+        p = {}
+        for g, v in c.items():
+            mates = [x for x in c if x[:-1] == g[:-1]]
+            total = sum(c[x] for x in mates)
+            p[g] = (v - off[g]) / total + sum(off[x] for x in mates) / total * (1 / (len(c) + 1) if below is None else below[g[1:]])
+        below = p
+    return below
+
+
+def test_kneser_ney_agrees_with_brute_force(spark):
+    rng = random.Random(5)
+    words = ["ab", "abc", "b\u00fca", "\u0436\u0438", "\U0001f600a", "c\x00", "aab"]
+    texts = {"x": [" ".join(rng.choices(words, k=rng.randint(1, 25))) for _ in range(20)], None: ["aaa", "ab ab", "b"]}
+    docs = spark.createDataFrame([(t, lang) for lang, some in texts.items() for t in some], "text string, lang string")
+    counts = quality_rules.count_ngrams(docs)
+    got = {(r["tongue"], r["gram"]): r["p"] for r in rows(quality_rules.kneser_ney(counts))}
+    want = {}
+    for lang, some in texts.items():
+        for g, p in brute_kneser_ney([t.replace("\x00", "\U0010fffe") for t in some], quality_rules.ORDER).items():
+            want["" if lang is None else "=" + lang, g] = p
+    assert got.keys() == want.keys() and all(abs(got[k] - p) < 1e-12 for k, p in want.items())
+    after = Counter()
+    for (lang, g), p in got.items():
+        after[lang, g[:-1]] += p
+    assert all(0 < total <= 1 + 1e-9 for total in after.values())
+
+
+def test_bands_reject_junk_and_keep_clean_texts(spark):
+    """On the test table, beyond what the base rules reject."""
+    home = "/root/testdata/sf0.1"
+    found = quality_rules.judge(spark.read.parquet(f"{home}/documents.parquet")).where("not base_failed")
+    told = rows(found.join(spark.read.parquet(f"{home}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")))
+    by = {r["quality"]: r for r in told}
+    assert by[1]["kept"] >= 0.985 * by[1]["n"] and by[0]["kept"] <= 0.7 * by[0]["n"], by
 
 
 # Row numbers
