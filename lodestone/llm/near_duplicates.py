@@ -29,7 +29,7 @@ SKETCH_WORDS = 16
 MISS = 1e-7
 """Chance that a pair of just the least similarity shares no band, or that its sketches are too far apart."""
 
-TOGETHER = 256
+TOGETHER = 4_096
 """Classes of a band that one task compares with all others of the band."""
 
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
