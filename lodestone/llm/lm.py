@@ -3,6 +3,10 @@
 Pairs of tokens are counted exactly, in a table that grows with the corpus and stays distributed.
 Texts are coded once and kept in chunks of neighbouring rows; a chunk asks for the counts of its
 different pairs only, and these come back to it by a join.
+
+The two models are matched: same order, vocabulary and smoothing, both with a boundary symbol
+before and after each text, and neither counts a text while it scores it. They are not matched
+in size: the background is the whole corpus. A document's copies do count.
 """
 
 from __future__ import annotations
@@ -39,14 +43,25 @@ def kind_of(n_tokens: int) -> str:
 
 
 def joined(parts: list[bytes], n_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens of all texts in one array, the token before each (n_tokens at a text's start), and the texts' lengths."""
+    """The tokens of all texts in one array, the token before each, and the texts' lengths.
+
+    A text that has tokens ends in the boundary n_tokens, which also stands before its first.
+    """
     kind = np.dtype(kind_of(n_tokens))
     lengths = np.array([len(p) // kind.itemsize for p in parts], np.int64)
-    codes = np.frombuffer(b"".join(parts), kind).astype(np.int64)
-    before = np.append(n_tokens, codes[:-1])[: len(codes)]
-    starts = np.cumsum(lengths) - lengths
-    before[starts[lengths > 0]] = n_tokens
-    return codes, before, lengths
+    lengths += lengths > 0
+    own = np.ones(int(lengths.sum()), bool)
+    own[np.cumsum(lengths)[lengths > 0] - 1] = False
+    codes = np.full(len(own), n_tokens, np.int64)
+    codes[own] = np.frombuffer(b"".join(parts), kind)
+    return codes, np.append(n_tokens, codes[:-1])[: len(codes)], lengths
+
+
+def own_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each code occurs in its own text."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    _, place, n = np.unique(text << 32 | codes, return_inverse=True, return_counts=True)
+    return n[place]
 
 
 def coded(docs: DataFrame, vocabulary: str, n_tokens: int, id_type: str) -> DataFrame:
@@ -102,18 +117,22 @@ def pair_counts(rows: DataFrame, n_tokens: int) -> DataFrame:
 
 
 class Bigrams:
-    """Token pairs, smoothed by single tokens, those by equal shares."""
+    """Token pairs, smoothed by single tokens, those by equal shares; the boundary is a token like any other."""
+
+    def __init__(self, found: np.ndarray):
+        """found: how often each token occurs, and last, how many texts have tokens."""
+        self.found = found.astype(np.float64)
+        self.total = float(self.found.sum())
 
-    def __init__(self, found: np.ndarray, n_tokens: int):
-        """found: how often each token occurs, and at n_tokens how many texts have tokens."""
-        self.n_tokens = n_tokens
-        single = found[:n_tokens] + 1.0
-        self.single = (single / single.sum()).astype(np.float32)
-        self.context = (found + PULL).astype(np.float32)
+    def losses(self, codes: np.ndarray, before: np.ndarray, pairs: np.ndarray, less: tuple = (0, 0, 0, 0)) -> np.ndarray:
+        """Bits that each token takes; pairs: how often the token's pair occurs.
 
-    def losses(self, codes: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Bits that each token takes; pairs: how often the token's pair occurs."""
-        return np.log2(self.context[before]) - np.log2(pairs + np.float32(PULL) * self.single[codes])
+        less: what is to be taken off the counts of the token, of the one before it, of the pair
+        and of all tokens.
+        """
+        own, own_before, own_pair, own_total = less
+        single = (self.found[codes] - own + 1) / (self.total - own_total + len(self.found))
+        return np.log2(self.found[before] - own_before + PULL) - np.log2(pairs - own_pair + PULL * single)
 
 
 def singles(table: DataFrame, n_tokens: int) -> list[np.ndarray]:
@@ -121,10 +140,8 @@ def singles(table: DataFrame, n_tokens: int) -> list[np.ndarray]:
 
     Every token is the second of one pair. The driver gets a row for each token at most.
     """
-    sums = (F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    tokens = table.groupBy(F.col("pair").bitwiseAND((1 << 32) - 1).alias("token")).agg(*sums)
-    starts = table.where(F.shiftright("pair", 32) == n_tokens).groupBy().agg(*sums).select(F.lit(n_tokens).cast("long").alias("token"), "n", "n_target").where("n is not null")
-    found = tokens.union(starts).toArrow()
+    tokens = table.groupBy(F.col("pair").bitwiseAND((1 << 32) - 1).alias("token")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    found = tokens.toArrow()
     out = []
     for name in ("n", "n_target"):
         out.append(np.zeros(n_tokens + 1, np.int64))
@@ -137,8 +154,10 @@ def scores(docs: DataFrame, target: DataFrame, vocabulary: str, id_col: str = "d
 
     target: a column id_col with the ids of the rows that are as wanted. Its model counts
     their texts, the background's all texts; both count all they have, over the vocabulary's
-    tokens. Losses are mean bits a token; score is the target's less the background's: the
-    lower, the more like the target. A text without tokens (null, empty) has no losses or score.
+    tokens and the boundary. While a row is scored its own text is taken off both (off the
+    target's if it is target). Losses are mean bits a token, the boundary after the text
+    included; score is the target's less the background's: the lower, the more like the target.
+    A text without tokens (null, empty) has no losses or score.
     Null ids are never target. Repeated rows are kept, one row each, and all count; an empty
     table gives an empty one. Other columns are not read.
     """
@@ -147,20 +166,23 @@ def scores(docs: DataFrame, target: DataFrame, vocabulary: str, id_col: str = "d
     n_tokens = max(*model.ranks.values(), *model.special.values()) + 1
     rows = coded(two_columns(docs, id_col, text_col), vocabulary, n_tokens, id_type)
     wanted = target.select(F.col(f"`{id_col}`").alias("doc_id")).where("doc_id is not null").distinct()
-    maybe, _ = split_by(rows.select("codes", "doc_id"), member_filter(wanted, "doc_id"), "doc_id")
+    maybe, _ = split_by(rows.select("codes", "doc_id", "chunk", "row"), member_filter(wanted, "doc_id"), "doc_id")
+    marks = maybe.select("doc_id", "chunk", "row").join(wanted, "doc_id", "left_semi").select("chunk", (-1 - F.col("row")).alias("pair"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_target"))
     asked = written(pair_counts(rows, n_tokens), "asked")
-    liked = pair_counts(maybe.join(wanted, "doc_id", "left_semi"), n_tokens).groupBy("pair").agg(F.sum("n").alias("n_target"))
+    liked = pair_counts(maybe.select("codes", "doc_id").join(wanted, "doc_id", "left_semi"), n_tokens).groupBy("pair").agg(F.sum("n").alias("n_target"))
     table = asked.groupBy("pair").agg(F.sum("n").alias("n")).join(liked, "pair", "left")
     table = written(table.select("pair", "n", F.coalesce("n_target", F.lit(0)).cast("long").alias("n_target")), "pairs")
-    background, wished = (Bigrams(c, n_tokens) for c in singles(table, n_tokens))
+    background, wished = (Bigrams(c) for c in singles(table, n_tokens))
     sent = docs.sparkSession.sparkContext.broadcast((wished, background))
     schema = f"row long, doc_id {id_type}, n_tokens long, target_loss double, background_loss double"
 
     def score(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
         bpe.load.cache_clear()  # the worker has coded its texts
         pairs, first = np.unique(answers.column("pair").to_numpy(), return_index=True)
-        counts = [answers.column(name).to_numpy()[first].astype(np.float32) for name in ("n_target", "n")]
-        parts = texts_of.column("codes").to_pylist()
+        counts = [answers.column(name).to_numpy()[first].astype(np.float64) for name in ("n_target", "n")]
+        rows, parts = texts_of.column("row").to_numpy(), texts_of.column("codes").to_pylist()
+        # Negative pairs name the target's rows.
+        shares = (np.isin(-1 - rows, pairs[: np.searchsorted(pairs, 0)]).astype(np.int64), np.ones(len(rows), np.int64))
         part_of = np.cumsum([len(p) for p in parts]) // STEP
         lengths, means = [], ([], [])
         for step in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(part_of)) + 1):
@@ -169,15 +191,19 @@ def scores(docs: DataFrame, target: DataFrame, vocabulary: str, id_col: str = "d
             some = n > 0
             starts = (np.cumsum(n) - n)[some]
             lengths.append(n)
-            for m, count, out in zip(sent.value, counts, means, strict=True):
+            own, own_pair, own_total = own_counts(codes, n), own_counts(at, n), np.repeat(n, n)
+            own_before = np.append(1, own[:-1])[: len(own)]  # a token is as often before another as it occurs; a boundary once
+            for m, count, share, out in zip(sent.value, counts, shares, means, strict=True):
                 mean = np.zeros(len(n))
                 if len(starts):
-                    mean[some] = np.add.reduceat(m.losses(codes, before, count[at]), starts, dtype=np.float64) / n[some]
+                    counted = np.repeat(share[step], n)
+                    less = tuple(x * counted for x in (own, own_before, own_pair, own_total))
+                    mean[some] = np.add.reduceat(m.losses(codes, before, count[at], less), starts) / n[some]
                 out.append(mean)
         n = np.concatenate(lengths)
         target_loss, background_loss = (pa.array(np.concatenate(m), pa.float64(), mask=n == 0) for m in means)
-        return pa.table({"row": texts_of.column("row"), "doc_id": texts_of.column("doc_id"), "n_tokens": pa.array(n), "target_loss": target_loss, "background_loss": background_loss})
+        return pa.table({"row": texts_of.column("row"), "doc_id": texts_of.column("doc_id"), "n_tokens": pa.array(n - (n > 0)), "target_loss": target_loss, "background_loss": background_loss})
 
-    answers = asked.select("chunk", "pair").join(table, "pair").select("chunk", "pair", "n", "n_target")
+    answers = asked.select("chunk", "pair").join(table, "pair").select("chunk", "pair", "n", "n_target").union(marks)
     out = written(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, schema), "losses")
     return out.orderBy("row").drop("row").withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -384,35 +384,59 @@ def test_additive_model_learns_pairs():
 # 6
 
 
+def brute_losses(coded, wanted, n, pull):
+    """Mean bits of each text under the pairs of the wanted texts, its own taken off."""
+    def counted(texts):
+        single, pair = Counter(), Counter()
+        for codes in texts:
+            if codes:
+                single.update([*codes, n])
+                pair.update(zip([n, *codes], [*codes, n], strict=True))
+        return single, pair
+
+    single, pair = counted(c for c, w in zip(coded, wanted, strict=True) if w)
+    out = []
+    for codes, w in zip(coded, wanted, strict=True):
+        s, p = Counter(single), Counter(pair)
+        if w:
+            own = counted([codes])
+            s.subtract(own[0])
+            p.subtract(own[1])
+        total = s.total() + n + 1
+        bits = [-np.log2((p[a, b] + pull * (s[b] + 1) / total) / (s[a] + pull)) for a, b in zip([n, *codes], [*codes, n], strict=True)]
+        out.append(np.mean(bits) if codes else None)
+    return out
+
+
 def test_lm_scores(spark, odd, empty, tokenizer):
     target = spark.createDataFrame([(1,), (7,), (None,), (42,)], "doc_id long")
     got = rows(lm.scores(odd, target, VOCABULARY))
     coded = [tokenizer.encode(t or "", add_special_tokens=False).ids for _, t, *_ in ODD]
-    n = 50257
-
-    def cell(a, b):
-        return int(lm.cells_of(np.array([b]), np.array([a]), n)[0])
-
-    def losses(wanted):
-        single, pair, context = Counter(), Counter(), Counter()
-        for codes, (i, *_) in zip(coded, ODD, strict=True):
-            if wanted is None or i in wanted:
-                single.update(codes)
-                for a, b in zip([n, *codes], codes, strict=False):
-                    pair[cell(a, b)] += 1
-                    context[a] += 1
-        # A token counts as context wherever it stands, its text's end included.
-        context = Counter({k: v for k, v in single.items()}) | Counter({n: context[n]})
-        total = sum(single.values()) + n
-        return [np.mean([-np.log2((pair[cell(a, b)] + lm.PULL * (single[b] + 1) / total) / (context[a] + lm.PULL)) for a, b in zip([n, *c], c, strict=False)]) if c else None for c in coded]
-
-    want = list(zip(losses({1, 7}), losses(None), strict=True))
+    want = zip(brute_losses(coded, [i in (1, 7) for i, *_ in ODD], 50257, lm.PULL), brute_losses(coded, [True] * len(ODD), 50257, lm.PULL), strict=True)
     for r, (a, b) in zip(got, want, strict=True):
         assert (r["target_loss"] is None) == (a is None)
-        assert a is None or abs(r["target_loss"] - a) < 1e-3 and abs(r["background_loss"] - b) < 1e-3
+        assert a is None or abs(r["target_loss"] - a) < 1e-9 and abs(r["background_loss"] - b) < 1e-9 and min(a, b) >= 0
     assert rows(lm.scores(empty, target, VOCABULARY)) == [] and len(rows(lm.scores(odd, target.limit(0), VOCABULARY))) == len(ODD)
 
 
+def test_every_context_sums_to_one():
+    """Over the vocabulary and the boundary, also with a text's own counts taken off."""
+    n = 40
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, n, k).astype(lm.kind_of(n)).tobytes() for k in (30, 0, 7, 300)]
+    codes, before, lengths = lm.joined(parts, n)
+    model = lm.Bigrams(np.bincount(codes, minlength=n + 1))
+    pair = Counter(zip(before.tolist(), codes.tolist(), strict=True))
+    own = slice(0, int(lengths[0]))
+    mine, own_pair = np.bincount(codes[own], minlength=n + 1), Counter(zip(before[own].tolist(), codes[own].tolist(), strict=True))
+    every = np.arange(n + 1)
+    for c in range(n + 1):
+        pairs = np.array([pair[c, t] for t in every], float)
+        bits = model.losses(every, np.full(n + 1, c), pairs)
+        less = model.losses(every, np.full(n + 1, c), pairs, (mine, mine[c], np.array([own_pair[c, t] for t in every]), int(mine.sum())))
+        assert abs(np.exp2(-bits).sum() - 1) < 1e-12 and abs(np.exp2(-less).sum() - 1) < 1e-12 and min(bits.min(), less.min()) >= 0
+
+
 def test_pairs_of_tokens_never_share_a_count():
     codes, before = np.meshgrid(np.arange(3000), np.arange(3000))
     assert len(np.unique(lm.cells_of(codes.ravel(), before.ravel(), 50257))) == codes.size
@@ -425,13 +449,9 @@ def test_lm_scores_over_several_chunks(spark, tokenizer, monkeypatch):
     got = rows(lm.scores(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.range(0, 60, 3).toDF("doc_id"), VOCABULARY))
     assert [r["doc_id"] for r in got] == list(range(60))
     coded = [tokenizer.encode(t, add_special_tokens=False).ids for _, t in docs]
-    n = 50257
-    for name, held in (("target_loss", coded[::3]), ("background_loss", coded)):
-        single, pair = Counter(b for c in held for b in c), Counter(p for c in held for p in zip([n, *c], c, strict=False))
-        context = single + Counter({n: sum(map(bool, held))})
-        for r, c in zip(got, coded, strict=True):
-            bits = [-np.log2((pair[a, b] + lm.PULL * (single[b] + 1) / (single.total() + n)) / (context[a] + lm.PULL)) for a, b in zip([n, *c], c, strict=False)]
-            assert r[name] is None if not c else abs(r[name] - np.mean(bits)) < 1e-3
+    for name, wanted in (("target_loss", [i % 3 == 0 for i in range(60)]), ("background_loss", [True] * 60)):
+        for r, x in zip(got, brute_losses(coded, wanted, 50257, lm.PULL), strict=True):
+            assert r[name] is None if x is None else abs(r[name] - x) < 1e-9
 
 
 # 7
