@@ -18,8 +18,10 @@ import numpy as np
 import regex
 import tiktoken
 
-CACHE = 150_000
-"""Segments in each of a cache's two generations."""
+CACHE, CACHE_BYTES = 150_000, 24 << 20
+"""Segments in each of a cache's two generations, and about how many bytes they take."""
+LONGEST = 200
+"""Code points of the longest segment that is remembered: in unspaced scripts a segment is a paragraph."""
 
 PAIRS = 2_000_000
 """Token pairs of which it is remembered whether they keep apart."""
@@ -37,20 +39,24 @@ class Odd(Exception):
 
 
 class Generations(dict):
-    """A cache whose older half goes when the newer half is full."""
+    """A cache whose older half goes when the newer half is full, by entries or by bytes."""
 
-    def __init__(self, make, size: int = CACHE):
+    def __init__(self, make, size: int = CACHE, most: int = CACHE_BYTES):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.most, self.held, self.old = make, size, most, 0, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
+        if len(self) >= self.size or self.held >= self.most:
             self.old = self.copy()
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += 200 + 4 * len(key) + len(value)  # an entry's objects, a wide key, its value
         return value
 
 

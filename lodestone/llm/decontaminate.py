@@ -12,13 +12,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, id_field, ids, record, slices, spans_of, texts, two_columns
+from lodestone.llm.common import bounded_batches, id_field, ids, record, slices, spans_of, texts, two_columns, written
 
 WINDOW = 10
 """Consecutive item words that count as an occurrence; a shorter item counts whole."""
 
-BLOCK_BYTES = 8 << 20
-"""Item text in one automaton; a larger benchmark makes several, which each task takes in turn."""
+BLOCK_BYTES = 4 << 20
+"""Item text in one automaton, about; a larger benchmark makes several, which each task takes in turn."""
+HELD_BYTES = 16 << 20
+"""Text that a task holds while it takes several automata in turn."""
 
 # Lower-cases A-Z; every other ASCII character that is no letter or digit becomes a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -160,25 +162,29 @@ class Automaton:
 
 
 class Items:
-    """The automata of a benchmark, each over items of at most BLOCK_BYTES, as broadcasts.
+    """The automata of a benchmark, each over items of about BLOCK_BYTES, as broadcasts.
 
-    One automaton stays loaded in a worker. Of several, a worker holds one at a time and takes
-    each in turn over every batch of documents, so memory doesn't grow with the benchmark.
+    Items are dealt to blocks by their hash, and a block's automaton is built on an executor and
+    written to the shared folder; the driver sees one of them at a time. One automaton stays
+    loaded in a worker. Of several, a worker holds one at a time and takes each in turn over
+    HELD_BYTES of documents, so memory doesn't grow with the benchmark.
     """
 
     def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES):
         spark = benchmark.sparkSession
-        self.blocks: list[tuple[str, Broadcast]] = []
-        held, size = [], 0
-        rows = two_columns(benchmark, id_col, text_col).orderBy("doc_id", "text")
-        for row in rows.toLocalIterator():  # a block of items at a time, however many there are
-            n = len(row.text or "")
-            if held and size + n > block_bytes:
-                self.blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(Automaton(held, window)))))
-                held, size = [], 0
-            held.append((row.doc_id, words_of(row.text)))
-            size += n
-        self.blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(Automaton(held, window)))))
+        rows = two_columns(benchmark, id_col, text_col)
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(1, -(-size // block_bytes))
+
+        def built(table: pa.Table) -> pa.Table:
+            found = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)
+            automaton = Automaton([(name, words_of(text)) for name, text in found], window)
+            return pa.table({"block": table.column("block").slice(0, 1), "automaton": pa.array([pickle.dumps(automaton)], pa.binary())})
+
+        dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"))
+        stored = written(dealt.groupBy("block").applyInArrow(built, "block long, automaton binary"), "automata")
+        names = [r.block for r in stored.select("block").orderBy("block").collect()]
+        self.blocks: list[tuple[str, Broadcast]] = [(uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(stored.where(F.col("block") == b).first().automaton))) for b in names]
 
     def automata(self) -> Iterator[Automaton]:
         for name, block in self.blocks:
@@ -187,6 +193,20 @@ class Items:
                 _loaded.update(name=name, automaton=pickle.loads(block.value))
             yield _loaded["automaton"]
 
+    def gathered(self, batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[pa.RecordBatch]:
+        """Batches as they are to be scanned: as they come for one automaton, HELD_BYTES of text at a time for several."""
+        held: list[pa.RecordBatch] = []
+        for batch in slices(batches, text_col):
+            if len(self.blocks) < 2:
+                yield batch
+                continue
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= HELD_BYTES:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
 
 _loaded: dict = {}
 
@@ -214,7 +234,7 @@ def contamination(docs: DataFrame, items: Items, id_col: str = "doc_id", text_co
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in items.gathered(batches):
             split = [words_of(t) for t in texts(batch)]
             masks, found = scan(split, items)
             hit = [int(m.sum()) for m in masks]
@@ -234,49 +254,55 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def cut(text: str | None, items: Items, max_coverage: float) -> tuple[str | None, bool]:
-    """The text without hit spans, and whether hits cover more than max_coverage of its words.
+def without(text: str, mask: np.ndarray) -> str:
+    """The text without its hit words and what stands between neighbouring ones."""
+    flat = "".join(chr(WORD_BYTES[ord(c)]) if ord(c) < 128 else c for c in text)
+    places, at = [], 0  # of the words in the text, by code points
+    for w in flat.split(" "):
+        if w:
+            places.append((at, at + len(w)))
+        at += len(w) + 1
+    kept, at = [], 0
+    for a, b in spans_of(mask):
+        kept.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return "".join([*kept, text[at:]])
+
+
+def cut(old: list[str | None], items: Items, max_coverage: float) -> tuple[list[str | None], list[bool]]:
+    """The texts without hit spans, and whether hits cover more than max_coverage of each one's words.
 
     Cutting can bring words together that make a new window, so it goes on until none is left.
     """
-    first = True
-    while text:
-        words = words_of(text)
-        (mask,), (found,) = scan([words], items)
-        if not found and not mask.any():
-            break
-        if first and mask.mean() > max_coverage:
-            return "", True
-        first = False
-        # Places of the words in the text, by code points.
-        flat = "".join(chr(WORD_BYTES[ord(c)]) if ord(c) < 128 else c for c in text)
-        places, at = [], 0
-        for w in flat.split(" "):
-            if w:
-                places.append((at, at + len(w)))
-            at += len(w) + 1
-        kept, at = [], 0
-        for a, b in spans_of(mask):
-            kept.append(text[at : places[a][0]])
-            at = places[b - 1][1]
-        text = "".join([*kept, text[at:]])
-    return text, False
+    new, bad = list(old), [False] * len(old)
+    pending, first = [i for i, t in enumerate(old) if t], True
+    while pending:
+        masks, _ = scan([words_of(new[i]) for i in pending], items)
+        changed = []
+        for i, mask in zip(pending, masks, strict=True):
+            if first and mask.any() and mask.mean() > max_coverage:
+                bad[i] = True
+            elif mask.any():
+                new[i] = without(new[i], mask)
+                changed.append(i)
+        pending, first = changed, False
+    return new, bad
 
 
 def remove(docs: DataFrame, items: Items, text_col: str = "text", max_coverage: float = 0.5) -> DataFrame:
     """docs without the spans of text_col that repeat benchmark windows.
 
     A row of which more than max_coverage of the words are hit is dropped. All columns are
-    kept; only text_col changes. Null texts stay null.
+    kept; only text_col changes. Null texts stay null, empty ones empty; repeated rows and null
+    ids are cut alike, one row each. An empty table, or an empty benchmark, changes nothing.
     """
     at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            old = batch.column(at).to_pylist()
-            new = [cut(t, items, max_coverage) for t in old]
-            out = batch.set_column(at, text_col, pa.array([t for t, _ in new], batch.schema.field(at).type))
-            yield out.filter(pa.array([not bad for _, bad in new], pa.bool_()))
+        for batch in items.gathered(batches, text_col):
+            new, bad = cut(batch.column(at).to_pylist(), items, max_coverage)
+            out = batch.set_column(at, text_col, pa.array(new, batch.schema.field(at).type))
+            yield out.filter(pa.array([not x for x in bad], pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)

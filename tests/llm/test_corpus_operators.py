@@ -73,14 +73,32 @@ def test_every_prefix_is_counted(tokenizer):
 
 
 def test_caches_stay_small():
-    cache = bpe.Generations(lambda k: k * 2, 10)
-    assert [cache[i] for i in range(100)] == [2 * i for i in range(100)] and len(cache) <= 10 and len(cache.old) <= 10 and cache[5] == 10
+    cache = bpe.Generations(lambda k: k * 2, 10)  # strings, as segments are
+    assert [cache[str(i)] for i in range(100)] == [2 * str(i) for i in range(100)] and len(cache) <= 10 and len(cache.old) <= 10 and cache["5"] == "55"
+    model = bpe.Bpe(VOCABULARY)
+    rng = random.Random(1)
+    for _ in range(60):  # unspaced texts, of which each segment is a paragraph
+        model.ids("".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)))
+    assert len(model.id_cache) + len(model.id_cache.old) < 60
+    wide = bpe.Generations(lambda k: b"x" * 1000, most=50_000)
+    assert [len(wide[str(i)]) for i in range(500)] == [1000] * 500 and len(wide) + len(wide.old) < 100
 
 
 def test_token_counts(odd, empty, tokenizer):
-    got = rows(token_counts.totals(token_counts.prefix_table(odd, VOCABULARY)))
+    got = rows(token_counts.totals(odd, VOCABULARY))
     want = [{"doc_id": i, "n_bytes": len((t or "").encode()), "n_tokens": (n := len(tokenizer.encode(t or "", add_special_tokens=False).ids)), "over_limit": n > 512} for i, t, *_ in ODD]
-    assert ordered(got) == ordered(want) and rows(token_counts.totals(token_counts.prefix_table(empty, VOCABULARY))) == []
+    assert ordered(got) == ordered(want) and rows(token_counts.totals(empty, VOCABULARY)) == []
+
+
+def test_budgets_and_truncation(odd, empty, tokenizer):
+    cut = rows(token_counts.truncated(odd, VOCABULARY, 5))
+    assert [set(r) for r in cut] == [{"doc_id", "text", "lang", "row", "score"}] * len(ODD)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    for r, (_, t, *_) in zip(cut, ODD, strict=True):
+        assert r["text"] == t if not t else t.startswith(r["text"]) and count(r["text"]) <= 5 and all(count(t[:k]) > 5 for k in range(len(r["text"]) + 1, min(len(t), len(r["text"]) + 40)))
+    table = rows(token_counts.within_budget(token_counts.prefix_table(odd, VOCABULARY), [0, 5, 10**9]))
+    assert all(r["cuts"] == [0, len((c["text"] or "").encode()), r["n_bytes"]] for r, c in zip(table, cut, strict=True))
+    assert rows(token_counts.truncated(empty, VOCABULARY, 5)) == []
 
 
 # 1
@@ -543,9 +561,26 @@ def test_contamination(spark, odd, empty):
         assert cleaned[20].split() == ["so", "so"] or cleaned[20].replace("!", "").split() == ["so", "so"]
         assert cleaned[21] == extra[1][1] and 2 in cleaned and cleaned[2] is None
     assert 20 not in {r["doc_id"] for r in rows(decontaminate.remove(docs, items, max_coverage=0.5))}
+    assert rows(decontaminate.remove(empty, items)) == [] and ordered(rows(decontaminate.remove(odd, decontaminate.Items(bench.limit(0))))) == ordered(rows(odd))
+    assert Counter(r["doc_id"] for r in rows(decontaminate.remove(odd, items, max_coverage=1.0))) == Counter(i for i, *_ in ODD)
     assert rows(decontaminate.contamination(empty, items)) == [] and not any(r["contaminated"] for r in rows(decontaminate.contamination(odd, decontaminate.Items(bench.limit(0)))))
 
 
+def test_an_automaton_is_loaded_once_for_many_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)], "item_id long, text string")
+    items = decontaminate.Items(bench, block_bytes=300)
+    assert len(items.blocks) > 4
+    loads = []
+    monkeypatch.setattr(decontaminate.pickle, "loads", lambda x, load=decontaminate.pickle.loads: loads.append(1) or load(x))
+    batches = [pa.RecordBatch.from_pydict({"text": [f"a w3x0 {' '.join(f'w{i}x{k}' for k in range(12))} z"]}) for i in range(30)]
+    found = []
+    for batch in items.gathered(iter(batches)):
+        found += decontaminate.scan([decontaminate.words_of(t) for t in batch.column(0).to_pylist()], items)[1]
+    assert found == [{i} for i in range(30)] and len(loads) == len(items.blocks)
+
+
 # 9
 
 
