@@ -293,6 +293,91 @@ def test_branches_are_told_apart_below_the_sixth_level(spark):
     assert {r["path"] for r in got if r["verdict"] == "block"} == {"/a/b/c/d/e/f/g/bad/h/i/x"} and len(got) == 401
 
 
+def brute_tree(pages):
+    """Templates of (host, shape) by the tree's rules, with dictionaries; pages: host, shape, good."""
+    count = Counter((h, s) for h, s, _ in pages)
+    labels = {k: [g for h, s, g in pages if (h, s) == k and g is not None] for k in count}
+    template = {k: "" for k in count}
+    parts = {(h, s): s.split("/") for h, s in count}
+    level = 0
+    while True:
+        level += 1
+        groups = {}
+        for (h, s), t in template.items():
+            if len(parts[h, s]) > level:
+                groups.setdefault((h, t), []).append((h, s))
+        groups = {p: m for p, m in groups.items() if sum(count[k] for k in m) >= urls.SUPPORT and len(m) > 1}
+        if not groups:
+            break
+        segment = {}
+        for members in groups.values():
+            seen = [g for k in members for g in labels[k]]
+            rate = (sum(seen) + 1) / (len(seen) + 2)
+            child = {}
+            for k in members:
+                child.setdefault(parts[k][level], []).append(k)
+            away = {}
+            for part, of in child.items():
+                own = [g for k in of for g in labels[k]]
+                if sum(count[k] for k in of) >= urls.SUPPORT and own:
+                    z = ((sum(own) + 2 * rate) / (len(own) + 2) - rate) / (rate * (1 - rate) / len(own)) ** 0.5
+                    if abs(z) > urls.ALIKE:
+                        away[part] = (z > 0, len(own), sum(own))
+            for part, (side, n, g) in away.items():
+                mates = [x for x in away.values() if x[0] == side]
+                n_side, g_side = sum(x[1] for x in mates), sum(x[2] for x in mates)
+                pool = (g_side + 1) / (n_side + 2)
+                apart = abs((g + 2 * pool) / (n + 2) - (g_side - g + 2 * pool) / (n_side - n + 2)) / (pool * (1 - pool) * (1 / n + 1 / max(n_side - n, 1))) ** 0.5
+                for k in child[part]:
+                    segment[k] = "*" + "-+"[side] if n_side > n and apart <= urls.ALIKE else part
+        template = {k: t + ("/" + segment.get(k, "*") if len(parts[k]) > level else "") for k, t in template.items()}
+    return {k: t + "/*" * max(0, len(parts[k]) - level) for k, t in template.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_tree_agrees_with_brute_force(spark, seed):
+    rng = random.Random(seed)
+    odds = {p: rng.choice([0.05, 0.1, 0.5, 0.9, 0.95]) for p in "abcdefgh"}
+    pages = []
+    for _ in range(3000):
+        path = [rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 2, 3]))]
+        good = int(rng.random() < odds[path[0]] * odds[path[-1]]) if rng.random() < 0.7 else None
+        pages.append((rng.choice(["h", "h", "k"]), "/" + "/".join(path), good))
+    got = rows(urls.template_tree(spark.createDataFrame(pages, "host string, shape string, good int")))
+    want = brute_tree(pages)
+    assert {(r["host"], r["shape"]): r["template"] for r in got} == want and any("*-" in t or "*+" in t for t in want.values())
+
+
+def judged(spark, pages, labels):
+    got = rows(urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")))
+    assert len(got) == len(pages)
+    return got
+
+
+def test_bad_hosts_are_found_from_few_labels_and_noise_is_not(spark):
+    """Of 200 hosts with 6 labels each a tenth are bad; precision and recall on all pages. Labels without sense block nothing."""
+    rng = random.Random(2)
+    bad = {h for h in range(200) if h % 10 == 0}
+    pages = [(i, f"http://site{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 20)}.org/post/{i}") for i in range(6000)]
+    host = lambda i: i % 10 + 10 * (i // 10 % 20)
+    sense = [(i, int(rng.random() < (0.1 if host(i) in bad else 0.9))) for i in range(6000) if i // 200 % 5 == 0]
+    blocked = {r["page_id"] for r in judged(spark, pages, sense) if r["verdict"] == "block"}
+    planted = {i for i in range(6000) if host(i) in bad}
+    assert len(blocked & planted) >= 0.9 * len(planted) and len(blocked & planted) >= 0.95 * len(blocked)
+    noise = [(i, int(rng.random() < 0.86)) for i, _ in sense]
+    assert not [r for r in judged(spark, pages, noise) if r["verdict"] == "block"]
+
+
+def test_urls_of_odd_rows(spark):
+    """Repeated rows, null ids, very long urls, labels that tie or contradict each other."""
+    long = "http://long.org/" + "y" * 200_000
+    pages = [(1, long), (1, long), (None, "http://n.org/a"), (2, None), (3, "http://t.org/\x01/\x01"), *[(10 + i, f"http://t.org/a/{i}") for i in range(40)], *[(100 + i, f"http://g.org/a/{i}") for i in range(40)]]
+    labels = [(1, 0), (1, 1), (None, 0), (3, 7), *[(100 + i, 1) for i in range(40)], *[(10 + i, i % 2) for i in range(40)], *[(10 + i, i % 2) for i in range(40)]]
+    got = judged(spark, pages, labels)
+    assert Counter(r["page_id"] for r in got) == Counter(i for i, _ in pages) and {r["path"] for r in got if r["page_id"] == 1} == {long[15:]}
+    assert [r["host"] for r in got if r["page_id"] is None] == ["n.org"] and all(r["verdict"] == "allow" for r in got if r["host"] == "t.org")
+
+
 # 4
 
 
