@@ -1,15 +1,18 @@
 """Personal data: patterns, and a skip-chain conditional random field that adds what they miss.
 
 The field's nodes are a text's tokens with a digit or an @. Neighbouring tokens are linked in a
-chain; a token is also linked with the next one, however far, that repeats it or has the same
-digits. Loopy belief propagation passes messages along both, so evidence at one mention bears
-on the others. A label's spans are added where the field is sure and no pattern's span is.
+chain; a token is also linked with the next one, however far, that repeats it or resembles it
+(same last digits, same name before an @). Loopy belief propagation passes messages along both,
+so evidence at one mention bears on the others. A label's spans are added where the field is
+sure and no pattern's span is. Beside the patterns' kinds the field knows secrets: what is
+assigned to a name such as token or password teaches it how they look.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +25,9 @@ from lodestone.llm.common import bounded_batches, bounded_sample, id_field, ids,
 
 # The kinds in the order of the result.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("other", *KINDS)
+SECRET = "secret"
+LABELS = ("other", *KINDS, SECRET)
+NAMES = LABELS[1:]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +36,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
-OUTER = ".,;:!?\"'<>[]{}"
+SEED = re.compile(r"(?i)(?:token|key|secret|passw(?:or)?d)[ ]{0,2}[=:][ ]{0,2}[\"']?([A-Za-z0-9_+/-]{16,})")
+"""What teaches the field secrets; it finds them by itself, after other names too."""
+OUTER = ".,;:!?\"'<>[]{}#$%&*|="
+BEFORE = re.compile(r"(\S+)\s*[=:]?\s*[\"'(]?$")
 
 SAMPLE, SAMPLE_BYTES = 2_000, 40_000_000
 """Texts to fit on at most, and bytes of them all after which no further one is taken; chosen by hash, whatever their length."""
@@ -108,22 +116,33 @@ def shape(token: str) -> list[int]:
     return out
 
 
-WIDTH = 36
+CONTEXTS = 64
+HIDDEN = 36 + CONTEXTS
+WIDTH = HIDDEN + 1
+"""Features of a token's shape, of the word before it (by hash), and one that says that both are hidden."""
+
+
+def known(text: str, start: int, token: str) -> list[int]:
+    """Features of a token in its text: its shape, and the word before it, with whether something is assigned."""
+    found = BEFORE.search(text, max(0, start - 40), start)
+    word = found[0].strip().lower() if found else ""
+    # The hash doesn't depend on the process.
+    return [*shape(token), 36 + zlib.crc32(word.rstrip("\"'( ").encode("utf-8", "surrogatepass")) % CONTEXTS]
 
 
 @dataclass
 class Field:
-    """Log potentials: unary (features x labels), chain and skip (labels x labels)."""
+    """Log potentials: unary (features x labels), chain and skip (labels x labels; skip is symmetric)."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
 
-    def nodes(self, tokens: list[str]) -> np.ndarray:
-        z = np.zeros((len(tokens), len(LABELS)))
-        for i, t in enumerate(tokens):
-            z[i] = self.unary[shape(t)].sum(0)
-        return z - np.logaddexp.reduce(z, axis=1, keepdims=True) if len(tokens) else z
+    def nodes(self, features: list[list[int]]) -> np.ndarray:
+        z = np.zeros((len(features), len(LABELS)))
+        for i, f in enumerate(features):
+            z[i] = self.unary[f].sum(0)
+        return z - np.logaddexp.reduce(z, axis=1, keepdims=True) if len(features) else z
 
 
 def edges_of(text: str, tokens: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -131,8 +150,8 @@ def edges_of(text: str, tokens: list[tuple[int, int, str]]) -> tuple[list[tuple[
     chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1][0] - tokens[i][1] <= 3 and not text[tokens[i][1] : tokens[i + 1][0]].strip(OUTER + " \t")]
     skip, last = [], {}
     for i, (_, _, token) in enumerate(tokens):
-        d = digits_of(token)
-        keys = {token.lower()} | ({d} if len(d) >= 7 else set())
+        d, name = digits_of(token), token.partition("@")[0].lower() if "@" in token else ""
+        keys = {token.lower()} | ({d[-7:]} if len(d) >= 7 else set()) | ({name + "@"} if name else set())
         for j in {last[k] for k in keys if k in last}:
             skip.append((j, i))
         last.update((k, i) for k in keys)
@@ -165,42 +184,60 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, kind:
     return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
 
 
-def fit(sample: list[str]) -> Field:
-    """A field fitted piecewise on texts whose labels are what the patterns find.
+def labels_of(text: str, tokens: list[tuple[int, int, str]]) -> list[int]:
+    """What the patterns, and for secrets the seed, say of each token."""
+    spans = [(a, k + 1, b) for a, k, b in base_spans(text)] + [(m.start(1), len(KINDS) + 1, m.end(1)) for m in SEED.finditer(text)]
+    return [next((k for s, k, e in spans if s < b and a < e), 0) for a, b, _ in tokens]
+
 
-    Unary weights are a multinomial logistic regression; the chain and skip potentials are the
-    smoothed log ratios of how often two labels are linked and how often they would be by chance.
+def fit(sample: list[str], steps: int = 250, seed: int = 7) -> Field:
+    """A field whose unary, chain and skip weights are learned together, by pseudo-likelihood.
+
+    Each token's label is to follow from its features and its neighbours' labels. The labels are
+    what the patterns and the seed find. Every text counts twice: as it is, and with the features
+    of half of its tokens hidden at random, so that there only the neighbours along the chain and
+    the skip links can tell; that is what teaches the links' weights.
     """
-    features, labels, pairs = [], [], ([], [])
+    features, labels, links = [], [], ([], [])
+    rng = np.random.default_rng(seed)
     for text in sorted(sample):
-        spans, tokens = base_spans(text), tokens_of(text)
-        base = len(labels)
-        for a, b, token in tokens:
-            features.append(shape(token))
-            labels.append(next((k + 1 for s, k, e in spans if s < b and a < e), 0))
-        for held, found in zip(pairs, edges_of(text, tokens), strict=True):
-            held += [(base + i, base + j) for i, j in found]
+        tokens = tokens_of(text)
+        found, seen = edges_of(text, tokens), labels_of(text, tokens)
+        for hide in (False, True):
+            base = len(labels)
+            gone = rng.random(len(tokens)) < 0.5 * hide
+            features += [[HIDDEN] if g else known(text, a, t) for (a, _, t), g in zip(tokens, gone, strict=True)]
+            labels += seen
+            for held, edges in zip(links, found, strict=True):
+                held += [(base + i, base + j) for i, j in edges]
     n, k = len(labels), len(LABELS)
-    x = np.zeros((n, WIDTH))
+    if not n:
+        only_other = np.zeros((WIDTH, k))
+        only_other[:, 0] = 1.0
+        return Field(only_other, np.zeros((k, k)), np.zeros((k, k)))
+    x = np.zeros((n, WIDTH), np.float32)
     for i, f in enumerate(features):
         x[i, f] = 1
-    y = np.eye(k)[labels] if n else np.zeros((0, k))
-    w = np.zeros((WIDTH, k))
+    y = np.eye(k, dtype=np.float32)[labels]
+    chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in links)
+    left, right, near = np.zeros_like(y), np.zeros_like(y), np.zeros_like(y)  # labels of the neighbours, summed
+    np.add.at(left, chain[:, 1], y[chain[:, 0]])
+    np.add.at(right, chain[:, 0], y[chain[:, 1]])
+    np.add.at(near, skip[:, 1], y[skip[:, 0]])
+    np.add.at(near, skip[:, 0], y[skip[:, 1]])
+    w, c, s = np.zeros((WIDTH, k), np.float32), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
     w[:, 0] = 0.05  # what nothing speaks for is no personal data
-    for _ in range(400 if n else 0):
-        z = x @ w
-        p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-        w += 1.5 * (x.T @ (y - p) / n - 1e-5 * w)
-
-    def ratio(links: list[tuple[int, int]], agree: float) -> np.ndarray:
-        c = np.full((k, k), 1.0) + agree * np.eye(k)
-        for i, j in links:
-            c[labels[i], labels[j]] += 1
-        p = c / c.sum()
-        return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -2, 2)
-
-    skip = ratio(pairs[1], 20.0)
-    return Field(w, ratio(pairs[0], 1.0), (skip + skip.T) / 2)
+    moments = [[np.zeros_like(m), np.zeros_like(m)] for m in (w, c, s)]
+    for step in range(1, steps + 1):
+        z = x @ w + left @ c + right @ c.T + near @ s
+        r = (y - np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))) / n
+        g = near.T @ r
+        grads = (x.T @ r - 1e-5 * w, left.T @ r + r.T @ right - 1e-5 * c, (g + g.T) / 2 - 1e-5 * s)
+        for m, grad, (one, two) in zip((w, c, s), grads, moments, strict=True):
+            one += 0.1 * (grad - one)
+            two += 0.01 * (grad * grad - two)
+            m += 0.05 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
+    return Field(w.astype(float), c.astype(float), s.astype(float))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Field:
@@ -223,7 +260,7 @@ def added_spans(batch_texts: list[str | None], base: list[list[tuple[int, int, i
         tokens = tokens_of(text)
         chain, skip = edges_of(text or "", tokens)
         at = len(flat)
-        flat += [t for _, _, t in tokens]
+        flat += [known(text, a, t) for a, _, t in tokens]
         edges += [(at + i, at + j) for i, j in [*chain, *skip]]
         kind += [0] * len(chain) + [1] * len(skip)
         held.append((tokens, set(chain)))
@@ -233,30 +270,32 @@ def added_spans(batch_texts: list[str | None], base: list[list[tuple[int, int, i
     p = beliefs(field.nodes(flat), np.array(edges, np.int64).reshape(-1, 2), np.stack((field.chain, field.skip)), np.array(kind, np.int64))
     label = np.where(p.max(1) >= SURE, p.argmax(1), 0)
     out = []
-    for (tokens, chain), spans, at in zip(held, base, bounds, strict=False):
-        found: list[list[int]] = []
+    for text, (tokens, chain), spans, at in zip(batch_texts, held, base, bounds, strict=False):
+        found: list[list[int]] = []  # start, kind, end, last token
         for i, (a, b, _) in enumerate(tokens):
             k = int(label[at + i]) - 1
             if k < 0:
                 continue
-            whole = k < 2 or k == 2 and max(len(digits_of(tokens[i][2])), len(digits_of(batch_texts[len(out)][found[-1][0] : found[-1][2]])) if found else 0) >= 14
-            if found and not whole and found[-1][3] == i - 1 and found[-1][1] == k and (i - 1, i) in chain:
+            # A card's or a phone's tokens in a row are one span; a card ends where it has the digits of one.
+            more = k in (2, 3) and found and found[-1][1] == k and found[-1][3] == i - 1 and (i - 1, i) in chain
+            if more and not (k == 2 and len(digits_of(text[found[-1][0] : found[-1][2]])) >= 14):
                 found[-1][2:] = [b, i]
             else:
                 found.append([a, k, b, i])
-        out.append([(a, k, b) for a, k, b, _ in found if len(digits_of(batch_texts[len(out)][a:b])) >= 7 * (k == 3) and not any(s < b and a < e for s, _, e in spans)])
+        fits = {0: lambda t: "@" in t, 1: lambda t: t.count(".") >= 3, 2: lambda t: 14 <= len(digits_of(t)) <= 19, 3: lambda t: 7 <= len(digits_of(t)) <= 15, 4: lambda t: len(t) >= 16}
+        out.append([(a, k, b) for a, k, b, _ in found if fits[k](text[a:b]) and not any(s < b and a < e for s, _, e in spans)])
     return out
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
 def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs.
 
     The numbers and the digest are of the patterns' spans, `kind:start:end` by start and kind,
-    joined by commas; spans has the field's too. Places are code points, the end exclusive.
+    joined by commas; spans has the field's too, which may be of the kind secret. Places are code points, the end exclusive.
     Null and empty texts have none. Repeated rows and null ids are kept, one row each; an empty
     table gives an empty one. Other columns are not read.
     """
@@ -282,13 +321,17 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, k, b in sorted(spans):
         if a >= at:
-            out += [text[at:a], f"<{KINDS[k]}>"]
+            out += [text[at:a], f"<{NAMES[k]}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def mask(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs with all spans of text_col masked. All rows and columns are kept; null texts stay null."""
+    """docs with all spans of text_col masked.
+
+    All rows and columns are kept, repeated rows and null ids too; null texts stay null, empty
+    ones empty, and texts of any length are masked whole. An empty table gives an empty one.
+    """
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
