@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, id_field, ids, mix, record, slices, texts, window_hashes, written
+from lodestone.llm.common import bounded_batches, id_field, ids, mix, record, slices, texts, written
 from lodestone.llm.features import Counts
 from lodestone.llm.rows import spread_join
 
@@ -57,7 +57,34 @@ def hashes(codes: np.ndarray, own: np.ndarray, key: str) -> np.ndarray:
     """A 64-bit hash of the n-gram that ends at each place, different for each language."""
     if not len(own):
         return np.empty(0, np.uint64)
-    return window_hashes(mix(codes.astype(np.uint64)), ORDER)[own - ORDER + 1] ^ np.uint64(xxhash.xxh3_64_intdigest(key))
+    n, c = len(codes) - ORDER + 1, codes.astype(np.uint64)
+    h = np.uint64(xxhash.xxh3_64_intdigest(key))
+    for first in range(0, ORDER, 3):  # three code points are 63 bits
+        packed = c[first : first + n].copy()
+        for k in range(1, min(3, ORDER - first)):
+            packed |= c[first + k : first + k + n] << np.uint64(21 * k)
+        packed += h
+        h = mix(packed)
+    return h[own - ORDER + 1]
+
+
+class Lookup:
+    """Values by hash: arrays sorted by hash, and where the hashes with the same first bits begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        """keys: sorted and different."""
+        bits = max(4, int(np.ceil(np.log2(max(1, 2 * len(keys))))))
+        self.keys, self.values, self.shift = keys, values, np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys >> self.shift, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+
+    def __getitem__(self, h: np.ndarray) -> np.ndarray:
+        """The values of hashes that are all among the keys."""
+        at = self.begin[h >> self.shift]
+        rest = np.flatnonzero(self.keys[at] != h)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[self.keys[at[rest]] != h[rest]]
+        return self.values[at]
 
 
 def by_language(batch: pa.RecordBatch) -> dict[str, list[int]]:
@@ -167,13 +194,13 @@ def hashed(model: DataFrame) -> DataFrame:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(batch: pa.RecordBatch, keys: np.ndarray, bits: np.ndarray) -> dict:
-    """The columns of measure() for rows of doc_id, text and tongue; keys, bits: n-grams by sorted hash."""
+def measured(batch: pa.RecordBatch, bits: Lookup) -> dict:
+    """The columns of measure() for rows of doc_id, text and tongue; bits: those of n-grams by their hashes."""
     text = texts(batch)
     mean: list[float | None] = [None] * len(text)
     for key, rows in by_language(batch).items():
         codes, own = coded([text[i] for i in rows])
-        cost = bits[np.searchsorted(keys, hashes(codes, own, key))]
+        cost = bits[hashes(codes, own, key)]
         sizes = np.array([len(text[i]) for i in rows], np.int64)
         for i, x in zip(rows, (np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64) / sizes).tolist(), strict=True):
             mean[i] = x
@@ -204,8 +231,9 @@ def measure(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast((table.column("h").to_numpy().view(np.uint64)[order], table.column("bits").to_numpy().astype(np.float32)[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = Lookup(*sent.value)
         for batch in slices(batches, limit=STEP):
-            yield record(measured(batch, *sent.value))
+            yield record(measured(batch, bits))
 
     return written(rows.mapInArrow(run, schema), "perplexity")
 
@@ -245,8 +273,8 @@ def joined(rows: DataFrame, model: DataFrame, schema: str) -> DataFrame:
 
     def answered(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
         keys, first = np.unique(answers.column("h").to_numpy().view(np.uint64), return_index=True)
-        bits = answers.column("bits").to_numpy()[first].astype(np.float32)
-        parts = [measured(b, keys, bits) for b in slices(iter(texts_of.select(["doc_id", "text", "tongue"]).to_batches()), limit=STEP)]
+        bits = Lookup(keys, answers.column("bits").to_numpy()[first].astype(np.float32))
+        parts = [measured(b, bits) for b in slices(iter(texts_of.select(["doc_id", "text", "tongue"]).to_batches()), limit=STEP)]
         return pa.concat_tables([pa.table(p) for p in parts])
 
     chunks = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, f"chunk long, doc_id {kind}, text string, tongue string"), "chunks")
