@@ -1,4 +1,4 @@
-"""A small export, written as the exporter would, and what stands in it."""
+"""A small export of an observatory's stock, written as the exporter would, and what stands in it."""
 
 from __future__ import annotations
 
@@ -6,62 +6,78 @@ import gzip
 import json
 
 D, S, U = 0, 1, 2
-STD = [["soundImpactDefault", "BulletImpact_Ground", D], ["soundDrop", "Standard_Drop", D], ["soundPickup", "Standard_Pickup", D], ["soundInteract", "Standard_Pickup", D]]
-BASE, MOD = "base.game", "test.mod"
+HOUSE, GUEST = "house.stock", "guest.loans"
+COMMON = [["alarm.cue", "Bell_Low", D], ["plug", "TypeF", D]]
+"""Fields that every rig has."""
 
 
-def thing(name, label, mod=BASE, fields=(), kind="ThingDef", cls="Verse.ThingDef", generated=False, truncated=0, std=True):
-    return {"kind": "def", "def_type": kind, "def_name": name, "label": label or "", "description": "", "source_mod": mod, "source_file": f"{name}.xml", "generated": generated, "class": cls, "fields": [*(STD if std else []), *map(list, fields)], "fields_truncated": truncated}
+def entity(kind, name, label, fields=(), mod=HOUSE, cls=None, generated=False, dropped=0):
+    rows = [*(COMMON if kind == "RigDef" else []), *map(list, fields)]
+    return {"kind": "def", "def_type": kind, "def_name": name, "label": label or "", "description": "", "source_mod": mod, "source_file": f"{kind}/{name}.xml", "generated": generated, "class": cls or f"Optics.{kind}", "fields": rows, "fields_truncated": dropped}
 
 
 DEFS = [
-    thing("Apparel_ShieldBelt", "shield belt", fields=[("thingClass", "Game.Apparel", D), ("comps[0].compClass", "Game.CompShield", S), ("comps[0].props.energyMax", "0.5", D), ("comps[0].props.energyLoss", "0.033", D), ("statBases[0].stat", "MarketValue", D), ("statBases[0].value", "120", D), ("statBases[1].stat", "ShieldRate", D), ("statBases[1].value", "0.13", D), ("shortHash", "123", D), ("comps[0].index", "1", D), ("modContentPack.name", "x", D)]),
-    thing("Bullet_Revolver", "revolver bullet", fields=[("thingClass", "Game.Bullet", D), ("projectile.damageAmountBase", "12", D), ("projectile.burstCount", "1", S), ("projectile.speed", "70", U)], truncated=3),
-    thing("Meat_Muffalo", "muffalo meat", fields=[("ingestible.foodType", "Meat", D)], generated=True),
-    thing("Anesthetic", "anesthetic", kind="HediffDef", cls="Verse.HediffDef", std=False, fields=[("hediffClass", "Verse.HediffWithComps", D), ("comps[0].compClass", "Verse.HediffComp_Disappears", D)]),
-    thing("TestModGun", "test gun", MOD, [("thingClass", "Game.Apparel", D), ("verbs[0].defaultProjectile", "Bullet_Revolver", D), ("comps[0].Class", "Game.CompProperties_Shield", D), ("comps[0].compClass", "Game.CompShield", S)]),
-    thing("Firefoam", "firefoam", fields=[("thingClass", "Game.Building", D), ("statBases[0].stat", "MarketValue", D), ("graphicData.texPath", "Things/Nozzle", D), ("building.blueprintGraphicData.texPath", "Things/Blueprint", D)]),
-    thing("Firefoam", None, kind="StatDef", cls="Verse.StatDef", std=False),
-    thing("FoamPopper", "firefoam", fields=[("thingClass", "Game.Building", D), ("statFactors[0].stat", "MarketValue", D), ("graphicData.texPath", "Things/Cannon", D)]),
-    thing("VoidNode", "void node", MOD),
-    thing("VoidNodeShard", "void node shard", MOD),
-    thing("GleamingVoidNode", "gleaming void node", MOD),
-    thing("VariantOne", "variant one", MOD, [("workerClass", "Verse.TestWorker", D)], "TestBaseDef", "Verse.TestVariantDef", std=False),
-    thing("PlainOne", "plain one", MOD, kind="TestBaseDef", cls="Verse.TestBaseDef", std=False),
+    # A namesake in another type, without label and fields.
+    entity("PlanDef", "Lantern", None),
+    entity("RigDef", "Lantern", "lantern", [("maker", "Optics.Lamp", D), ("art.sheet", "Sheets/Lamp", D), ("case.artFolded.sheet", "Sheets/Case", D), ("gauges[0].unit", "ArcMinute", D)]),
+    # The same label, and the same leaf and value under another path.
+    entity("RigDef", "LanternPole", "lantern", [("ratios[0].unit", "ArcMinute", D), ("maker", "Optics.Lamp", D)]),
+    # A list of records with siblings, a hidden default, and three bookkeeping fields.
+    entity("RigDef", "Sextant_Brass", "brass sextant", [
+        ("shortHash", "90", D), ("parts[0].index", "1", D), ("modContentPack.name", "x", D), ("maker", "Optics.Sextant", D), ("parts[0].driveClass", "Optics.CompTilt", S), ("parts[0].tune.drift", "0.011", D),
+        ("parts[0].tune.gain", "0.25", D), ("gauges[0].span", "60", D), ("gauges[0].unit", "ArcMinute", D), ("gauges[1].span", "4", D), ("gauges[1].unit", "Lux", D),
+    ]),
+    # All three states under one head, and fields that the exporter dropped.
+    entity("RigDef", "Slit_Echelle", "echelle slit", [("slit.angle", "15", U), ("slit.blades", "1", S), ("slit.width", "80", D), ("maker", "Optics.Slit", D)], dropped=5),
+    entity("RigDef", "Plate_Cold", "cold plate", [("cooling.fluid", "Glycol", D)], generated=True),
+    entity("KitDef", "Filter_Narrow", "narrow filter", [("parts[0].driveClass", "Optics.SlideDrive", D), ("kitClass", "Optics.FilterKit", D)]),
+    # Of another mod.
+    entity("RigDef", "Probe_Loaned", "loaned probe", [("feeds[0].target", "Slit_Echelle", D), ("maker", "Optics.Sextant", D), ("parts[0].Class", "Optics.CompProperties_Tilt", D), ("parts[0].driveClass", "Optics.CompTilt", S)], GUEST),
+    # Names of joined words, one within the other.
+    *(entity("RigDef", "".join(words), " ".join(words).lower(), mod=GUEST) for words in (("Quiet", "Dish"), ("Quiet", "Dish", "Rim"), ("Folded", "Quiet", "Dish"), ("Dish", "Cover"))),
+    # A class that isn't its type's.
+    entity("FrameDef", "FrameTilted", "tilted frame", [("runner", "Optics.FrameRunner", D)], GUEST, "Optics.TiltedFrame"),
+    entity("FrameDef", "FrameFlat", "flat frame", mod=GUEST),
 ]
 
 
-def node(kind, name, parent, abstract, def_name, ops=0):
-    return {"kind": "xmlnode", "def_type": kind, "name": name, "parent_name": parent, "abstract": abstract, "def_name": def_name, "label": None, "source_mod": BASE, "source_file": "x.xml", "patch_ops": ops}
+def node(kind, name, parent, def_name=None, ops=0):
+    return {"kind": "xmlnode", "def_type": kind, "name": name, "parent_name": parent, "abstract": def_name is None, "def_name": def_name, "label": None, "source_mod": HOUSE, "source_file": "nodes.xml", "patch_ops": ops}
 
 
 NODES = [
-    node("ThingDef", "BaseProjectile", None, True, None),
-    node("ThingDef", "BaseBullet", "BaseProjectile", True, None, 2),
-    node("ThingDef", None, "BaseBullet", False, "Bullet_Revolver"),
-    node("ThingDef", None, "BaseFromSomeDisabledMod", False, "TestModGun"),
-    node("ThingDef", None, "BaseProjectile", False, "Firefoam"),
-    node("TestVariantDef", None, "BaseProjectile", False, "VariantOne"),
-    node("ThingDef", "LoopA", "LoopB", True, None),
-    node("ThingDef", "LoopB", "LoopA", True, None),
+    node("RigDef", "RingWest", "RingEast"),  # a cycle of two
+    node("RigDef", "RingEast", "RingWest"),
+    node("RigDef", None, "Glass", "Lantern"),
+    node("TiltedFrame", None, "Glass", "FrameTilted"),  # not the entity's type, but there is one of the name
+    node("RigDef", None, "GoneWithItsMod", "Probe_Loaned"),  # no such node
+    node("RigDef", None, "ThinGlass", "Slit_Echelle"),
+    node("RigDef", "ThinGlass", "Glass", ops=3),
+    node("RigDef", "Glass", None),
 ]
 
 INJECTIONS = [
-    {"kind": "definj", "def_type": "ThingDef", "def_name": "Apparel_ShieldBelt", "path": "label", "translated": "护盾腰带", "original": "shield belt"},
-    {"kind": "definj", "def_type": "ThingDef", "def_name": "Firefoam", "path": "label", "translated": "灭火泡沫", "original": "firefoam"},
-    {"kind": "definj", "def_type": "OtherDef", "def_name": "Firefoam", "path": "note", "translated": "孤儿文本", "original": ""},
+    {"kind": "definj", "def_type": kind, "def_name": name, "path": path, "translated": text, "original": original}
+    for kind, name, path, text, original in [
+        ("RigDef", "Lantern", "label", "提灯", "lantern"),
+        ("LostDef", "Lantern", "note", "无主文字", ""),  # no owner: two entities of the name, none of the type
+        ("RigDef", "Sextant_Brass", "label", "黄铜六分仪", "brass sextant"),
+    ]
 ]
 
 KEYED = [
-    {"kind": "keyed", "key": k, "translated": t, "original": o, "source_file": "k.xml", "source_line": i, "placeholder": p}
-    for i, (k, t, o, p) in enumerate([("CannotUseNoPower", "没有电力", "No power", False), ("TodoKey", "TODO", "Not translated yet", True), ("JumpToLocation", "转至此处", "Jump", False), ("CommandSettle", "定居", "Settle", False), ("CommandSettleDesc", "定居说明", "Settle here", False), ("", "x", "y", False)])
+    {"kind": "keyed", "key": key, "translated": text, "original": original, "source_file": "ui.xml", "source_line": line, "placeholder": open_}
+    for line, (key, text, original, open_) in enumerate([("DomeShut", "圆顶已关", "Dome shut", False), ("DomeShutHint", "关闭圆顶", "Shut the dome", False), ("", "无键", "no key", False), ("SkyTodo", "TODO", "Still to do", True), ("PointAt", "指向", "Point", False), ("NoCurrent", "没有电流", "No current", False)])
 ]
 
-META = {"kind": "meta", "format_version": 4, "exporter_version": "0.2.0", "exported_at_utc": "2024-01-01T00:00:00Z", "game_version": "1.6.0000 rev1", "language": "ChineseSimplified", "mods": [{"package_id": BASE, "name": "Base", "version": "1.6"}, {"package_id": MOD, "name": "Test Mod", "version": "0.1"}], "limits": {}}
+META = {
+    "kind": "meta", "format_version": 4, "exporter_version": "0.3.1", "exported_at_utc": "2031-05-06T07:08:09Z", "game_version": "2.7.0001 rev3", "language": "ChineseSimplified",
+    "mods": [{"package_id": HOUSE, "name": "House", "version": "2.7"}, {"package_id": GUEST, "name": "Loans", "version": "0.4"}], "limits": {},
+}
 
 
 def records(**changed):
-    body = [META | changed, *DEFS, *INJECTIONS, *KEYED, *NODES]
+    body = [META | changed, *DEFS, *NODES, *KEYED, *INJECTIONS]
     return [*body, {"kind": "end", "records": len(body) + 1}]
 
 

@@ -24,13 +24,13 @@ def names(df):
 
 
 def test_import(s):
-    assert s.defs.count() == 13
-    belt = lookup.named(s, "apparel_shieldbelt").first()
-    assert s.facts.where(F.col("def_id") == belt.id).count() == 12  # three are noise
-    assert {(r.path, r.defs) for r in s.shared_values.collect()} == {(f[0], 9) for f in fixture.STD}
+    assert s.defs.count() == 14
+    sextant = lookup.named(s, "sextant_brass").first()
+    assert s.facts.where(F.col("def_id") == sextant.id).count() == 10  # three are bookkeeping
+    assert {(r.path, r.defs) for r in s.shared_values.collect()} == {(f[0], 10) for f in fixture.COMMON}
     assert s.keyed.count() == 5  # an empty key is dropped
     owners = {(r.def_name, r.path): r.def_id for r in s.translations.collect()}
-    assert owners["Firefoam", "note"] is None and owners["Firefoam", "label"] == s.defs.where("def_name = 'Firefoam' and def_type = 'ThingDef'").first().id
+    assert owners["Lantern", "note"] is None and owners["Lantern", "label"] == s.defs.where("def_name = 'Lantern' and def_type = 'RigDef'").first().id
 
 
 @pytest.mark.parametrize(
@@ -59,91 +59,90 @@ def test_unfinished_snapshots_are_refused(spark, tmp_path):
 
 
 def test_where(s):
-    page, counts = reverse.find_by_field(s, PathQuery("compClass"), "Game.CompShield")
-    assert sorted(names(page.take())) == ["Apparel_ShieldBelt", "TestModGun"] and counts.first() == (2, 2)
-    assert reverse.path_shapes(s, PathQuery("stat"), "MarketValue").total() == 2
-    assert reverse.find_by_field(s, PathQuery("stat"))[1].first() == (4, 3)
-    assert {r.value: r.matches for r in reverse.distinct_values(s, PathQuery("compClass")).take().collect()} == {"Game.CompShield": 2, "Verse.HediffComp_Disappears": 1}
-    _, types, n = reverse.value_coverage(s, PathQuery("compClass"))
-    assert {r.def_type: r.defs for r in types.take().collect()} == {"ThingDef": 2, "HediffDef": 1} and n.first().defs == 3
-    assert reverse.generated_defs(s, PathQuery("foodType"))[0].first().def_name == "Meat_Muffalo"
-    assert reverse.paths_with_value(s, "CompShield", None, ValueMatch.IDENTIFIER)[1].first() == (1, 1)
+    page, counts = reverse.find_by_field(s, PathQuery("driveClass"), "Optics.CompTilt")
+    assert sorted(names(page.take())) == ["Probe_Loaned", "Sextant_Brass"] and counts.first() == (2, 2)
+    assert reverse.path_shapes(s, PathQuery("unit"), "ArcMinute").total() == 2
+    assert reverse.find_by_field(s, PathQuery("unit"))[1].first() == (4, 3)
+    assert {r.value: r.matches for r in reverse.distinct_values(s, PathQuery("driveClass")).take().collect()} == {"Optics.CompTilt": 2, "Optics.SlideDrive": 1}
+    _, types, n = reverse.value_coverage(s, PathQuery("driveClass"))
+    assert {r.def_type: r.defs for r in types.take().collect()} == {"RigDef": 2, "KitDef": 1} and n.first().defs == 3
+    assert reverse.generated_defs(s, PathQuery("fluid"))[0].first().def_name == "Plate_Cold"
+    assert reverse.paths_with_value(s, "CompTilt", None, ValueMatch.IDENTIFIER)[1].first() == (1, 1)
 
 
 def test_totals_do_not_move_with_limits(s):
-    page = lookup.list_by_type(s, "ThingDef")
-    assert page.total() == 9 and page.take(2).count() == 2 and page.take(5, 8).count() == 1
-    assert lookup.types(s).take().first() == ("ThingDef", 9)
-    assert names(lookup.by_names(s, ["VoidNode", "firefoam", "VOIDNODE"]).take()) == ["VoidNode", "Firefoam", "Firefoam"]
+    page = lookup.list_by_type(s, "RigDef")
+    assert page.total() == 10 and page.take(3).count() == 3 and page.take(5, 8).count() == 2
+    assert lookup.types(s).take().first() == ("RigDef", 10)
+    assert names(lookup.by_names(s, ["QuietDish", "lantern", "QUIETDISH"]).take()) == ["QuietDish", "Lantern", "Lantern"]
 
 
 def test_defaults_are_hidden_but_counted(s):
-    bullet = lookup.named(s, "Bullet_Revolver").first()
-    page, counts = lookup.fields(s, bullet.id, ["projectile"])
-    assert [(r.path, r.is_default) for r in page.take().collect()] == [("projectile.damageAmountBase", 0), ("projectile.speed", 2)]
-    assert counts.first() == (3, 8, 1)
-    assert names(lookup.truncated(s).take()) == ["Bullet_Revolver"]
+    slit = lookup.named(s, "Slit_Echelle").first()
+    page, counts = lookup.fields(s, slit.id, ["slit"])
+    assert [(r.path, r.is_default) for r in page.take().collect()] == [("slit.angle", 2), ("slit.width", 0)]
+    assert counts.first() == (3, 6, 1)
+    assert names(lookup.truncated(s).take()) == ["Slit_Echelle"]
 
 
 def test_siblings_and_hidden_entries(s):
-    belt = lookup.named(s, "Apparel_ShieldBelt").first()
-    shown = s.facts.where(F.col("def_id") == belt.id).where("path = 'comps[0].props.energyMax'")
-    assert [r.leaf for r in reverse.authored_siblings(s, shown).take().collect()] == ["energyLoss"]
-    assert {r.prefix for r in reverse.hidden_indexes(s, belt.id, shown).collect()} == {"statBases[0]", "statBases[1]"}
+    sextant = lookup.named(s, "Sextant_Brass").first()
+    shown = s.facts.where(F.col("def_id") == sextant.id).where("path = 'parts[0].tune.gain'")
+    assert [r.leaf for r in reverse.authored_siblings(s, shown).take().collect()] == ["drift"]
+    assert {r.prefix for r in reverse.hidden_indexes(s, sextant.id, shown).collect()} == {"gauges[0]", "gauges[1]"}
 
 
 def test_search(s):
-    stage, page, total = search.cascade(s, "VoidNode")
-    assert (stage, total) == ("index", 3) and names(page)[0] == "VoidNode"
-    assert names(search.cascade(s, "护盾")[1]) == ["Apparel_ShieldBelt"]
-    assert search.search_index(s, "孤儿").total() == 2  # a text without owner is found under every entity of its name
-    assert search.cascade(s, "GleamingVoidNod")[0] == "index" and search.cascade(s, "Anesthtic")[:1] == ("fuzzy",)
+    stage, page, total = search.cascade(s, "QuietDish")
+    assert (stage, total) == ("index", 3) and names(page)[0] == "QuietDish"
+    assert names(search.cascade(s, "六分")[1]) == ["Sextant_Brass"]
+    assert search.search_index(s, "无主").total() == 2  # a text without owner is found under every entity of its name
+    assert search.cascade(s, "FoldedQuietDis")[0] == "index" and search.cascade(s, "Sextnt_Bras")[:1] == ("fuzzy",)
     assert search.search_index(s, '"*"') is None
-    assert search.cascade(s, "class:VoidNode")[2] == 3
-    found = search.matched_on(s, lookup.named(s, "VoidNode").select("id", "def_name", "label", "description"), "void").first()
+    assert search.cascade(s, "class:QuietDish")[2] == 3
+    found = search.matched_on(s, lookup.named(s, "QuietDish").select("id", "def_name", "label", "description"), "quiet").first()
     assert found.matched_on == "def_name+label"
 
 
 def test_inheritance(s):
-    assert graph.ancestors(s, "Bullet_Revolver") == (["BaseBullet", "BaseProjectile"], "root")
-    assert graph.ancestors(s, "TestModGun") == (["BaseFromSomeDisabledMod"], "broken")
-    assert graph.ancestors(s, "LoopA")[1] == "cycle"
-    assert {r.name_fold for r in graph.descendants(s, "LoopA").collect()} == {"loopa", "loopb"}
-    below = s.defs.join(graph.kin(s, "BaseProjectile"), "id")
-    # VariantOne's type differs from its node's, but its name is unique; Firefoam counts by its type only.
-    assert sorted((r.def_type, r.def_name) for r in below.collect()) == [("TestBaseDef", "VariantOne"), ("ThingDef", "Bullet_Revolver"), ("ThingDef", "Firefoam")]
-    assert graph.witnesses(s, "BaseProjectile", "thingClass", "game.bullet").first() == (3, 2, 1, 1)
-    assert graph.dominant_value(s, "BaseProjectile", "thingClass").first() == ("Game.Building", 1, 2)
-    assert [r["layer"] for r in graph.witness_table(s, "Bullet_Revolver", "thingClass")] == ["BaseBullet", "BaseProjectile"]
+    assert graph.ancestors(s, "Slit_Echelle") == (["ThinGlass", "Glass"], "root")
+    assert graph.ancestors(s, "Probe_Loaned") == (["GoneWithItsMod"], "broken")
+    assert graph.ancestors(s, "RingEast")[1] == "cycle"
+    assert {r.name_fold for r in graph.descendants(s, "RingEast").collect()} == {"ringeast", "ringwest"}
+    below = s.defs.join(graph.kin(s, "Glass"), "id")
+    # FrameTilted's type differs from its node's, but its name is unique; Lantern counts by its type only.
+    assert sorted((r.def_type, r.def_name) for r in below.collect()) == [("FrameDef", "FrameTilted"), ("RigDef", "Lantern"), ("RigDef", "Slit_Echelle")]
+    assert graph.witnesses(s, "Glass", "maker", "optics.slit").first() == (3, 2, 1, 1)
+    assert graph.dominant_value(s, "Glass", "maker").first() == ("Optics.Lamp", 1, 2)
+    assert [r["layer"] for r in graph.witness_table(s, "Slit_Echelle", "maker")] == ["ThinGlass", "Glass"]
 
 
 def test_keyed(s):
-    assert keyed.lookup(s, "commandsettle")[0] == "key" and [r.key for r in keyed.prefix_siblings(s, "CommandSettle").take().collect()] == ["CommandSettleDesc"]
-    assert keyed.lookup(s, "no power")[1].total() == 1 and keyed.all_texts(s, True).total() == 1
+    assert keyed.lookup(s, "domeshut")[0] == "key" and [r.key for r in keyed.prefix_siblings(s, "DomeShut").take().collect()] == ["DomeShutHint"]
+    assert keyed.lookup(s, "no current")[1].total() == 1 and keyed.all_texts(s, True).total() == 1
 
 
 def test_triage(s):
     where = lambda p, v=None, scope=None, exact=False: triage.where_triage(s, p, v, exact, scope).reason
-    assert where(PathQuery("compClass", exact=True)) == "exact path"
-    assert where(PathQuery("foodType"), None, Scope(frozenset(["test.mod"]))) == "scope"
-    assert where(PathQuery("projectile")) == "deeper" and where(PathQuery("compClas")) == "unknown field"
-    assert where(PathQuery("thingClass"), "CompShield") == "elsewhere" and where(PathQuery("thingClass"), "Game.Aparel") == "not in domain"
-    assert where(PathQuery("compClass"), "CompProperties_Shield") == "identity"
-    assert triage.list_triage(s, "ThingDefs", None, None, None, 0).names == ("ThingDef",)
-    assert triage.list_triage(s, "ThingDef", None, None, None, 50).reason == "past the end"
-    assert {f.reason for f in triage.locate(s, "BaseBullet")} == {"node"} and "UI text" in {f.reason for f in triage.locate(s, "TodoKey")}
-    assert {f.reason for f in triage.advisories(s, PathQuery("stat"), "MarketValue", False, None, 3)} == {"shapes", "truncated"}
+    assert where(PathQuery("driveClass", exact=True)) == "exact path"
+    assert where(PathQuery("fluid"), None, Scope(frozenset([fixture.GUEST]))) == "scope"
+    assert where(PathQuery("slit")) == "deeper" and where(PathQuery("driveClas")) == "unknown field"
+    assert where(PathQuery("maker"), "CompTilt") == "elsewhere" and where(PathQuery("maker"), "Optics.Sextnt") == "not in domain"
+    assert where(PathQuery("driveClass"), "CompProperties_Tilt") == "identity"
+    assert triage.list_triage(s, "RigDefs", None, None, None, 0).names == ("RigDef",)
+    assert triage.list_triage(s, "RigDef", None, None, None, 50).reason == "past the end"
+    assert {f.reason for f in triage.locate(s, "ThinGlass")} == {"node"} and "UI text" in {f.reason for f in triage.locate(s, "SkyTodo")}
+    assert {f.reason for f in triage.advisories(s, PathQuery("unit"), "ArcMinute", False, None, 3)} == {"shapes"}
+    assert "truncated" in {f.reason for f in triage.advisories(s, PathQuery("maker"), None, False, None, 5)}
 
 
 def test_ties_are_shown_together(spark, s):
-    """value_elsewhere: alpha 5, beta 4, and three shapes of 3 that tie at the border; two more are left out."""
-    rows = []
-    shapes = {"alpha": 5, "beta": 4, "gamma[0].size": 3, "delta": 3, "epsilon": 3, "aim": 2, "zeta": 1, "eta": 1}
-    for path, n in shapes.items():
-        rows += [(i, "TieDef", path, path.replace("[0]", "[]"), path.split(".")[-1], "7.77", "m") for i in range(n)]
+    """value_elsewhere: 6, 4, and three shapes of 2 that tie at the border; two with a single entity are left out."""
+    shapes = {"left": 6, "right": 4, "rows[0].top": 2, "mid": 2, "low": 2, "asked": 3, "odd": 1, "end": 1}
+    rows = [(i, "TieDef", path, path.replace("[0]", "[]"), path.split(".")[-1], "0.5", "m") for path, n in shapes.items() for i in range(n)]
     facts = spark.createDataFrame(rows, "def_id long, def_type string, path string, shape string, leaf_fold string, value_fold string, source_mod string").withColumn("path_fold", F.col("path"))
-    found = reverse.value_elsewhere(type("T", (), {"facts": facts})(), PathQuery("aim"), "7.77").collect()
-    assert {r["shape"]: r.defs for r in found} == {"alpha": 5, "beta": 4, "gamma[].size": 3, "delta": 3, "epsilon": 3} and found[0].others == 7
+    found = reverse.value_elsewhere(type("T", (), {"facts": facts})(), PathQuery("asked"), "0.5").collect()
+    assert {r["shape"]: r.defs for r in found} == {"left": 6, "right": 4, "rows[].top": 2, "mid": 2, "low": 2} and found[0].others == 7
 
 
 def test_empty_snapshot(spark, tmp_path):

@@ -158,13 +158,13 @@ def test_command_line(spark, tmp_path):
         out = io.StringIO()
         return cli.main(list(argv), spark, conf, out), out.getvalue()
 
-    code, text = run("where", "compClass", "CompShield", "--json")
+    code, text = run("where", "driveClass", "CompTilt", "--json")
     assert code == 0 and len(json.loads(text)["matches"]) == 2
-    code, text = run("list", "ThingDef", "-n", "2", "--mods", "-test.mod")
-    assert code == 0 and "showing the first 2" in text and "in the excluded mods: 4 entities" in text
+    code, text = run("list", "RigDef", "-n", "2", "--mods", f"-{fixture.GUEST}")
+    assert code == 0 and "showing the first 2" in text and "in the excluded mods: 5 entities" in text
     assert run("where", "nothing", "x")[0] == 1 and run("wher", "x")[0] == 2 and run("list", "--bogus")[0] == 2
-    assert run("search", "VoidNode")[0] == 0 and run("get", "Firefoam", "--type", "ThingDef")[0] == 0 and run("snapshot", "list")[0] == 0
-    for argv in (["fields", "ThingDef"], ["values", "compClass"], ["mods"], ["inherit", "Bullet_Revolver", "--path-contains", "thingClass"], ["keyed", "CommandSettle"], ["snapshot", "status"], ["snapshot", "truncated"]):
+    assert run("search", "QuietDish")[0] == 0 and run("get", "Lantern", "--type", "RigDef")[0] == 0 and run("snapshot", "list")[0] == 0
+    for argv in (["fields", "RigDef"], ["values", "driveClass"], ["mods"], ["inherit", "Slit_Echelle", "--path-contains", "maker"], ["keyed", "DomeShut"], ["snapshot", "status"], ["snapshot", "truncated"]):
         assert run(*argv)[0] == 0, argv
     with pytest.raises(UsageError, match="positional|without"):
         cli.parse_args(cli.COMMANDS["where"], ["--path", "x"])
