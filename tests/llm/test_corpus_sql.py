@@ -71,6 +71,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed} == set(texts["pii"])
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty tables."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    good = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    odd = [(None, None, None, None, None), (None, "mail a@b.example.com now", None, None, None), (10**6, None, "en", None, None), (10**6, "", "en", "x", 0), (10**6 + 1, " \n ", None, "x", 3), *good[:2], *good[:2]]
+    for name, rows in (("odd", good + odd), ("empty", [])):
+        home = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(home / "documents.parquet"))
+        for t, sub in (("labels", [(None, 1, 0), (good[0][0], None, None), (good[1][0], 1, 0), (good[2][0], 0, 1), (10**9, 1, 0)]), ("benchmark", [(None, None), (1, None), (2, "")])):
+            spark.createDataFrame(sub if rows else [], spark.read.parquet(f"{SF}/{t}.parquet").schema).write.parquet(str(home / f"{t}.parquet"))
+        packed = corpus_pipeline.run(spark, str(home)).collect()
+        assert bool(packed) == bool(rows) and (not rows or {r.length for r in packed if r.doc_id == 10**6} <= {1})
+
+
 def test_the_library_stands_alone(tmp_path):
     """Without the subpackage and the pipeline the entry imports, and keeps the engine's queries."""
     subprocess.run(["cp", "-r", f"{HOME}/lodestone", f"{HOME}/__spark_entry__.py", str(tmp_path)], check=True)
