@@ -23,7 +23,7 @@ def col(c: Column | str) -> Column:
 
 
 def afold(c: Column | str) -> Column:
-    """Lower-cases A-Z only, as the reference's collation and LIKE do; other letters keep their case."""
+    """Lower-cases A-Z only, as SQL's NOCASE and LIKE do; other letters keep their case."""
     return F.translate(col(c), string.ascii_uppercase, string.ascii_lowercase)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.paths import afold, leaf, shape
 
-SCHEMA_VERSION = "1"
+SCHEMA_VERSION = "2"
 
 # The states of a field's value against its default.
 DIFFERS, SAME, UNKNOWN = 0, 1, 2
@@ -57,6 +57,9 @@ class Snapshot:
         return self.defs.sparkSession
 
 
+BLOOM, BLOOM_VALUES = {"facts": ("value_fold", "def_id"), "translations": ("def_id",)}, 200_000
+"""Columns with a Bloom filter in every row group, and the different values it is made for."""
+
 TABLES = ("meta", "defs", "facts", "translations", "keyed", "xml_nodes", "shared_values", "mods", "postings", "keyed_postings")
 
 
@@ -72,13 +75,17 @@ def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
     """Writes a snapshot's table and reads it again.
 
     facts are range-partitioned and sorted by leaf: a query that names a field reads the row
-    groups of that field and skips the others. Postings likewise by term.
+    groups of that field and skips the others. One that names a value alone, or an entity, is
+    served by Bloom filters. Postings are sorted by term.
     """
     if name == "facts":
         df = df.repartitionByRange("leaf_fold", "def_id").sortWithinPartitions("leaf_fold", "def_id", "seq")
     elif name in ("postings", "keyed_postings"):
         df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-    df.write.parquet(f"{path}/{name}")
+    writer = df.write
+    for column in BLOOM.get(name, ()):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_VALUES))
+    writer.parquet(f"{path}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 

@@ -20,7 +20,7 @@ def ancestors(s: Snapshot, name: str) -> tuple[list[str], str]:
     """
     chain: list[str] = []
     seen: set[str] = set()
-    at = s.xml_nodes.where((afold("name") == fold(name)) | (afold("def_name") == fold(name))).orderBy(F.desc(F.col("name").isNotNull()), "id").first()
+    at = s.xml_nodes.where((F.col("name_fold") == fold(name)) | (F.col("def_name_fold") == fold(name))).orderBy(F.desc(F.col("name").isNotNull()), "id").first()
     while at is not None and len(chain) < MAX_HOPS:
         parent = at.parent_name
         if not parent:
@@ -29,7 +29,7 @@ def ancestors(s: Snapshot, name: str) -> tuple[list[str], str]:
             return chain, "cycle"
         chain.append(parent)
         seen.add(fold(parent))
-        at = s.xml_nodes.where(afold("name") == fold(parent)).orderBy("id").first()
+        at = s.xml_nodes.where(F.col("name_fold") == fold(parent)).orderBy("id").first()
     return chain, "broken"
 
 
@@ -41,7 +41,7 @@ def descendants(s: Snapshot, root: str) -> DataFrame:
     """
     spark = s.spark
     shared_path(spark, "closure")  # sets the checkpoint folder
-    edges = s.xml_nodes.where("name is not null and name <> '' and parent_name is not null").select(afold("parent_name").alias("parent"), afold("name").alias("child")).distinct()
+    edges = s.xml_nodes.where("name is not null and name <> '' and parent_name is not null").select(F.col("parent_name_fold").alias("parent"), F.col("name_fold").alias("child")).distinct()
     known = spark.createDataFrame([(fold(root),)], "name string").checkpoint()
     newest = known
     while True:
@@ -55,8 +55,8 @@ def descendants(s: Snapshot, root: str) -> DataFrame:
 def kin(s: Snapshot, root: str, exclude: tuple[str, str] | None = None) -> DataFrame:
     """id of the entities below a node: those whose node's parent is in its closure, and whose type is the node's or whose name is one entity's only."""
     closure = descendants(s, root)
-    nodes = s.xml_nodes.where("def_name is not null and def_name <> ''").join(closure, afold("parent_name") == F.col("name_fold"), "left_semi")
-    nodes = nodes.select(afold("def_name").alias("name_fold"), afold("def_type").alias("node_type")).distinct()
+    nodes = s.xml_nodes.where("def_name is not null and def_name <> ''").drop("name_fold").join(closure, F.col("parent_name_fold") == F.col("name_fold"), "left_semi")
+    nodes = nodes.select(F.col("def_name_fold").alias("name_fold"), afold("def_type").alias("node_type")).distinct()
     alone = s.defs.groupBy("name_fold").agg(F.count("*").alias("n_name"))
     found = s.defs.join(nodes, "name_fold").join(alone, "name_fold").where((afold("def_type") == F.col("node_type")) | (F.col("n_name") == 1))
     if exclude:
@@ -64,9 +64,9 @@ def kin(s: Snapshot, root: str, exclude: tuple[str, str] | None = None) -> DataF
     return found.select("id").distinct()
 
 
-def witnesses(s: Snapshot, root: str, path_filter: str, value: str | None = None, exclude: tuple[str, str] | None = None) -> DataFrame:
+def witnesses(s: Snapshot, root: str, path_filter: str, value: str | None = None, exclude: tuple[str, str] | None = None, below: DataFrame | None = None) -> DataFrame:
     """In one row, the entities below a node, those with a field of the path, with the same value, and with dropped fields."""
-    below = kin(s, root, exclude).checkpoint()
+    below = kin(s, root, exclude).checkpoint() if below is None else below
     facts = s.facts.where(any_contains("path_fold", [path_filter])).join(below.withColumnRenamed("id", "def_id"), "def_id", "left_semi")
     same = F.countDistinct(F.when(F.col("value_fold") == fold(value), F.col("def_id"))) if value is not None else F.lit(0).cast("long")
     held = facts.agg(F.countDistinct("def_id").alias("with_path"), same.alias("same_value"))
@@ -74,9 +74,9 @@ def witnesses(s: Snapshot, root: str, path_filter: str, value: str | None = None
     return all_.crossJoin(held).select("descendants", "with_path", "same_value", "truncated")  # a row each
 
 
-def dominant_value(s: Snapshot, root: str, path_filter: str) -> DataFrame:
+def dominant_value(s: Snapshot, root: str, path_filter: str, below: DataFrame | None = None) -> DataFrame:
     """Value, defs, distinct: the value (A-Z folded; its least spelling) that most entities below a node have, ties by value, and the number of values."""
-    facts = s.facts.where(any_contains("path_fold", [path_filter])).join(kin(s, root).withColumnRenamed("id", "def_id"), "def_id", "left_semi")
+    facts = s.facts.where(any_contains("path_fold", [path_filter])).join((kin(s, root) if below is None else below).withColumnRenamed("id", "def_id"), "def_id", "left_semi")
     groups = facts.groupBy("value_fold").agg(F.countDistinct("def_id").alias("defs"), F.min("value").alias("value"))
     total = groups.agg(F.count("*").alias("distinct"))
     return groups.orderBy(F.desc("defs"), "value").limit(1).crossJoin(total).select("value", "defs", "distinct")  # a row each
@@ -89,15 +89,16 @@ def witness_table(s: Snapshot, name: str, path_filter: str) -> list[dict]:
     is no comparison, and for an abstract node it is each layer's dominant value.
     """
     own = [r.value for r in s.facts.where((afold("def_name") == fold(name)) & any_contains("path_fold", [path_filter])).select("value").distinct().limit(2).collect()]
-    node = s.xml_nodes.where((afold("name") == fold(name)) | (afold("def_name") == fold(name))).orderBy(F.desc("abstract")).first()
+    node = s.xml_nodes.where((F.col("name_fold") == fold(name)) | (F.col("def_name_fold") == fold(name))).orderBy(F.desc("abstract")).first()
     chain, end = ancestors(s, name)
     out = []
     for layer in chain:
+        below = kin(s, layer).checkpoint()  # for both questions
         value = own[0] if len(own) == 1 else None
         if value is None and node is not None and node.abstract:
-            top = dominant_value(s, layer, path_filter).first()
+            top = dominant_value(s, layer, path_filter, below).first()
             value = top.value if top else None
-        out.append({"layer": layer, "value": value, **witnesses(s, layer, path_filter, value).first().asDict()})
+        out.append({"layer": layer, "value": value, **witnesses(s, layer, path_filter, value, below=below).first().asDict()})
     if out:
         out[-1]["end"] = end
     return out
@@ -105,5 +106,5 @@ def witness_table(s: Snapshot, name: str, path_filter: str) -> list[dict]:
 
 def outside_layer(s: Snapshot, name: str) -> DataFrame:
     """How many entities of a name no node declares."""
-    nodes = s.xml_nodes.where("def_name is not null").select(afold("def_name").alias("name_fold"), F.col("def_type")).distinct()
+    nodes = s.xml_nodes.where("def_name is not null").select(F.col("def_name_fold").alias("name_fold"), F.col("def_type")).distinct()
     return s.defs.where(F.col("name_fold") == fold(name)).join(nodes, ["name_fold", "def_type"], "left_anti").agg(F.count("*").alias("n"))

@@ -102,9 +102,9 @@ def node_page(rows: DataFrame) -> Page:
 
 def nodes_named(s: Snapshot, name: str) -> Page:
     """Nodes by their own or their entity's name."""
-    return node_page(s.xml_nodes.where((afold("name") == fold(name)) | (afold("def_name") == fold(name))))
+    return node_page(s.xml_nodes.where((F.col("name_fold") == fold(name)) | (F.col("def_name_fold") == fold(name))))
 
 
 def nodes_below(s: Snapshot, name: str) -> Page:
     """Nodes whose parent has the name."""
-    return node_page(s.xml_nodes.where(afold("parent_name") == fold(name)))
+    return node_page(s.xml_nodes.where(F.col("parent_name_fold") == fold(name)))

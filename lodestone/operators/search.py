@@ -37,16 +37,24 @@ def _phrase_hits(postings: DataFrame, words: list[str], prefix: bool, n_columns:
     return found.groupBy("doc_id", "length").agg(hits.alias("hits"))
 
 
-def bm25(postings: DataFrame, query: str, weights: tuple[float, ...]) -> DataFrame | None:
+def totals(s: Snapshot, name: str) -> DataFrame:
+    """n_docs, mean: an index's documents and their mean length, as the import has stored them."""
+    of = lambda k: F.max(F.when(F.col("key") == f"{name}_{k}", F.col("value")))
+    return s.meta.agg(of("docs").cast("long").alias("n_docs"), of("mean").cast("double").alias("mean"))
+
+
+def bm25(postings: DataFrame, query: str, weights: tuple[float, ...], total: DataFrame | None = None) -> DataFrame | None:
     """doc_id, score of the documents that have every phrase of a query; lower is better. None if it asks for nothing.
 
     Each phrase adds -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean length)), f being
-    its weighted hits; a phrase of more than half of the documents has the least idf.
+    its weighted hits; a phrase of more than half of the documents has the least idf. total: one
+    row of n_docs and mean; without it they are taken from the postings.
     """
     wanted = phrases(query)
     if not wanted:
         return None
-    total = postings.select("doc_id", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
+    if total is None:
+        total = postings.select("doc_id", "length").distinct().agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
     parts = []
     for i, (words, prefix) in enumerate(wanted):
         hits = _phrase_hits(postings, words, prefix, len(weights))
@@ -64,7 +72,7 @@ def bm25(postings: DataFrame, query: str, weights: tuple[float, ...]) -> DataFra
 
 def search_index(s: Snapshot, query: str, scope: Scope | None = None, def_type: str | None = None) -> Page | None:
     """Entities by rank: exact name, any label, name that begins so, score, shorter name, name."""
-    hits = bm25(s.postings, query, DEF_WEIGHTS)
+    hits = bm25(s.postings, query, DEF_WEIGHTS, totals(s, "postings"))
     if hits is None:
         return None
     rows = scoped(s.defs, scope)
@@ -78,7 +86,7 @@ def search_index(s: Snapshot, query: str, scope: Scope | None = None, def_type:
 
 def search_keyed(s: Snapshot, query: str, placeholders_only: bool = False) -> Page | None:
     """UI texts by rank: exact key, runtime texts, score, shorter key, key."""
-    hits = bm25(s.keyed_postings, query, KEYED_WEIGHTS)
+    hits = bm25(s.keyed_postings, query, KEYED_WEIGHTS, totals(s, "keyed_postings"))
     if hits is None:
         return None
     rows = s.keyed.join(hits, F.col("id") == F.col("doc_id")).drop("doc_id")
@@ -90,7 +98,7 @@ def search_keyed(s: Snapshot, query: str, placeholders_only: bool = False) -> Pa
 def names_containing(s: Snapshot, query: str, scope: Scope | None = None) -> Page:
     """Entities whose name contains the query and that the index doesn't find."""
     rows = scoped(s.defs, scope).where(F.col("name_fold").contains(fold(query)))
-    hits = bm25(s.postings, query, DEF_WEIGHTS)
+    hits = bm25(s.postings, query, DEF_WEIGHTS, totals(s, "postings"))
     if hits is not None:
         rows = rows.join(hits, F.col("id") == F.col("doc_id"), "left_anti")
     return Page(rows, [F.asc(F.length("def_name")), F.asc("def_name"), F.asc("id")])

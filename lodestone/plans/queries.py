@@ -107,7 +107,7 @@ query("p10_types_with_case", "select id from defs where def_type in ('part', 'Na
 # Ingest
 
 query("s4_facts", "select def_id, seq::int seq, path, leaf, value, is_default::tinyint is_default from f")(lambda s: s.facts.select("def_id", "seq", "path", "leaf", "value", "is_default"))
-query("s5_nodes", "select * from xml_nodes")(lambda s: s.xml_nodes)
+query("s5_nodes", "select * from xml_nodes")(lambda s: s.xml_nodes.drop("name_fold", "parent_name_fold", "def_name_fold"))
 query("s6_owner", "select t.def_name, t.path, case when count(d.id) = 1 then min(d.id) when count(d.id) filter (d.def_type = t.def_type) = 1 then min(d.id) filter (d.def_type = t.def_type) end def_id from (select distinct 'part' def_type, p_name def_name, 'label' path from part union all select 'nation', n_name, 'label' from nation union all select 'orders', 'nobody', 'label') t left join defs d using (def_name) group by t.def_name, t.path, t.def_type")(
     lambda s: resolve_owners(
         s.defs.where("def_type in ('part', 'nation')").select("def_type", "def_name").distinct().union(s.spark.sql("select 'orders', 'nobody'")).withColumn("path", F.lit("label")), s.defs

@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new place in the folder of spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder is made on a local master only: on a cluster the
+    executors could not see it.
+    """
     context = spark.sparkContext
     home = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not home:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         home = tempfile.mkdtemp(prefix="lodestone-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(home)
     return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written once to the shared folder, so that numbers given to its rows stay theirs however often it is read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

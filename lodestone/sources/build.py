@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.paths import afold, is_noise
@@ -53,17 +57,45 @@ def postings(rows: DataFrame, id_col: str, columns: tuple[tuple[str, bool], ...]
     """doc_id, term, hits, places, length: a row for each document and term.
 
     hits has the term's number of occurrences in each column, places where they are (column
-    times 2**40 plus position), length the document's tokens in all columns.
+    times 2**40 plus position), length the document's tokens in all columns. A document without
+    tokens has none. All tokens of a document stand in its row, so they are grouped there, a
+    batch of documents at once, and nothing is shuffled.
     """
-
-    def placed(k: int, c: str, identifier: bool) -> Column:
-        return F.transform(tokens(for_index(F.coalesce(F.col(c), F.lit("")), identifier)), lambda t, i: F.struct(t.alias("term"), (F.lit(k << 40) + i).alias("place")))
-
-    parts = [placed(k, c, identifier) for k, (c, identifier) in enumerate(columns)]
-    flat = rows.select(F.col(id_col).alias("doc_id"), F.concat(*parts).alias("all")).withColumn("length", F.size("all").cast("long"))
-    flat = flat.select("doc_id", "length", F.explode_outer("all").alias("t")).select("doc_id", "length", F.col("t.term").alias("term"), F.col("t.place").alias("place"))
-    hits = F.array(*[F.count_if(F.shiftright("place", 40) == k) for k in range(len(columns))])
-    return flat.groupBy("doc_id", "length", "term").agg(hits.alias("hits"), F.sort_array(F.collect_list("place")).alias("places"))
+    parts = [tokens(for_index(F.coalesce(F.col(c), F.lit("")), identifier)) for c, identifier in columns]
+    flat = rows.select(F.col(id_col).alias("doc_id"), F.concat(*parts).alias("terms"), F.array(*[F.size(p) for p in parts]).alias("sizes"))
+    n = len(columns)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat_terms = lists.flatten().dictionary_encode()
+            if not len(flat_terms):
+                continue
+            term = flat_terms.indices.to_numpy()
+            sizes = np.stack(batch.column(2).to_pylist()).astype(np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), sizes.sum(1))
+            each = sizes.reshape(-1)
+            column = np.repeat(np.tile(np.arange(n), batch.num_rows), each)
+            place = np.arange(len(term)) - np.repeat(np.cumsum(each) - each, each)
+            order = np.lexsort((place, column, term, doc))
+            term, doc, column, place = term[order], doc[order], column[order], (column << 40 | place)[order]
+            start = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(doc) != 0)))
+            hits = np.stack([np.add.reduceat((column == k).astype(np.int64), start) for k in range(n)], axis=1)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column(0).take(pa.array(doc[start])),
+                "length": pa.array(sizes.sum(1)[doc[start]]),
+                "term": flat_terms.dictionary.take(pa.array(term[start])),
+                "hits": pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * n, pa.int32()), pa.array(hits.reshape(-1))),
+                "places": pa.ListArray.from_arrays(pa.array(np.append(start, len(place)), pa.int32()), pa.array(place)),
+            })
+
+    return flat.mapInArrow(grouped, f"doc_id {rows.schema[id_col].dataType.simpleString()}, length long, term string, hits array<long>, places array<long>")
+
+
+def index_size(index: DataFrame, documents: int) -> dict[str, str]:
+    """How many documents an index has, and how many tokens on average, those without tokens included."""
+    total = index.agg(F.sum(F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    return {"docs": str(documents), "mean": repr(total / documents if documents else 0.0)}
 
 
 def publish(meta: dict[str, str], tables: dict[str, DataFrame], path: str) -> None:
@@ -79,8 +111,11 @@ def publish(meta: dict[str, str], tables: dict[str, DataFrame], path: str) -> No
     keyed = write_table(tables["keyed"].where("key <> ''"), path, "keyed")
     facts = write_table(facts_of(without_noise(tables["field_values"]), defs), path, "facts")
     write_table(shared_values(facts, defs), path, "shared_values")
-    write_table(tables["xml_nodes"], path, "xml_nodes")
+    nodes = {f"{c}_fold": afold(c) for c in ("name", "parent_name", "def_name")}
+    write_table(tables["xml_nodes"].withColumns(nodes), path, "xml_nodes")
     write_table(tables["mods"], path, "mods")
-    write_table(postings(defs.join(indexed_text(defs, translations), "id", "left"), "id", DEF_COLUMNS), path, "postings")
-    write_table(postings(keyed, "id", KEYED_COLUMNS), path, "keyed_postings")
+    index = write_table(postings(defs.join(indexed_text(defs, translations), "id", "left"), "id", DEF_COLUMNS), path, "postings")
+    keyed_index = write_table(postings(keyed, "id", KEYED_COLUMNS), path, "keyed_postings")
+    for name, made, documents in (("postings", index, defs.count()), ("keyed_postings", keyed_index, keyed.count())):
+        meta = meta | {f"{name}_{k}": v for k, v in index_size(made, documents).items()}
     write_table(spark.createDataFrame(sorted((meta | {"schema_version": SCHEMA_VERSION}).items()), "key string, value string"), path, "meta")

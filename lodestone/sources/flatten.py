@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.shared import stored
+
+# The exporter's limits.
 MAX_DEPTH, MAX_VALUES, MAX_LENGTH, MAX_ITEMS = 6, 5000, 400, 200
 """Depth of nesting (leaves don't count), values of an entity, characters of a value, items of a collection."""
 
@@ -40,14 +43,15 @@ def flatten(df: DataFrame, def_type: str, name_col: str, defaults: dict[str, str
 
     Structs give a.b, arrays and maps a[i] (a map's entries are key and value). fields_truncated
     is at least the number of values that the limits cut off. defaults: values by leaf path that
-    count as default; fields without one are unknown.
+    count as default; fields without one are unknown. Rows are stored with their ids, which both
+    results share.
     """
     from lodestone.functions.paths import shape
 
     rows = df.withColumn("__id", F.monotonically_increasing_id())
     parts = [_cells(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name), 0) for f in df.schema if f.name != name_col]
     rows = rows.select(F.col("__id").alias("id"), F.col(f"`{name_col}`").cast("string").alias("def_name"), F.concat(*parts).alias("cells"))
-    rows = rows.withColumn("kept", F.filter("cells", lambda x: x["value"].isNotNull()))
+    rows = stored(rows, "cells").withColumn("kept", F.filter("cells", lambda x: x["value"].isNotNull()))
     lost = F.aggregate("cells", F.lit(0), lambda a, x: a + x["lost"]) + F.greatest(F.size("kept") - MAX_VALUES, F.lit(0))
     none = F.lit(None).cast("string")
     defs = rows.select("id", F.lit(def_type).alias("def_type"), "def_name", none.alias("label"), none.alias("description"), none.alias("source_mod"), none.alias("source_file"), F.lit(False).alias("generated"), F.lit(def_type).alias("class"), lost.alias("fields_truncated"))

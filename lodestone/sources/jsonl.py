@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.model import Snapshot, SnapshotError, open_snapshot
+from lodestone.shared import stored
 from lodestone.sources.build import publish
 
 FORMAT_VERSION = 4
@@ -42,10 +43,11 @@ class ExportMeta:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, kind, at: the lines of an export that aren't blank, in order.
 
-    One file is one partition (gzip can't be split), so line numbers rise with the place in it.
+    A gzip file is one partition; a plain one may be several, which are numbered in their order.
+    The numbers become ids in several tables, so they are stored with the lines, once.
     """
-    lines = spark.read.option("maxPartitionBytes", str(1 << 60)).text(path).withColumn("at", F.monotonically_increasing_id())
-    return lines.where(F.trim("value") != "").withColumn("kind", F.get_json_object("value", "$.kind"))
+    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    return stored(lines.where(F.trim("value") != "").withColumn("kind", F.get_json_object("value", "$.kind")), "lines")
 
 
 def parse_meta(line: str) -> ExportMeta:
