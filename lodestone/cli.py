@@ -5,19 +5,22 @@ Exit codes: 0 found, 1 nothing found, 2 wrong usage, 70 an error inside.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import effective_terms
 from lodestone.model import Snapshot, SnapshotError, open_snapshot
 from lodestone.operators import catalog, corpus, graph, keyed, lookup, reverse, search, triage
 from lodestone.operators.paging import MAX_LIMIT, UsageError, limit_of, offset_of
 from lodestone.plans.predicates import PathQuery
 from lodestone.plans.scope import ScopeError, parse
-from lodestone.report import Block, Kind, Report, counted, name_list, page_notice
+from lodestone.report import Block, Kind, Notice, Report, counted, name_list, page_notice, snake
 from lodestone.sources import settings as config
 
 
@@ -52,6 +55,10 @@ class Parsed:
         return self.values.get(name, default)
 
 
+NARROWING = ("type", "class", "name-like", "path-contains", "mods", "glob", "source")
+MAX_FILES = 50_000
+
+
 def normal(name: str) -> str:
     return name.lower().replace("_", "-").strip("-")
 
@@ -122,24 +129,62 @@ class Context:
     report: Report
     settings: config.Settings
     _snapshot: Snapshot | None = None
+    _expanded: bool = False
 
     @property
     def snapshot(self) -> Snapshot:
         """Opened when first needed."""
         if self._snapshot is None:
-            known = catalog.snapshots(self.settings.home, self.settings.aliases)
-            path, why = catalog.choose(known, self.args.get("db"), self.args.get("snapshot"), self.settings.snapshot)
+            asked = self.args.get("db") or self.args.get("snapshot") or self.settings.snapshot
+            current = catalog.list_fingerprint(self.mod_list) if self.mod_list and not asked else None
+            prints = catalog.list_fingerprints(self.spark, self.known) if current and len(self.known) > 1 else None
+            path, why = catalog.choose(self.known, self.args.get("db"), self.args.get("snapshot"), self.settings.snapshot, prints, current)
             self._snapshot = open_snapshot(self.spark, path)
             if why not in ("path", "name"):
                 self.report.note(Kind.SNAPSHOT, f"snapshot {path} ({why})")
+            for text, mods in self.stale(self._snapshot):
+                self.report.defer(Notice(Kind.STALENESS, text), mods)
         return self._snapshot
 
+    @cached_property
+    def known(self) -> dict[str, str]:
+        return catalog.snapshots(self.settings.home, self.settings.aliases)
+
+    @cached_property
+    def mod_list(self) -> list[str] | None:
+        """The ids of the present mod list, if the settings name its file."""
+        path = self.settings.mod_list
+        return config.read_mod_list(path).ids if path and os.path.isfile(path) else None
+
+    @cached_property
+    def others(self) -> dict[str, Snapshot]:
+        """The other snapshots, opened when a probe needs them."""
+        here = os.path.abspath(self.snapshot.path or "")
+        return {name: open_snapshot(self.spark, path) for name, path in self.known.items() if os.path.abspath(path) != here}
+
+    def stale(self, s: Snapshot) -> list[tuple[str, set[str]]]:
+        content = catalog.content_scan(config.installed(self.settings.mods)) if self.settings.mods else None
+        return catalog.staleness(s, self.mod_list, self.settings.version, content)
+
     @property
     def scope(self):
         if not self.args.get("mods"):
             return None
         universe = [r.package_id for r in lookup.mods(self.snapshot).take().collect()]
-        return parse(self.args.get("mods"), universe, self.settings.groups, self.settings.official)
+        found = parse(self.args.get("mods"), universe, self.settings.groups, self.settings.official)
+        if not self._expanded:
+            self._expanded = True
+            asked = self.args.get("mods").strip()
+            if asked.lstrip("-").lower() in {n.lower() for n in self.known}:
+                self.report.note(Kind.SNAPSHOT, f"{asked} is also a snapshot's name; here it is a scope of mods")
+            if found.ids is not None and sorted(found.ids) != [asked]:
+                self.report.note(Kind.FILTER, f"the scope {asked} is {name_list(sorted(found.ids))}", total=len(found.ids))
+        return found
+
+    def within(self) -> str:
+        """M8: the options that narrow a count, as they were given."""
+        given = [f"--{o} {', '.join(v) if isinstance(v, list) else v}" for o in NARROWING if (v := self.args.get(o))]
+        return f" within {' '.join(given)}" if given else ""
 
     @property
     def limit(self):
@@ -165,9 +210,15 @@ class Context:
         """A page of rows and its notice; returns the total."""
         total = page.total()
         shown = self.report.table(key, page.take(self.limit, self.offset), columns, "source_mod")
-        self.report.add(page_notice(shown, total, noun))
+        self.told(shown, total, noun)
         return total
 
+    def told(self, shown: int, total: int, noun: str, at_least: bool = False) -> None:
+        """The notice of a page, with what it was narrowed by."""
+        notice = page_notice(shown, total, noun, at_least)
+        notice.text += self.within()
+        self.report.add(notice)
+
     def explain(self, finding) -> None:
         if finding:
             self.report.note(Kind.NEXT, finding.text + (f": {name_list(list(finding.names))}" if finding.names else ""))
@@ -181,14 +232,18 @@ class Context:
 
 def run_search(c: Context) -> None:
     query = c.need(0, "query")
+    if not effective_terms(query):
+        raise UsageError(f"nothing in {query!r} can be searched for")
     stage, page, total = search.cascade(c.snapshot, query, c.scope, c.args.get("type"), c.limit, c.offset)
     shown = c.report.table("results", page)
-    c.report.add(page_notice(shown, total, "match"))
+    c.told(shown, total, "match")
     if stage in ("original", "fuzzy"):
         c.report.note(Kind.ADVISORY, {"original": "found by the originals of texts", "fuzzy": "found by names that are like it"}[stage])
     if not total:
-        for finding in triage.locate(c.snapshot, query, c.scope):
+        for finding in triage.locate(c.snapshot, query, c.scope, c.others):
             c.explain(finding)
+    elif finding := triage.outside_texts(c.snapshot):
+        c.report.note(Kind.ADVISORY, finding.text)
 
 
 def run_get(c: Context) -> None:
@@ -198,13 +253,28 @@ def run_get(c: Context) -> None:
         rows = rows.where(F.col("def_type") == c.args.get("type"))
     first = rows.orderBy("id").first()
     if first is None:
-        for finding in triage.locate(c.snapshot, name, c.scope):
+        for finding in triage.locate(c.snapshot, name, c.scope, c.others):
             c.explain(finding)
         c.report.note(Kind.NEXT, "names like it: " + name_list(search.closest(c.snapshot.defs.select("def_name"), name)))
         return
     parts = triage.entity(c.snapshot, first.id, c.args.get("path-contains"), bool(c.args.get("defaults")), c.limit)
     for key, df in parts.items():
         c.report.table(key, df)
+    if not next(e for e in c.report.entries if isinstance(e, Block) and e.key == "fields").rows and (filters := c.args.get("path-contains")):
+        for text in filters:  # M11: the index holds values only; they may live deeper, or in a nested class
+            below = reverse.paths_below(c.snapshot, text, c.scope).take(3).collect()
+            if below:
+                c.report.note(Kind.BOUNDARY, f"{text} holds no value itself; elsewhere values are below it: {name_list([r.path for r in below])}")
+    if finding := search_source(c, first.def_type):
+        c.report.note(Kind.ADVISORY, finding)
+
+
+def search_source(c: Context, name: str) -> str | None:
+    """C11: where a type's source is, if there is a corpus."""
+    if not c.settings.sources or not os.path.isdir(c.settings.sources):
+        return None
+    found = corpus.in_source(corpus.read_files(c.spark, c.settings.sources), name).orderBy("file").limit(3).collect()
+    return f"{name} is declared in {name_list([r.file for r in found])}" if found else None
 
 
 def run_where(c: Context) -> None:
@@ -215,13 +285,15 @@ def run_where(c: Context) -> None:
     page, counts = reverse.find_by_field(c.snapshot, path, value, exact, c.scope)
     n = counts.first()
     shown = c.report.table("matches", page.take(c.limit, c.offset))
-    c.report.add(page_notice(shown, n.matches, "row"))
+    c.told(shown, n.matches, "row")
     c.report.note(Kind.COUNT, f"in {counted(n.defs, 'entity')}", total=n.defs)
     if n.matches:
         for finding in triage.advisories(c.snapshot, path, value, exact, c.scope, n.matches):
             c.report.note(Kind.ADVISORY, finding.text + (f": {name_list(list(finding.names))}" if finding.names else ""))
     else:
         c.explain(triage.where_triage(c.snapshot, path, value, exact, c.scope))
+        if names := triage.elsewhere(c.others, lambda o: reverse.matching(o, path, value, exact)):
+            c.report.note(Kind.NEXT, f"other snapshots have it: {name_list(names)}")
     c.excluded(lambda rest: reverse.find_by_field(c.snapshot, path, value, exact, rest)[0], "row")
 
 
@@ -280,11 +352,28 @@ def run_keyed(c: Context) -> None:
 
 def run_code_search(c: Context) -> None:
     files = corpus.read_files(c.spark, c.settings.sources or ".")
-    matches = corpus.search(files, c.need(0, "pattern"), bool(c.args.get("ignore-case")), c.args.get("glob"))
+    pattern, glob = c.need(0, "pattern"), c.args.get("glob")
+    if wanted := c.args.get("source"):
+        files = files.where(F.lower("tree").isin(*[w.lower() for w in wanted]))
+    most = int(c.args.get("max-files") or MAX_FILES)
+    files, more = corpus.bounded(files, most)
+    matches = corpus.search(files, pattern, bool(c.args.get("ignore-case")), glob)
     n = corpus.match_counts(matches).first()
-    shown = c.report.table("lines", corpus.shown(matches, limit=c.limit))
-    c.report.add(page_notice(shown, n.lines, "line"))
-    c.report.note(Kind.COUNT, f"in {counted(n.files, 'file')}", total=n.files)
+    page = corpus.shown(matches, limit=c.limit)
+    k = int(c.args.get("context") or 0)
+    rows = corpus.with_context(files, page, k).orderBy(corpus.tree_order(), "tree", "file", "line") if k else page
+    shown = c.report.table("lines", rows)
+    if k:
+        shown = page.count()
+    c.told(shown, n.lines, "line", more)
+    c.report.note(Kind.COUNT, ("at least " if more else "") + f"in {counted(n.files, 'file')}", total=n.files)
+    if not n.lines:
+        for hint in [*corpus.pattern_hints(pattern), *filter(None, [corpus.glob_hint(glob) if glob else None])]:
+            c.report.note(Kind.NEXT, hint)
+    elif c.args.get("texts"):  # C5: of the lines that are shown
+        c.report.table("texts", corpus.resolve_keys(page, c.snapshot.keyed).orderBy("key"))
+        if loose := corpus.assembled(page).first().n:
+            c.report.note(Kind.BOUNDARY, f"{counted(loose, 'line')} put the key together at run time")
 
 
 def run_read(c: Context) -> None:
@@ -307,20 +396,58 @@ def run_snapshots(c: Context) -> None:
 
 def run_status(c: Context) -> None:
     c.report.table("meta", c.snapshot.meta.orderBy("key"))
+    if not c.stale(c.snapshot):
+        compared = [what for what, given in (("mod list", c.mod_list), ("version", c.settings.version), ("mods' files", c.settings.mods)) if given]
+        c.report.note(Kind.STALENESS, f"nothing has changed since the snapshot: {', '.join(compared)}" if compared else "nothing is known to compare the snapshot with")
     c.report.table("counts", lookup.counts(c.snapshot))
 
 
+def run_use(c: Context) -> None:
+    """Pins a snapshot in the settings file."""
+    name = c.need(0, "name")
+    path, _ = catalog.choose(c.known, name=name)
+    config.pin(c.settings.file or "lodestone.toml", name)
+    c.report.add(Block("snapshots", ["name", "path"], [(name, path)]))
+    c.report.note(Kind.SNAPSHOT, f"{name} is used from now on")
+
+
 def run_truncated(c: Context) -> None:
     c.page("truncated", lookup.truncated(c.snapshot, c.scope, c.args.get("type"), c.args.get("name-like")), "entity", ["def_type", "def_name", "fields_truncated"])
 
 
 def run_import(c: Context) -> None:
-    from lodestone.sources.jsonl import import_export
-
-    c._snapshot = import_export(c.spark, c.need(0, "file"), c.need(1, "target"))
+    """With a folder of mods, their language files are harvested and their files' fingerprints kept."""
+    from lodestone.sources.jsonl import import_export, peek
+    from lodestone.sources.languages import harvest
+
+    source, target = c.need(0, "file"), c.need(1, "target")
+    harvested = content = None
+    if mods := config.installed(c.settings.mods):
+        meta = peek(c.spark, source)
+        listed = {m[0].lower() for m in meta.mods}
+        harvested = harvest(c.spark, mods, meta.language, listed)
+        content = catalog.content_scan({k: v for k, v in mods.items() if k in listed})
+        c.report.note(Kind.COUNT, f"{counted(harvested['keyed'].count(), 'text')} and {counted(harvested['translations'].count(), 'translation')} harvested from {counted(len(mods), 'mod')}")
+    c._snapshot = import_export(c.spark, source, target, harvested, content)
     c.report.table("counts", lookup.counts(c.snapshot))
 
 
+def run_sources(c: Context) -> None:
+    """The source trees that mods bring, against those that were built."""
+    states = catalog.reconcile(catalog.source_plan(config.installed(c.settings.mods)), catalog.source_manifest(c.settings.sources or "."))
+    for name, state in states.items():
+        c.report.item("sources", tree=name, state=state)
+    for state in dict.fromkeys(states.values()):
+        c.report.note(Kind.COUNT, f"{list(states.values()).count(state)} {state}")
+
+
+def run_sync(c: Context) -> None:
+    if not c.settings.sources:
+        raise UsageError("the settings name no folder of sources")
+    for name in catalog.sync_sources(config.installed(c.settings.mods), c.settings.sources):
+        c.report.item("sources", tree=name, state="current")
+
+
 def run_mod_lists(c: Context) -> None:
     good, bad = config.mod_lists(c.need(0, "folder"))
     rows = config.lists_with(good, c.word(1)) if c.word(1) else {m.name: m.ids for m in good}
@@ -329,6 +456,33 @@ def run_mod_lists(c: Context) -> None:
         c.report.note(Kind.BOUNDARY, f"{name} is damaged")
 
 
+def run_mod_list(c: Context) -> None:
+    found = config.read_mod_list(c.need(0, "file"))
+    here = {r.package_id.lower() for r in lookup.mods(c.snapshot).take(None).collect()} if c.args.get("snapshot") or c.args.get("db") else None
+    rows = [(i, mod, name, None if here is None else mod.lower() in here) for i, (mod, name) in enumerate(zip(found.ids, found.names, strict=True), 1)]
+    c.report.add(Block("mods", ["place", "mod", "name", "in snapshot"], rows))
+
+
+def run_save_list(c: Context) -> None:
+    """The snapshot's mods, or the present list, as a mod list file; with --needs, what mods need is put in before them."""
+    file = c.need(0, "file")
+    rows = [(r.package_id, r.name) for r in lookup.mods(c.snapshot).take(None).collect()]
+    ids, names = [i for i, _ in rows], dict(rows)
+    needs: dict[str, list[str]] = {}
+    for given in c.args.get("needs") or []:
+        mod, _, need = given.partition(":")
+        needs.setdefault(mod.lower(), []).append(need)
+    ids = catalog.with_dependencies(ids, needs)
+    config.write_mod_list(file, config.ModList(os.path.basename(file), ids, [names.get(i) for i in ids]))
+    c.report.add(Block("lists", ["name", "mods"], [(file, len(ids))]))
+
+
+def run_docs(c: Context) -> None:
+    for command in COMMANDS.values():
+        c.report.item("commands", command=" ".join([command.name, *(f"<{p}>" for p in command.positionals)]), what=command.help)
+    c.report.note(Kind.NEXT, markdown())
+
+
 TYPE = Option("type", "entities of this type", short="t")
 PATHS = Option("path-contains", "paths that contain this", "multi")
 LIKE = Option("name-like", "names or labels that contain this")
@@ -346,9 +500,15 @@ COMMANDS = {
         Command("mods", "the mods in load order", run_mods, (), (), ("mods",)),
         Command("inherit", "what an entity inherits from", run_inherit, ("name",), (PATHS,), ("ancestors", "children")),
         Command("keyed", "UI texts", run_keyed, ("key",), (Option("placeholders", "untranslated ones", "flag"),), ("keyed",)),
-        Command("code-search", "source lines by pattern", run_code_search, ("pattern",), (Option("ignore-case", "ignore case", "flag", "i"), Option("glob", "files")), ("lines",), False),
+        Command("code-search", "source lines by pattern", run_code_search, ("pattern",), (Option("ignore-case", "ignore case", "flag", "i"), Option("glob", "files"), Option("context", "lines around each", short="C"), Option("source", "of this tree", "multi"), Option("max-files", "files at most"), Option("texts", "the UI texts that the lines ask for", "flag")), ("lines",), False),
         Command("read", "a source file", run_read, ("file",), (Option("lines", "a-b, a+n, a, all"), Option("outline", "declarations", "flag"), Option("member", "one declaration")), ("lines",), False),
         Command("snapshot list", "snapshots", run_snapshots, (), (), ("snapshots",), False),
+        Command("snapshot use", "use a snapshot from now on", run_use, ("name",), (), ("snapshots",), False),
+        Command("sources list", "source trees and their state", run_sources, (), (), ("sources",), False),
+        Command("sources sync", "copy what is stale or missing", run_sync, (), (), ("sources",), False),
+        Command("modlist show", "the mods of a list", run_mod_list, ("file",), (), ("mods",), False),
+        Command("modlist save", "the snapshot's mods as a list", run_save_list, ("file",), (Option("needs", "mod:needed, put in before it", "multi"),), ("lists",)),
+        Command("docs", "all commands, in Markdown", run_docs, (), (), ("commands",), False),
         Command("snapshot status", "a snapshot's facts", run_status, (), (), ("meta",)),
         Command("snapshot truncated", "entities with dropped fields", run_truncated, (), (Option("type", "of these types", "multi", "t"), LIKE), ("truncated",)),
         Command("snapshot import", "import an export", run_import, ("file", "target"), (), ("counts",), False),
@@ -357,6 +517,17 @@ COMMANDS = {
 }
 
 
+def markdown() -> str:
+    """M7: the reference of all commands in Markdown, from what the parser reads."""
+    out = ["# Commands"]
+    for c in COMMANDS.values():
+        out += [f"\n## {c.name}", f"\n{c.help}: `{' '.join([c.name, *(f'<{p}>' for p in c.positionals)])}`", "\n| Option | |", "|---|---|"]
+        out += [f"| `--{o.name}`" + (f", `-{o.short}`" if o.short else "") + f" | {o.help} |" for o in (*c.options, *COMMON)]
+        if c.keys:
+            out.append(f"\nKeys of the JSON answer: {', '.join(f'`{snake(k)}`' for k in c.keys)}")
+    return "\n".join(out)
+
+
 def help_text() -> str:
     """All commands and options, from what the parser reads."""
     out = []

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import shutil
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.model import Snapshot
@@ -118,6 +120,79 @@ def environment_drift(recorded: list[tuple[str, str]], now: list[tuple[str, str]
     return Drift([i for i, _ in now if i.lower() not in then], [i for i, _ in recorded if i.lower() not in here], common != order, [(i, then[i], here[i]) for i in common if then[i] != here[i]], sorted(changed))
 
 
+def list_fingerprints(spark: SparkSession, known: dict[str, str]) -> dict[str, str]:
+    """The mod list fingerprint of each snapshot that has one. meta has a few rows."""
+    out = {}
+    for name, path in known.items():
+        row = spark.read.parquet(f"{path}/meta").where("key = 'list_fingerprint'").first()
+        if row:
+            out[name] = row.value
+    return out
+
+
+def staleness(s: Snapshot, ids: list[str] | None, version: str | None, content: dict[str, str] | None) -> list[tuple[str, set[str]]]:
+    """N6, N7 as sentences, each with the mods that it is about (none: about all).
+
+    ids: the present mod list; version: the present game's; content: the installed mods' content
+    fingerprints. What isn't known is not compared.
+    """
+    meta = {r.key: r.value for r in s.meta.collect()}
+    recorded = [(r.package_id, r.version or "") for r in s.mods.orderBy("ordinal").collect()]
+    out: list[tuple[str, set[str]]] = []
+    if version and meta.get("game_version") and normal_version(version) != normal_version(meta["game_version"]):
+        out.append((f"the snapshot is of version {normal_version(meta['game_version'])}, the game of {normal_version(version)}", set()))
+    if ids is not None:
+        then = {i.lower(): v for i, v in recorded}
+        drift = environment_drift(recorded, [(i, then.get(i.lower(), "")) for i in ids])
+        for what, names in (("added", drift.added), ("removed", drift.removed)):
+            if names:
+                out.append((f"mods {what} since the snapshot: {', '.join(names[:3])}" + (f" and {len(names) - 3} more" if len(names) > 3 else ""), {n.lower() for n in names} if what == "removed" else set()))
+        if drift.reordered:
+            out.append(("the mods' order has changed since the snapshot", set()))
+    if content is not None and meta.get("content_fingerprint"):
+        changed, _ = content_drift(json.loads(meta["content_fingerprint"]), content)
+        if changed:
+            out.append((f"files have changed since the snapshot in {', '.join(changed[:3])}" + (f" and {len(changed) - 3} more" if len(changed) > 3 else ""), set(changed)))
+    return out
+
+
+def source_plan(mods: dict[str, str], within: str = "Source") -> dict[str, str]:
+    """The source trees that installed mods bring: name and fingerprint of their files."""
+    out = {}
+    for name, folder in sorted(mods.items()):
+        found = sorted(f"{p.relative_to(folder).as_posix()}|{p.stat().st_size}:{p.stat().st_mtime_ns}" for p in Path(folder, within).rglob("*.cs") if p.is_file())
+        if found:
+            out[name] = fingerprint(found)
+    return out
+
+
+MANIFEST = ".manifest.json"
+
+
+def source_manifest(root: str) -> dict[str, str]:
+    """The trees that were built below a source root, by what."""
+    path = Path(root, MANIFEST)
+    return json.loads(path.read_text(encoding="utf-8")) if path.is_file() else {}
+
+
+def sync_sources(mods: dict[str, str], root: str, within: str = "Source") -> list[str]:
+    """Copies the trees that are stale or were never built, and notes them in the manifest; returns their names.
+
+    A tree is copied beside its place and moved there whole; the manifest is written last.
+    """
+    planned, built = source_plan(mods, within), source_manifest(root)
+    done = [name for name, state in reconcile(planned, built).items() if state in ("stale", "never built")]
+    for name in done:
+        place, new = Path(root, name), Path(root, f".{name}.new")
+        shutil.rmtree(new, ignore_errors=True)
+        shutil.copytree(Path(mods[name], within), new, ignore=lambda at, names: [n for n in names if not Path(at, n).is_dir() and not n.endswith(".cs")])
+        shutil.rmtree(place, ignore_errors=True)
+        new.rename(place)
+    if done:
+        Path(root, MANIFEST).write_text(json.dumps(built | {n: planned[n] for n in done}, indent=1, sort_keys=True), encoding="utf-8")
+    return done
+
+
 def normal_version(text: str) -> str:
     """The first two numbers of a version: `1.6.4630 rev1` is 1.6."""
     return ".".join((text.split() or [""])[0].split(".")[:2])

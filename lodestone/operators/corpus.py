@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -80,6 +81,39 @@ def context(matches: DataFrame, k: int) -> DataFrame:
     return windows.select("tree", "file", "window", F.explode(F.sequence(F.greatest(F.col("first") - k, F.lit(1)), F.col("last") + k)).alias("line"))
 
 
+def with_context(files: DataFrame, matches: DataFrame, k: int) -> DataFrame:
+    """C4: tree, file, window, line, text, hit: the matching lines and those within k of one."""
+    around = context(matches, k)
+    hits = matches.select("tree", "file", "line", F.lit(True).alias("hit"))
+    own = files.join(matches.select("tree", "file").distinct(), ["tree", "file"], "left_semi")
+    return lines(own).join(around, ["tree", "file", "line"]).join(hits, ["tree", "file", "line"], "left").select("tree", "file", "window", "line", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def bounded(files: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The first `most` files in the order of trees, and whether there are more, so that counts are lower bounds."""
+    first = files.orderBy(tree_order(), "tree", "file").limit(most)
+    return first, files.count() > most
+
+
+def pattern_hints(pattern: str) -> list[str]:
+    """What a pattern that finds nothing may have meant."""
+    out = []
+    if re.search(r"&(lt|gt|amp|quot);", pattern):
+        out.append(f"the pattern is HTML-escaped; try {html.unescape(pattern)}")
+    if found := re.search(r"(\w+)(<[\w, .]+>|`\d)", pattern):
+        out.append(f"arguments of generics may be written otherwise or be gone; try {found[1]}")
+    if re.search(r"(?<!\\)[()\[\]{}+*?]", pattern) and not re.search(r"\\|\.\*|\.\+|\[", pattern):
+        out.append(f"the pattern is a regular expression; for the text itself try {re.escape(pattern)}")
+    return out
+
+
+def glob_hint(glob: str) -> str | None:
+    """Why a glob may fit no file."""
+    if "/" in glob and not glob.startswith("*"):
+        return f"a glob with a slash starts at the root; try **/{glob}"
+    return None if "*" in glob or "?" in glob or glob.endswith(".cs") else f"a glob names whole files; try *{glob}*"
+
+
 def resolve_keys(matches: DataFrame, keyed: DataFrame) -> DataFrame:
     """Key, n, translated: the UI texts that matching lines ask for; translated is null for unknown keys."""
     calls = matches.select(F.explode(F.regexp_extract_all("text", F.lit(KEY_CALL), 1)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import afold, fold
+from lodestone.functions.paths import afold, fold, same_type
 from lodestone.model import Snapshot
 from lodestone.plans.predicates import any_contains
 from lodestone.shared import shared_path
@@ -58,7 +58,7 @@ def kin(s: Snapshot, root: str, exclude: tuple[str, str] | None = None) -> DataF
     nodes = s.xml_nodes.where("def_name is not null and def_name <> ''").drop("name_fold").join(closure, F.col("parent_name_fold") == F.col("name_fold"), "left_semi")
     nodes = nodes.select(F.col("def_name_fold").alias("name_fold"), afold("def_type").alias("node_type")).distinct()
     alone = s.defs.groupBy("name_fold").agg(F.count("*").alias("n_name"))
-    found = s.defs.join(nodes, "name_fold").join(alone, "name_fold").where((afold("def_type") == F.col("node_type")) | (F.col("n_name") == 1))
+    found = s.defs.join(nodes, "name_fold").join(alone, "name_fold").where(same_type("def_type", "node_type") | (F.col("n_name") == 1))
     if exclude:
         found = found.where(~((F.col("name_fold") == fold(exclude[0])) & (F.col("def_type") == exclude[1])))
     return found.select("id").distinct()

@@ -11,14 +11,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.paths import afold, class_like, fold
+from lodestone.functions.paths import afold, class_like, declared_in, default_text, fold
 from lodestone.functions.text import phrases
 from lodestone.model import Snapshot
 from lodestone.operators import lookup, reverse, search
+from lodestone.operators.paging import MAX_LIMIT
 from lodestone.plans.predicates import PathQuery, ValueMatch, class_condition, type_condition
 from lodestone.plans.scope import Scope
 
 
+FEW = 200
+"""Rows up to which a result's neighbours are looked at."""
+
+
 @dataclass
 class Finding:
     """Where the answer is instead: a reason, its evidence, and names to try."""
@@ -57,6 +62,10 @@ def where_triage(s: Snapshot, path: PathQuery, value: str | None, exact: bool, s
             return Finding("identity", f"the field has the component, {short}, not its properties", tuple(names))
     if names := some(reverse.paths_with_value(s, value, scope, ValueMatch.IDENTIFIER)[0].rows, "path"):
         return Finding("elsewhere", f"other fields have the value {value}", tuple(names))
+    if class_like(value) and (names := some(reverse.types_holding_class(s, value).rows, "def_type")):
+        return Finding("class", f"{value} is the class of entities, which the field doesn't name; they are in", tuple(names))
+    if n := index_has(s, value, scope):
+        return Finding("indexed text", f"no field has {value}, but names and texts of {n} entities do; search for it")
     near = search.closest(reverse.matching(s, path, scope=scope).select("value"), value)
     return Finding("not in domain", f"{path.text} never has {value}", tuple(near))
 
@@ -85,8 +94,8 @@ def values_triage(s: Snapshot, path: PathQuery, scope: Scope | None, def_type: s
     return where_triage(s, path, None, False, scope)
 
 
-def locate(s: Snapshot, name: str, scope: Scope | None = None) -> list[Finding]:
-    """Everywhere that a name is known, nearest first."""
+def locate(s: Snapshot, name: str, scope: Scope | None = None, others: dict[str, Snapshot] | None = None) -> list[Finding]:
+    """Everywhere that a name is known, nearest first; in other snapshots if it is known nowhere here."""
     probes = (
         ("def out of scope", lambda: lookup.named(s, name) if is_scoped(scope) else None, "source_mod"),
         ("node", lambda: lookup.nodes_named(s, name).rows, "parent_name"),
@@ -102,6 +111,8 @@ def locate(s: Snapshot, name: str, scope: Scope | None = None) -> list[Finding]:
         df = rows()
         if df is not None and not df.limit(1).isEmpty():
             out.append(Finding(reason, f"{name} is known as a {reason}", tuple(some(df, column))))
+    if not out and others and (names := elsewhere(others, lambda o: lookup.named(o, name))):
+        out.append(Finding("other snapshot", f"{name} is an entity in another snapshot", tuple(names)))
     return out
 
 
@@ -126,22 +137,31 @@ def advisories(s: Snapshot, path: PathQuery, value: str | None, exact: bool, sco
         other = reverse.value_elsewhere(s, path, value, ValueMatch.EXACT if exact else ValueMatch.SUBSTRING, scope).collect()
         if other:
             out.append(Finding("elsewhere", f"the value is also on {other[0].others} other shapes of these types", tuple(f"{r.shape} ({r.defs})" for r in other)))
+    if matches <= FEW:
+        beside = reverse.authored_siblings(s, rows).take(4).collect()
+        if beside:
+            out.append(Finding("siblings", "the same list entries also have", tuple(r.leaf for r in beside)))
+        alike = reverse.same_label_groups(s.defs.join(rows.select(F.col("def_id").alias("id")).distinct(), "id", "left_semi")).limit(3).collect()
+        if alike:
+            out.append(Finding("same label", "some of the entities share a label", tuple(f"{r.label} ({r.n})" for r in alike)))
     cut = reverse.truncated_sharing(s, rows, scope).take(3).collect()
     if cut:
         out.append(Finding("truncated", "entities of these types had fields dropped: " + ", ".join(f"{r.def_type} {r.n}" for r in cut)))
     return out
 
 
+def outside_texts(s: Snapshot) -> Finding | None:
+    """That some texts are from mods outside the snapshot's list."""
+    n = lookup.translations_outside(s).first().n
+    return Finding("outside texts", f"texts of {n} names are from mods that aren't in the list") if n else None
+
+
 def index_has(s: Snapshot, text: str, scope: Scope | None = None) -> int:
     """How many entities the text index finds for a value that no field has."""
     page = search.search_index(s, text, scope) if phrases(text) else None
     return page.total() if page is not None else 0
 
 
-def is_class(text: str) -> bool:
-    return class_like(text)
-
-
 def entity(s: Snapshot, def_id: int, filters: list[str] | None = None, include_defaults: bool = False, limit: int | None = 25) -> dict[str, DataFrame]:
     """A5: an entity's parts: identity, fields and their counts, shared values, texts, namesakes, nodes, hidden list entries."""
     own = s.defs.where(F.col("id") == def_id)
@@ -149,12 +169,12 @@ def entity(s: Snapshot, def_id: int, filters: list[str] | None = None, include_d
     shown = page.take(limit)
     row = own.first()
     return {
-        "identity": own,
-        "fields": shown,
+        "identity": own.withColumn("declared_in", declared_in("generated", "source_file")),
+        "fields": shown.withColumn("default", default_text("is_default")),
         "counts": counts,
-        "shared": reverse.shared_of(s, row.def_type, shown),
+        "shared": reverse.shared_of(s, row.def_type, shown).limit(limit or MAX_LIMIT),
         "texts": lookup.translations_of(s, def_id).take(limit),
-        "namesakes": lookup.named(s, row.def_name).where(F.col("id") != def_id),
+        "namesakes": lookup.named(s, row.def_name).where(F.col("id") != def_id).orderBy("id").limit(limit or MAX_LIMIT),
         "inherits_from": lookup.nodes_named(s, row.def_name).take(limit),
         "hidden": reverse.hidden_indexes(s, def_id, shown),
     }

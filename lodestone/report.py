@@ -103,7 +103,7 @@ class Report:
         self.entries.append(entry)
 
     def table(self, key: str, df, columns: list[str] | None = None, mods: str | None = None) -> int:
-        """A page's rows; a page has a limit, so the driver gets no more than that. Returns their number."""
+        """A page's rows, returns their number. What is asked for without a limit comes whole."""
         rows = df.collect()
         names = columns or df.columns
         self.add(Block(key, names, [tuple(r[c] for c in names) for r in rows]))
@@ -111,6 +111,15 @@ class Report:
             self.touched |= {r[mods] for r in rows if r[mods]}
         return len(rows)
 
+    def item(self, key: str, **values: object) -> None:
+        """M2: one of a collection of items that are alike; together they are one block, in their order."""
+        block = next((e for e in self.entries if isinstance(e, Block) and e.key == key), None)
+        if block is None:
+            self.entries.append(block := Block(key, list(values), []))
+        if list(values) != block.columns:
+            raise ValueError(f"an item of {key} has {', '.join(values)}, not {', '.join(block.columns)}")
+        block.rows.append(tuple(values.values()))
+
     def defer(self, notice: Notice, mods: set[str]) -> None:
         """A notice about some mods: a footnote, unless the result touches one of them or none is known."""
         self.deferred.append((notice, mods))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.model import Snapshot, SnapshotError, open_snapshot
+from lodestone.operators.catalog import list_fingerprint
 from lodestone.shared import stored
 from lodestone.sources.build import publish
 
@@ -81,6 +82,14 @@ def check_complete(lines: DataFrame) -> ExportMeta:
     return meta
 
 
+def peek(spark: SparkSession, path: str) -> ExportMeta:
+    """S3: the environment of an export, from its first line alone."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    if first is None:
+        raise SnapshotError("the export is empty")
+    return parse_meta(first.value)
+
+
 def parse(lines: DataFrame, meta: ExportMeta) -> dict[str, DataFrame]:
     """The raw tables of an export. Ids follow the order of the records."""
     spark = lines.sparkSession
@@ -114,6 +123,7 @@ def import_export(spark: SparkSession, source: str, target: str, harvested: dict
     for name, more in (harvested or {}).items():
         raw[name] = raw[name].unionByName(more, allowMissingColumns=True)
     facts = {"export_meta_json": meta.raw, "source_file": source, "language": meta.language, "game_version": meta.game_version, "imported_from_records": str(lines.count())}
+    facts["list_fingerprint"] = list_fingerprint(m[0] for m in meta.mods)
     if content is not None:
         facts["content_fingerprint"] = json.dumps(content, sort_keys=True)
     unfinished = target.rstrip("/") + ".partial"

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from lodestone.sources.languages import package_id
+
 
 @dataclass
 class Settings:
-    """Where things are, which snapshot is pinned, and named groups of mods."""
+    """Where things are, which snapshot is pinned, and named groups of mods.
+
+    mods: the folder of installed mods; mod_list: the file of the present mod list; version: that
+    of the game; file: where the settings were read from.
+    """
 
     home: str = "."
     snapshot: str | None = None
@@ -18,6 +25,10 @@ class Settings:
     groups: dict[str, list[str]] = field(default_factory=dict)
     sources: str | None = None
     official: str = "base."
+    mods: str | None = None
+    mod_list: str | None = None
+    version: str | None = None
+    file: str | None = None
 
 
 def load_settings(*paths: str) -> Settings:
@@ -28,7 +39,25 @@ def load_settings(*paths: str) -> Settings:
             for key, value in tomllib.loads(Path(path).read_text(encoding="utf-8-sig")).items():
                 merged[key] = merged.get(key, {}) | value if isinstance(value, dict) else value
     known = {k: v for k, v in merged.items() if k in Settings.__dataclass_fields__}
-    return Settings(**known)
+    return Settings(**known | {"file": paths[-1] if paths else None})
+
+
+def pin(path: str, name: str) -> None:
+    """Sets `snapshot` in a settings file, whose other lines stay as they are."""
+    file = Path(path)
+    lines = file.read_text(encoding="utf-8-sig").splitlines() if file.is_file() else []
+    table = next((i for i, line in enumerate(lines) if line.lstrip().startswith("[")), len(lines))
+    kept = [line for i, line in enumerate(lines) if i >= table or line.partition("=")[0].strip() != "snapshot"]
+    file.write_text("\n".join([f"snapshot = {json.dumps(name)}", *kept]) + "\n", encoding="utf-8")
+
+
+def installed(folder: str | None) -> dict[str, str]:
+    """The mods in a folder: package id and path. Of two folders with one id the first by name counts."""
+    out: dict[str, str] = {}
+    for path in sorted(Path(folder).iterdir()) if folder and Path(folder).is_dir() else []:
+        if path.is_dir():
+            out.setdefault(package_id(str(path)).lower(), str(path))
+    return out
 
 
 @dataclass

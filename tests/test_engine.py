@@ -132,7 +132,7 @@ def test_triage(s):
     assert triage.list_triage(s, "RigDefs", None, None, None, 0).names == ("RigDef",)
     assert triage.list_triage(s, "RigDef", None, None, None, 50).reason == "past the end"
     assert {f.reason for f in triage.locate(s, "ThinGlass")} == {"node"} and "UI text" in {f.reason for f in triage.locate(s, "SkyTodo")}
-    assert {f.reason for f in triage.advisories(s, PathQuery("unit"), "ArcMinute", False, None, 3)} == {"shapes", "truncated"}
+    assert {f.reason for f in triage.advisories(s, PathQuery("unit"), "ArcMinute", False, None, 3)} == {"shapes", "truncated", "siblings", "same label"}
 
 
 def test_ties_are_shown_together(spark, s):
