@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,12 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where neither the setting nor a checkpoint folder exists (tests on one machine)
-    is a temporary one made.
+    Where neither the setting nor a checkpoint folder exists, a temporary one is made on a local
+    master only: on a cluster the executors could not see it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lodestone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -68,6 +75,16 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
+def forget() -> None:
+    """Frees what an earlier operator has left in a worker that Spark uses again: vocabularies and their caches."""
+    bpe = sys.modules.get("lodestone.llm.bpe")
+    if bpe and bpe.load.cache_info().currsize:
+        bpe.load.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_field(df: DataFrame, id_col: str) -> str:
     """DDL type of the id column."""
     return df.schema[id_col].dataType.simpleString()

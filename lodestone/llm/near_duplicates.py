@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_AZ, bounded_batches, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
+from lodestone.llm.common import LOWER_AZ, bounded_batches, forget, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
 from lodestone.llm.rows import components, free_name, member_filter, numbered, split_by, spread_join, with_row
 
 WIDTH, PERCENT = 5, 80
@@ -84,6 +84,7 @@ def sketches(rows: DataFrame, width: int, percent: int) -> DataFrame:
     kind = id_field(rows, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             n, key, band, odd = [], [], [], []
             for text in texts(batch):
@@ -102,6 +103,7 @@ def full_sets(rows: DataFrame, width: int) -> DataFrame:
     """row, shingles: the hashes of each row's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             found = [shingles(t, width).view(np.int64) for t in texts(batch)]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -120,6 +122,7 @@ def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     both = spread_join(pairs.join(side("b"), "b"), side("a").join(of_a, "a"), "a", pairs.count(), "inner").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         kept: tuple[int, np.ndarray] | None = None
         for whole in batches:
             for batch in slices(iter([whole]), "text_b"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, two_columns, written
+from lodestone.llm.common import forget, shared_dir, two_columns, written
 
 FILTER_BITS = 26
 """log2 of the bits of a membership filter: 8 MB, whatever the number of members."""
@@ -77,6 +77,7 @@ def split_by(rows: DataFrame, bitmap: np.ndarray, column: str = "row") -> tuple[
 
     def kept(member: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for batch in batches:
                 bit = batch.column(batch.num_columns - 1).to_numpy()
                 found = (sent.value[bit >> 6] >> (bit & 63)) & 1 == int(member)
