@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,9 +141,10 @@ def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.distinct().orderBy(h, key).limit(n)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     """A 64-bit hash for each word."""
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    found = map(xxhash.xxh3_64_intdigest, words, repeat(seed)) if seed else map(xxhash.xxh3_64_intdigest, words)
+    return np.fromiter(found, np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

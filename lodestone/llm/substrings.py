@@ -2,8 +2,10 @@
 
 Any repeat of `width` words covers a whole block of about half as many words, whichever row's
 blocks are laid out from word 0 on. So the non-overlapping blocks of all rows are the index, and
-each row's rolling windows of a block's size are the probes. Windows of `width` words around the
-places that hit are then compared in full; neighbouring ones add up to maximal repeats.
+each row's rolling windows of a block's size are the probes. A hit is extended on both sides:
+the windows of `width` words that hold it are compared by two independent 64-bit hashes of all
+their words, and neighbouring ones that repeat add up to maximal repeats. A block's 64-bit hash
+that happens to meet another's only adds windows to compare.
 
 Probes travel packed: a chunk of texts sends a bucket one row with its hashes and places, not a
 row for each window. What repeats inside a chunk is sent once, so a passage that a third of all
@@ -25,11 +27,13 @@ from lodestone.llm.common import id_field, ids, record, slices, spans_of, texts,
 from lodestone.llm.rows import member_filter, numbered, split_by
 
 WIDTH = 35
-BUCKET_BYTES = 6 << 20
-"""Text whose windows meet in one bucket, about."""
+BUCKET_BYTES, PER_TASK = 6 << 20, 8
+"""Text whose windows meet in one bucket, at most about, and buckets for each shuffle partition at least."""
 
-REQUEST = "bucket long, chunk long, hashes binary, places binary, flags binary"
+REQUEST = "bucket long, chunk long, hashes binary, places binary, flags binary, checks binary"
 REPLY = "chunk long, places binary, rows binary, starts binary"
+SEED = 0x5EED
+"""Of the words' second hash."""
 ONE, MANY = 1, 2
 ANCHOR = 4
 
@@ -50,16 +54,17 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def bucket_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """log2 of the number of buckets: so many that each gets a bounded share of the windows."""
+    """log2 of the number of buckets: so many that each gets a bounded share of the windows, and each task several buckets."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    return max(5, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(np.ceil(np.log2(max(32, size / BUCKET_BYTES, PER_TASK * tasks))))
 
 
 def requests(rows: DataFrame, windows: Callable, bits: int, kind: type) -> DataFrame:
     """What each chunk asks of each bucket, and one row with what it knows itself (bucket: -1 - chunk).
 
     windows: gives for a batch the number of places of each row, and of all places that matter
-    the place, hash, and whether it is an anchor.
+    the place, hash, a second hash (or none), and whether it is an anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +72,14 @@ def requests(rows: DataFrame, windows: Callable, bits: int, kind: type) -> DataF
         top, wide = np.uint64(64 - bits), np.uint64(64 - bits - 8 * np.dtype(kind).itemsize) if bits + 8 * np.dtype(kind).itemsize < 64 else np.uint64(0)
         for batch in slices(batches):
             chunk += 1
-            sizes, place, h, anchor = windows(batch)
-            order = np.argsort(h)
+            sizes, place, h, check, anchor = windows(batch)
+            order = np.argsort(h) if check is None else np.lexsort((check, h))
             h = h[order]
             first = np.ones(len(h), bool)
             first[1:] = h[1:] != h[:-1]
+            if check is not None:
+                check = check[order]
+                first[1:] |= check[1:] != check[:-1]
             heads = np.flatnonzero(first)
             times = np.diff(np.append(heads, len(h)))
             flags = np.where(times > 1, MANY, ONE).astype(np.uint8)
@@ -84,10 +92,10 @@ def requests(rows: DataFrame, windows: Callable, bits: int, kind: type) -> DataF
             low = (unique >> wide).astype(kind)
             at = np.searchsorted(unique >> top, np.arange((1 << bits) + 1, dtype=np.uint64)) if len(unique) else np.zeros((1 << bits) + 1, np.int64)
             used = np.flatnonzero(np.diff(at))
-            out = {"bucket": [-1 - chunk], "chunk": [chunk], "hashes": [np.asarray(ids(batch, "row").to_numpy(), np.int64).tobytes()], "places": [np.sort(place[own]).astype(np.uint32).tobytes()], "flags": [np.asarray(sizes, np.int64).tobytes()]}
+            out = {"bucket": [-1 - chunk], "chunk": [chunk], "hashes": [np.asarray(ids(batch, "row").to_numpy(), np.int64).tobytes()], "places": [np.sort(place[own]).astype(np.uint32).tobytes()], "flags": [np.asarray(sizes, np.int64).tobytes()], "checks": [b""]}
             for b in used.tolist():
                 cut = slice(at[b], at[b + 1])
-                for key, value in zip(out, (b, chunk, planes(low[cut]), planes(places[cut]), flags[cut].tobytes()), strict=True):
+                for key, value in zip(out, (b, chunk, planes(low[cut]), planes(places[cut]), flags[cut].tobytes(), b"" if check is None else check[heads[cut]].tobytes()), strict=True):
                     out[key].append(value)
             yield record({k: pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for k, v in out.items()})
 
@@ -98,14 +106,18 @@ def answers(asked: DataFrame, kind: type, anchored: bool) -> DataFrame:
     """row, starts: the places of each row whose window occurs again (and is somewhere an anchor, if anchored)."""
 
     def meet(table: pa.Table) -> pa.Table:
-        bucket, chunk, hashes, places, flags = (table.column(c).to_pylist() for c in ("bucket", "chunk", "hashes", "places", "flags"))
+        bucket, chunk, hashes, places, flags, checks = (table.column(c).to_pylist() for c in ("bucket", "chunk", "hashes", "places", "flags", "checks"))
         if bucket[0] < 0:
             return pa.table({"chunk": pa.array(chunk, pa.int64()), "places": pa.array(places, pa.binary()), "rows": pa.array(hashes, pa.binary()), "starts": pa.array(flags, pa.binary())})
         h = np.concatenate([from_planes(x, kind) for x in hashes])
         flag = np.concatenate([np.frombuffer(x, np.uint8) for x in flags])
-        order = np.argsort(h, kind="stable")
+        check = np.frombuffer(b"".join(checks), np.uint64)
+        order = np.lexsort((check, h)) if len(check) else np.argsort(h, kind="stable")
         s = h[order]
-        head = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        new = np.append(True, s[1:] != s[:-1])
+        if len(check):
+            new[1:] |= check[order[1:]] != check[order[:-1]]
+        head = np.flatnonzero(new)
         hit = np.add.reduceat((flag[order] & 3).astype(np.int64), head) > 1
         if anchored:
             hit &= np.bitwise_or.reduceat(flag[order], head) & ANCHOR > 0
@@ -139,7 +151,7 @@ def answers(asked: DataFrame, kind: type, anchored: bool) -> DataFrame:
 def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """row, starts: where windows of `width` words begin whose words also begin somewhere else (uint32, packed).
 
-    rows: a numbered table. Hashes have 64 bits in all.
+    rows: a numbered table. Repeats are told by 128 bits, of two hashes that share nothing.
     """
     block = (width + 1) // 2
     bits = bucket_bits(rows)
@@ -157,16 +169,16 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             else:
                 sizes.append(0)
         if not h:
-            return sizes, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+            return sizes, np.empty(0, np.int64), np.empty(0, np.uint64), None, np.empty(0, bool)
         within = np.concatenate([np.arange(len(w)) for w in h])
-        return sizes, np.concatenate(place), np.concatenate(h), within % block == 0
+        return sizes, np.concatenate(place), np.concatenate(h), None, within % block == 0
 
     hits = written(answers(requests(rows, probes, bits, np.uint32), np.uint32, True), "anchors")
     maybe, _ = split_by(rows.select("row", "text"), member_filter(hits))
     near = maybe.join(hits, "row")
 
     def extended(batch: pa.RecordBatch):
-        sizes, place, h, base = [], [], [], 0
+        sizes, place, h, check, base = [], [], [], [], 0
         for text, packed in zip(texts(batch), texts(batch, "starts"), strict=True):
             words = words_of(text)
             n = len(words) - width + 1
@@ -176,9 +188,10 @@ def repeats(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             start = np.flatnonzero(after[np.minimum(np.arange(n) + width - block + 1, len(after) - 1)] > after[:n])
             place.append(base + start)
             h.append(window_hashes(word_hashes(words), width)[start])
+            check.append(window_hashes(word_hashes(words, SEED), width)[start])
             sizes.append(n)
             base += n
-        return sizes, np.concatenate(place), np.concatenate(h), np.ones(sum(map(len, h)), bool)
+        return sizes, np.concatenate(place), np.concatenate(h), np.concatenate(check), np.ones(sum(map(len, h)), bool)
 
     return written(answers(requests(near, extended, bits, np.uint64), np.uint64, False), "repeats")
 

@@ -626,6 +626,21 @@ def test_substrings(spark, width):
         assert sum(s["end"] - s["first"] for s in got[i]["spans"]) == want[1] and hashlib.sha256(got[i]["kept"].encode()).hexdigest() == want[2]
 
 
+def test_windows_of_one_hash_are_told_apart(spark):
+    """With a first hash that sees next to nothing, the second one decides."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % 3}x{i % 8}" for j in range(12))) for i in range(12)], "doc_id long, text string")
+
+    def windows_of(batch):
+        texts = batch.column(2).to_pylist()
+        check = np.array([common.xxhash.xxh3_64_intdigest(t.encode()) for t in texts], np.uint64)
+        return [1] * len(texts), np.arange(len(texts)), np.full(len(texts), 7 << 60, np.uint64), check, np.ones(len(texts), bool)
+
+    asked = substrings.requests(substrings.numbered(docs), windows_of, 5, np.uint64)
+    got = {r["row"]: np.frombuffer(r["starts"], np.uint32).tolist() for r in rows(substrings.answers(asked, np.uint64, False))}
+    number = {r["row"]: r["doc_id"] for r in rows(substrings.numbered(docs))}
+    assert {number[k] for k in got} == set(range(4)) | {8, 9, 10, 11} and all(v == [0] for v in got.values())
+
+
 def test_substrings_of_odd_rows(odd, empty):
     got = rows(substrings.remove_repeats(odd))
     assert len(got) == len(ODD) and [r["n_removed"] for r in got if r["doc_id"] == 5] == [90_000] and rows(substrings.remove_repeats(empty)) == []
