@@ -18,6 +18,7 @@ from lodestone.operators.paging import Page
 from lodestone.plans import scope as scopes
 from lodestone.plans.predicates import PathQuery, ValueMatch, any_contains, class_condition, type_condition, types_condition, value_condition
 from lodestone.sources.build import resolve_owners
+from lodestone.sources.flatten import flatten
 from lodestone.sources.tables import duckdb_tables, snapshot_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,8 +107,18 @@ query("p10_types_with_case", "select id from defs where def_type in ('part', 'Na
 
 # Ingest
 
+
+def _flat(s: Snapshot) -> DataFrame:
+    """Nations as nested rows, flattened."""
+    rows = s.defs.where("def_type = 'nation'").select("def_name", F.struct("label", F.col("source_mod").alias("mod")).alias("s"), F.array("class", "label").alias("l"))
+    defs, values = flatten(rows, "nation", "def_name")
+    return values.join(defs.select(F.col("id").alias("def_id"), "def_name"), "def_id").select("def_name", "path", "value", "is_default")
+
+
+
 query("s4_facts", "select def_id, seq::int seq, path, leaf, value, is_default::tinyint is_default from f")(lambda s: s.facts.select("def_id", "seq", "path", "leaf", "value", "is_default"))
 query("s5_nodes", "select * from xml_nodes")(lambda s: s.xml_nodes.drop("name_fold", "parent_name_fold", "def_name_fold"))
+query("s14_flatten", "select def_name, path, value, 2::tinyint is_default from (select def_name, c.path path, c.value as value from (select def_name, unnest([{'path': 's.label', 'value': label}, {'path': 's.mod', 'value': source_mod}, {'path': 'l[0]', 'value': class}, {'path': 'l[1]', 'value': label}]) c from defs where def_type = 'nation'))")(lambda s: _flat(s))
 query("s6_owner", "select t.def_name, t.path, case when count(d.id) = 1 then min(d.id) when count(d.id) filter (d.def_type = t.def_type) = 1 then min(d.id) filter (d.def_type = t.def_type) end def_id from (select distinct 'part' def_type, p_name def_name, 'label' path from part union all select 'nation', n_name, 'label' from nation union all select 'orders', 'nobody', 'label') t left join defs d using (def_name) group by t.def_name, t.path, t.def_type")(
     lambda s: resolve_owners(
         s.defs.where("def_type in ('part', 'nation')").select("def_type", "def_name").distinct().union(s.spark.sql("select 'orders', 'nobody'")).withColumn("path", F.lit("label")), s.defs
@@ -187,6 +198,30 @@ query(
     "select * from (select def_name, case when n = q then 100.0 when starts_with(n, q) then 90.0 when e <= 2 and e <= length(q) * 0.3 then least(95.0 - 5 * e + case when abs(length(n) - length(q)) <= 1 then 3 else 0 end, 95.0) when len(list_filter(regexp_split_to_array(n, '[_.\\-\\s]+'), lambda w: starts_with(w, q))) > 0 then 80.0 when e <= 3 and 1 - e / greatest(length(n), length(q)) >= 0.75 then 70 * (1 - e / greatest(length(n), length(q))) end::double score from (select distinct def_name, lower(def_name) n, 'red widgte' q, levenshtein(lower(def_name), 'red widgte') e from defs where def_type = 'part')) where score >= 60",
 )(lambda s: s.defs.where("def_type = 'part'").select("def_name").distinct().withColumn("score", text.fuzzy_score("def_name", "red widgte")).where("score >= 60"))
 query("t17_cascade", "select id, def_name from ix_score join defs on id = doc_id", INDEXED + ", " + _bm25("ix", ["starts_with(term, 'small')", "starts_with(term, 'gizmo')"], search.DEF_WEIGHTS))(lambda s: search.cascade(s, "small gizmo", limit=None)[1].select("id", "def_name"))
+_CJK_LETTERS = "'aeiourtn', '天地人火水木金土'"
+query(
+    "t2_cjk_pairs",
+    f"select distinct def_name, case when regexp_matches(t, '[天地人火水木金土]') then t || array_to_string(list_transform(list_filter(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)), lambda b: regexp_matches(b, '^[天地人火水木金土]{{2}}$')), lambda b: ' ' || b), '') else t end pairs from (select def_name, translate(def_name, {_CJK_LETTERS}) t from defs)",
+)(lambda s: s.defs.select("def_name", text.with_cjk_pairs(F.translate("def_name", "aeiourtn", "天地人火水木金土")).alias("pairs")).distinct())
+query(
+    "t6q_phrase",
+    f"select id, def_name, {_SCORE} from px_score join defs on id = doc_id",
+    INDEXED + ", px as (select a.doc_id, a.k, a.term || ' ' || b.term term, a.p from ix a join ix b on a.doc_id = b.doc_id and a.k = b.k and b.p = a.p + 1), px_len as (select * from ix_len), " + _bm25("px", ["starts_with(term, 'red wid')"], search.DEF_WEIGHTS),
+)(lambda s: search.search_index(s, "red.wid").take(None).select("id", "def_name", _score()))
+
+
+def _fuzzy(names: str, q: str) -> str:
+    """def_name, score of the names (a table) that score 60 or more; for queries that open no initials."""
+    few = 0.5 if len(q) <= 4 else 0.3
+    return (
+        f"select def_name, score from (select def_name, case when n = q then 100.0 when starts_with(n, q) then 90.0 when e <= 2 and e <= length(q) * {few} then least(95.0 - 5 * e + case when abs(length(n) - length(q)) <= 1 then 3 else 0 end, 95.0) "
+        "when len(list_filter(regexp_split_to_array(n, '[_.\\-\\s]+'), lambda w: starts_with(w, q))) > 0 then 80.0 when e <= 3 and 1 - e / greatest(length(n), length(q)) >= 0.75 then 70 * (1 - e / greatest(length(n), length(q))) end::double score "
+        f"from (select distinct def_name, lower(def_name) n, '{q}' q, levenshtein(lower(def_name), '{q}') e from {names})) where score >= 60"
+    )
+
+
+query("t13_fuzzy_rank", f"select * from ({_fuzzy('defs', 'nation_1')}) order by score desc, length(def_name), def_name limit 25")(lambda s: search.fuzzy(s, "Nation_1").take())
+query("t17_fuzzy_stage", f"select id, def_name from defs where def_name in (select def_name from ({_fuzzy('defs', 'red widgte')}))")(lambda s: search.cascade(s, "red widgte", limit=None)[1].select("id", "def_name"))
 query("t19_matched_on", f"select id, case when len(list_filter({_TOKENS.format('def_name')}, lambda x: starts_with(x, 'red'))) > 0 then 'def_name' else 'indexed text' end matched_on from defs where def_type = 'part'")(lambda s: search.matched_on(s, s.defs.where("def_type = 'part'"), "red").select("id", "matched_on"))
 query("t19_matched_texts", f"select id, coalesce(p, 'indexed text') matched_on from defs left join (select def_id, min(path) p from translations where len(list_filter({_TOKENS.format('translated')}, lambda x: starts_with(x, 'eaque'))) > 0 and def_id is not null group by 1) t on t.def_id = id where def_type = 'orders' and def_name not in (select def_name from translations where def_id is null)")(
     lambda s: search.matched_on(s, s.defs.where("def_type = 'orders'").join(s.translations.where("def_id is null").select("def_name"), "def_name", "left_anti"), "eaque").select("id", "matched_on")
@@ -201,6 +236,14 @@ query("g3_descendants", "select nm name_fold from anc", _CLOSURE.format("World")
 query("g3_kin", "select id from kin", _KIN.format("ASIA"), True)(lambda s: graph.kin(s, "asia"))
 query("g4_witnesses", "select (select count(*) from kin) descendants, count(distinct def_id) with_path, count(distinct def_id) filter (lower(value) = 'building') same_value, (select count(*) from kin join defs using (id) where fields_truncated > 0) truncated from f where lower(path) like '%segment%' and def_id in (select id from kin)", _KIN.format("EUROPE"), True)(lambda s: graph.witnesses(s, "EUROPE", "segment", "building"))
 query("g5_dominant", "select min(value) as value, count(distinct def_id) defs, (select count(distinct lower(value)) from f where lower(path) like '%segment%' and def_id in (select id from kin)) distinct from f where lower(path) like '%segment%' and def_id in (select id from kin) group by lower(value) order by 2 desc, 1 limit 1".replace(") distinct from", ') "distinct" from'), _KIN.format("AFRICA"), True)(lambda s: graph.dominant_value(s, "AFRICA", "segment"))
+query(
+    "g6_witness_table",
+    "select 'World' layer, (select min(value) from f where lower(path) like '%segment%' and def_id in (select id from kin) group by lower(value) order by count(distinct def_id) desc, min(value) limit 1) as value, (select count(*) from kin) descendants, "
+    "(select count(distinct def_id) from f where lower(path) like '%segment%' and def_id in (select id from kin)) with_path, (select count(distinct def_id) n from f where lower(path) like '%segment%' and def_id in (select id from kin) group by lower(value) order by n desc limit 1) same_value, "
+    "(select count(*) from kin join defs using (id) where fields_truncated > 0) truncated",
+    _KIN.format("World"),
+    True,
+)(lambda s: s.spark.createDataFrame([tuple(r[k] for k in ("layer", "value", "descendants", "with_path", "same_value", "truncated")) for r in graph.witness_table(s, "ASIA", "segment")], "layer string, value string, descendants long, with_path long, same_value long, truncated long"))
 query("g7_outside_layer", "select count(*) n from defs d where lower(def_name) = 'order#3' and not exists (select 1 from xml_nodes x where lower(x.def_name) = lower(d.def_name) and x.def_type = d.def_type)")(lambda s: graph.outside_layer(s, "order#3"))
 
 # UI texts
@@ -220,6 +263,8 @@ query("c3_search", "select tree, file, line::int line, text from lines where reg
 query("c3_counts", "select count(*) lines, count(distinct (tree, file)) files from lines where regexp_matches(text, 'que')", FILES)(lambda s: corpus.match_counts(corpus.search(files_of(s), "que")))
 query("c3_shown", "select tree, file, line::int line from (select *, row_number() over (partition by tree, file order by line) nth from lines where regexp_matches(text, '(?i)and')) where nth <= 20 order by tree, file, line limit 25", FILES)(lambda s: corpus.shown(corpus.search(files_of(s), "and", ignore_case=True)).select("tree", "file", "line"))
 query("c4_context", "select distinct tree, file, unnest(range(greatest(line - 2, 1), line + 3))::int line from lines where regexp_matches(text, 'license')", FILES)(lambda s: corpus.context(corpus.search(files_of(s), "license"), 2).select("tree", "file", "line"))
+query("c5_keys", "select k.key, count(*) n, (select min(translated) from keyed r where r.origin = 'runtime' and r.key = k.key) translated from keyed k group by 1")(lambda s: corpus.resolve_keys(s.keyed.select(F.concat(F.lit('Say("'), "key", F.lit('".Translate());')).alias("text")), s.keyed))
+query("c4_context_text", "select distinct l.tree, l.file, l.line::int line, l.text, exists (select 1 from lines h where h.tree = l.tree and h.file = l.file and h.line = l.line and regexp_matches(h.text, 'license')) hit from lines l join lines m on l.tree = m.tree and l.file = m.file and abs(l.line - m.line) <= 1 and regexp_matches(m.text, 'license')", FILES)(lambda s: corpus.with_context(files_of(s), corpus.search(files_of(s), "license"), 1).drop("window"))
 query("c6_resolve", "select tree, file from files where lower(file) like '%/order#17.cs'", FILES)(lambda s: corpus.resolve_file(files_of(s), "Order#17"))
 query("c7_range", "select tree, file, line::int line, text from lines where file like '%/Order#5.cs' and line between 2 and 4", FILES)(lambda s: corpus.read_lines(files_of(s), files_of(s).where("file like '%/Order#5.cs'").first().file, "2+3"))
 query("c11_in_source", "select tree, file from files where lower(file) like '%/order#23.cs'", FILES)(lambda s: corpus.in_source(files_of(s), "Order#23"))
