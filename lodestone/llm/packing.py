@@ -1,9 +1,14 @@
-"""Best-fit packing of token sequences, in bulk-synchronous steps over length classes."""
+"""Best-fit packing of token sequences, in bulk-synchronous rounds.
+
+Documents are range-sorted by length over the cluster, and placed there by their rank. The
+rounds themselves work on counts, of at most `capacity` lengths and `capacity` gaps whatever the
+number of documents, and so run in one place.
+"""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +20,8 @@ from lodestone.llm import bpe
 from lodestone.llm.common import id_field, ids, record, shared_dir, slices, texts, two_columns, written
 
 CAPACITY = 2048
+BAND = 1.05
+"""Lengths within this factor of the longest that waits are placed together."""
 END = 0
 """The id that ends every document."""
 
@@ -56,51 +63,89 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
     return two_columns(docs, id_col, text_col).mapInArrow(rows, schema)
 
 
-def sweep(classes: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit, decreasing, of whole length classes: (length, first rank, first sequence, pieces a sequence, offset).
+def successor_sweep(wanted: list[tuple[int, int]], gaps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """length, gap, sequences: which gaps a round gives to which lengths. Both lists are sorted: (length, pieces), (gap, sequences).
+
+    Every length asks for its successors, the closest gaps at or above it, each of which it
+    fills with as many pieces as fit. Several ask for one gap: the longest length, which ranks
+    first, gets what it needs of it, and the next one what is left, or its next successor. No
+    sequence is given twice in a round.
+    """
+    out, free = [], [n for _, n in gaps]
+    values = [g for g, _ in gaps]
+    onward = list(range(len(values) + 1))  # from a gap to the next one that may have sequences left
+
+    def at(i: int) -> int:
+        while i < len(values) and not free[i]:
+            onward[i] = max(onward[i], i + 1)
+            i = onward[i]
+        return i
+
+    for length, left in reversed(wanted):
+        i = at(bisect_left(values, length))
+        while i < len(values) and left:
+            each = values[i] // length
+            n = min(free[i], -(-left // each))
+            out.append((length, values[i], n))
+            free[i] -= n
+            left -= min(left, n * each)
+            i = at(i)
+    return out
+
+
+def rounds(classes: list[tuple[int, int]], capacity: int, band: float = BAND) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Bulk-synchronous best fit: the plan (length, first rank, first sequence, pieces a sequence, offset), and the rounds it took.
 
     classes: (length, pieces of it), one for each length. Pieces of one length differ in nothing
-    but their rank, and so do sequences with one gap; so each step matches a whole class with
-    the runs of sequences whose gap succeeds its length most closely, settles by rank which
-    piece goes where, and moves the runs to their new gaps. What is held is bounded by the
-    capacity, not by the number of pieces.
+    but their rank, and so do sequences with one gap: the tables of a round are counts of
+    lengths and of gaps. A round matches all of them by one successor sweep, places the pieces
+    by rank, and moves the sequences to their new gaps. The longest pieces come first, within a
+    factor `band` of each other; shorter ones wait until the longer ones are placed. When a
+    round places nothing, as many new sequences are opened as the waiting ones fill at least.
     """
-    gaps: list[int] = []  # sorted
+    left, rank = dict(sorted(classes)), dict.fromkeys((k for k, _ in classes), 0)
     runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, how many)
-    plan, opened = [], 0
+    plan, opened, taken, least = [], 0, 0, capacity + 1
 
     def put(gap: int, first: int, n: int) -> None:
         if gap > 0 and n > 0:
-            if gap not in runs:
-                insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length, left in sorted(classes, reverse=True):
-        rank = 0
-        while left:
-            i = bisect_left(gaps, length)
-            if i < len(gaps):
-                gap = gaps[i]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[i]
-            else:
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = gap // length
-            whole, rest = min(n, left // each), 0
-            if whole < n:
-                rest = left - whole * each
-            plan.append((length, rank, first, each, capacity - gap))
-            put(gap - each * length, first, whole)
-            if rest:
-                put(gap - rest * length, first + whole, 1)
-            put(gap, first + whole + bool(rest), n - whole - bool(rest))
-            placed = whole * each + rest
-            rank, left = rank + placed, left - placed
-    return plan
+            runs.setdefault(gap, []).append((first, n))
+
+    while left:
+        if (longest := max(left)) < least:
+            least = min(longest, int(longest / band) + 1)
+        active = sorted((k, n) for k, n in left.items() if k >= least)
+        matched = successor_sweep(active, sorted((g, sum(n for _, n in held)) for g, held in runs.items()))
+        taken += 1
+        if not matched:
+            n = max(-(-sum(k * n for k, n in active) // capacity), sum(n for k, n in active if 2 * k > capacity))
+            put(capacity, opened, n)
+            opened += n
+            continue
+        moved = []
+        for length, gap, wanted in matched:
+            each, held = gap // length, runs[gap]
+            while wanted:
+                first, n = held.pop()
+                if n > wanted:
+                    held.append((first + wanted, n - wanted))
+                    n = wanted
+                wanted -= n
+                full = min(n, left[length] // each)
+                rest = min(each, left[length] - full * each) if full < n else 0
+                for start, m, pieces in ((first, full, each), (first + full, int(rest > 0), rest)):
+                    if m:
+                        plan.append((length, rank[length], start, pieces, capacity - gap))
+                        rank[length] += m * pieces
+                        left[length] -= m * pieces
+                        moved.append((gap - pieces * length, start, m))
+            if not held:
+                del runs[gap]
+            if not left[length]:
+                del left[length]
+        for gap, first, n in moved:
+            put(gap, first, n)
+    return plan, taken
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -128,7 +173,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = ranged.groupBy("__part", "length").count().toPandas().sort_values("__part")
     before = counts.groupby("length")["count"].cumsum() - counts["count"]
     base = {(p, n): b for p, n, b in zip(counts["__part"].tolist(), counts["length"].tolist(), before.tolist(), strict=True)}
-    plan = sweep([(int(k), int(n)) for k, n in counts.groupby("length")["count"].sum().items()], capacity)
+    plan, _ = rounds([(int(k), int(n)) for k, n in counts.groupby("length")["count"].sum().items()], capacity)
     order = sorted(plan)
     sent = parts.sparkSession.sparkContext.broadcast((base, np.array(order, np.int64).reshape(-1, 5)))
 

@@ -142,17 +142,17 @@ def best_fit(lengths, capacity):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_sweep_is_best_fit_decreasing(seed):
+def test_rounds_come_close_to_best_fit_decreasing(seed):
     rng = random.Random(seed)
     capacity = rng.choice([7, 50, 2048])
     lengths = [rng.randint(1, capacity) if rng.random() < 0.5 else capacity // 3 + 1 for _ in range(400)]
-    plan = packing.sweep(list(Counter(lengths).items()), capacity)
+    plan, _ = packing.rounds(list(Counter(lengths).items()), capacity)
     placed, n_of = {}, Counter(lengths)
     for (length, first_rank, first, each, offset), after in zip(sorted(plan), [*sorted(plan)[1:], None], strict=True):
         end = after[1] if after and after[0] == length else n_of[length]
         for k in range(end - first_rank):
             placed.setdefault(first + k // each, []).append((offset + k % each * length, length))
-    assert sum(map(len, placed.values())) == len(lengths) and len(placed) == best_fit(lengths, capacity)
+    assert sum(map(len, placed.values())) == len(lengths) and len(placed) <= 1.01 * best_fit(lengths, capacity) + 1
     for parts in placed.values():
         at = 0
         for offset, length in sorted(parts):
@@ -161,11 +161,19 @@ def test_sweep_is_best_fit_decreasing(seed):
         assert at <= capacity
 
 
+def test_a_round_settles_conflicts_by_rank():
+    # 60, 55 and 40 all have 70 as their closest gap; the longest gets it, the next one goes on to 90, and 40 to what is left there.
+    assert packing.successor_sweep([(40, 3), (55, 2), (60, 3)], [(70, 3), (90, 3)]) == [(60, 70, 3), (55, 90, 2), (40, 90, 1)]
+    # The second round has the gaps that the first one left.
+    plan, taken = packing.rounds([(40, 3), (60, 3)], 100, band=2.0)
+    assert taken == 3 and sorted(plan) == [(40, 0, 0, 1, 60), (60, 0, 0, 1, 0)]
+
+
 def test_pack_of_one_hot_length(spark):
     parts = spark.range(3000).selectExpr("id", "cast(case when id % 3 = 0 then 700 else 1 + id % 2048 end as long) length", "1 sequence_id", "2 offset")
     got = rows(packing.pack(parts))
     gapless(got)
-    assert len(got) == 3000 and len({r["sequence_id"] for r in got}) == best_fit([r["length"] for r in got], 2048)
+    assert len(got) == 3000 and len({r["sequence_id"] for r in got}) <= best_fit([r["length"] for r in got], 2048) + 1
 
 
 # 2
