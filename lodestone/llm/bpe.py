@@ -18,7 +18,7 @@ import numpy as np
 import regex
 import tiktoken
 
-CACHE, CACHE_BYTES = 150_000, 24 << 20
+CACHE, CACHE_BYTES = 150_000, 40 << 20
 """Segments in each of a cache's two generations, and about how many bytes they take."""
 LONGEST = 200
 """Code points of the longest segment that is remembered: in unspaced scripts a segment is a paragraph."""
