@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe
 from lodestone.llm.common import id_field, ids, record, shared_dir, slices, texts, two_columns, written
+from lodestone.llm.rows import free_name
 
 CAPACITY = 2048
 BAND = 1.05
@@ -161,18 +162,19 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     shared_dir(parts.sparkSession)
     kept = [c for c in parts.columns if c not in ("sequence_id", "offset")]
+    place, number = free_name(parts, "place"), free_name(parts, "part")
     ranged = (
         written(parts.select(*kept), "pieces")
-        .withColumn("__place", F.monotonically_increasing_id())
-        .repartitionByRange(F.col("length").desc(), "__place")
-        .sortWithinPartitions(F.col("length").desc(), "__place")
-        .drop("__place")
+        .withColumn(place, F.monotonically_increasing_id())
+        .repartitionByRange(F.col("length").desc(), place)
+        .sortWithinPartitions(F.col("length").desc(), place)
+        .drop(place)
         .checkpoint()
-        .withColumn("__part", F.spark_partition_id())
+        .withColumn(number, F.spark_partition_id())
     )
-    counts = ranged.groupBy("__part", "length").count().toPandas().sort_values("__part")
+    counts = ranged.groupBy(number, "length").count().toPandas().sort_values(number)
     before = counts.groupby("length")["count"].cumsum() - counts["count"]
-    base = {(p, n): b for p, n, b in zip(counts["__part"].tolist(), counts["length"].tolist(), before.tolist(), strict=True)}
+    base = {(p, n): b for p, n, b in zip(counts[number].tolist(), counts["length"].tolist(), before.tolist(), strict=True)}
     plan, _ = rounds([(int(k), int(n)) for k, n in counts.groupby("length")["count"].sum().items()], capacity)
     order = sorted(plan)
     sent = parts.sparkSession.sparkContext.broadcast((base, np.array(order, np.int64).reshape(-1, 5)))
@@ -185,7 +187,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             if not batch.num_rows:
                 continue
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            part = int(batch.column(batch.schema.get_field_index("__part"))[0].as_py())
+            part = int(batch.column(batch.schema.get_field_index(number))[0].as_py())
             edge = np.flatnonzero(np.diff(length, prepend=-1))
             rank = np.arange(len(length), dtype=np.int64) - np.repeat(edge, np.diff(np.append(edge, len(length))))
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(length)], strict=True):

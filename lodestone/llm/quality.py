@@ -172,12 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model learned from at most `sample` labelled rows that aren't held out.
 
     Of an id with several labels the lowest counts; null ids and labels are left out, and labels
-    of ids without a document. Of an id with several documents all count, up to four times the sample.
+    of ids without a document. Of an id with several documents all count, up to four times the
+    sample: those whose features have the lowest hashes. An empty table, or labels of one class,
+    give a constant.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out())
     chosen = bounded_sample(known.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", sample)
     rows = two_columns(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
-    got = measure(rows, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("features", "label").limit(4 * sample).toArrow()
+    got = measure(rows, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("features", "label").orderBy(F.xxhash64("features"), "features", "label").limit(4 * sample).toArrow()
     x = np.array(got.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
     y = got.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y)) if len(x) else []
@@ -202,7 +204,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text scores `least` or more, with all their columns."""
+    """The rows of docs whose text scores `least` or more, with all their columns.
+
+    A null text scores as an empty one. Repeated rows and null ids are judged alike, one row
+    each, texts of any length whole; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,12 @@ def test_a_round_settles_conflicts_by_rank():
     assert taken == 3 and sorted(plan) == [(40, 0, 0, 1, 60), (60, 0, 0, 1, 0)]
 
 
+def test_pack_keeps_columns_of_any_name(spark):
+    parts = spark.createDataFrame([(5, 1, 2, 3), (7, 4, 5, 6)], "length long, place int, part int, __part int")
+    got = rows(packing.pack(parts))
+    assert sorted((r["place"], r["part"], r["__part"]) for r in got) == [(1, 2, 3), (4, 5, 6)] and {r["sequence_id"] for r in got} == {0}
+
+
 def test_pack_of_one_hot_length(spark):
     parts = spark.range(3000).selectExpr("id", "cast(case when id % 3 = 0 then 700 else 1 + id % 2048 end as long) length", "1 sequence_id", "2 offset")
     got = rows(packing.pack(parts))
@@ -519,6 +525,15 @@ def test_quality(spark, odd, empty):
     assert len({round(r["score"], 9) for r in rows(quality.scores(odd, constant))}) == 1
 
 
+def test_keep_good_of_odd_rows(odd, empty):
+    some = quality.fit(np.array([quality.features(t) for _, t, *_ in ODD]), np.array([1.0, 0, 0, 0, 0, 1, 0, 1, 1, 1]))
+    score = {r["doc_id"]: r["score"] for r in rows(quality.scores(odd, some))}
+    for least in (0.0, 0.5, 1.1):
+        kept = rows(quality.keep_good(odd, some, least=least))
+        assert Counter(r["doc_id"] for r in kept) == Counter(i for i, *_ in ODD if score[i] >= least) and all(set(r) == {"doc_id", "text", "lang", "row", "score"} for r in kept)
+    assert rows(quality.keep_good(empty, some)) == []
+
+
 def test_additive_model_learns_pairs():
     rng = np.random.default_rng(2)
     x = rng.random((3000, len(quality.FEATURES)))
