@@ -57,6 +57,8 @@ class Snapshot:
         return self.defs.sparkSession
 
 
+PARTS = 32
+"""Files over which the rows of one leaf or term are dealt at most."""
 BLOOM, BLOOM_VALUES = {"facts": ("value_fold", "def_id"), "translations": ("def_id",)}, 200_000
 """Columns with a Bloom filter in every row group, and the different values it is made for."""
 
@@ -74,14 +76,16 @@ def facts_of(field_values: DataFrame, defs: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, name: str) -> DataFrame:
     """Writes a snapshot's table and reads it again.
 
-    facts are range-partitioned and sorted by leaf: a query that names a field reads the row
+    facts are dealt out by leaf and sorted by it: a query that names a field reads the row
     groups of that field and skips the others. One that names a value alone, or an entity, is
-    served by Bloom filters. Postings are sorted by term.
+    served by Bloom filters. Postings are dealt out and sorted by term. A leaf or a term that
+    many rows have goes to PARTS files. Dealing by hash runs what is written once; by range it
+    would run twice, to find the ranges first.
     """
     if name == "facts":
-        df = df.repartitionByRange("leaf_fold", "def_id").sortWithinPartitions("leaf_fold", "def_id", "seq")
+        df = df.repartition("leaf_fold", F.pmod("def_id", F.lit(PARTS))).sortWithinPartitions("leaf_fold", "def_id", "seq")
     elif name in ("postings", "keyed_postings"):
-        df = df.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        df = df.repartition("term", F.pmod("doc_id", F.lit(PARTS))).sortWithinPartitions("term", "doc_id")
     writer = df.write
     for column in BLOOM.get(name, ()):
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(BLOOM_VALUES))
