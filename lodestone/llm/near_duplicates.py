@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER_AZ, bounded_batches, forget, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
-from lodestone.llm.rows import components, free_name, member_filter, numbered, split_by, spread_join, with_row
+from lodestone.llm.rows import components, free_name, maybe_members, numbered, spread_join, with_row
 
 WIDTH, PERCENT = 5, 80
 """Words of a shingle, and the least similarity, unless a caller says otherwise."""
@@ -117,7 +117,7 @@ def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     pairs = written(pairs, "pairs")
     of_a = pairs.groupBy("a").agg(F.count("*").alias("size"))
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("row")
-    maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
+    maybe = maybe_members(rows.select("row", "text"), wanted)
     side = lambda name: maybe.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}"))
     both = spread_join(pairs.join(side("b"), "b"), side("a").join(of_a, "a"), "a", pairs.count(), "inner").select("a", "b", "text_a", "text_b")
 
@@ -190,7 +190,7 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     split = split.select("band", "size", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
     still = written(spread_join(rooted, written(split, "split"), "band", total * n_bands, "inner").where("node <> first"), "still")
     wanted = still.select(F.col("node").alias("row")).distinct()
-    maybe, _ = split_by(rows.select("row", "text"), member_filter(wanted))
+    maybe = maybe_members(rows.select("row", "text"), wanted)
     sets = full_sets(maybe.join(wanted, "row"), width).join(nodes.select(F.col("node").alias("row"), "bands", "sketch"), "row")
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]

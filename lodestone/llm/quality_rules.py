@@ -21,7 +21,7 @@ from lodestone.llm.common import bounded_batches, id_field, ids, mix, record, sl
 from lodestone.llm.features import Counts
 from lodestone.llm.rows import spread_join
 
-ORDER = 5
+ORDER = 4
 START, NUL = 0x10FFFF, 0x10FFFE
 """Code points that stand before a text, and for the code point 0."""
 BROADCAST = 1 << 21
@@ -32,7 +32,7 @@ CHUNK = 16 << 20
 """Code points whose different n-grams are asked for together, where the model is joined."""
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SPREAD = 1.5
+SPREAD = 1.25
 """Interquartile ranges between a language's median perplexity and either end of its band."""
 SHORT = 2.5
 """Bits by which a band widens for short texts, over the root of their code points."""

@@ -88,6 +88,18 @@ def split_by(rows: DataFrame, bitmap: np.ndarray, column: str = "row") -> tuple[
     return kept(True), kept(False)
 
 
+FEW = 1 << 18
+"""Members that may be broadcast as they are (2 MB of numbers); more are told by a membership filter."""
+
+
+def maybe_members(rows: DataFrame, members: DataFrame, column: str = "row") -> DataFrame:
+    """The rows that may be members: just those if they are few, which is counted, else those that the filter lets through."""
+    members = written(members.select(column), "members")
+    if members.count() <= FEW:
+        return rows.join(F.broadcast(members), column, "left_semi")
+    return split_by(rows, member_filter(members, column), column)[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: every node of the links (a, b), with the smallest node that it can reach.
 

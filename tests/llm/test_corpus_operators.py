@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import bpe, common, decontaminate, lm, near_duplicates, packing, pii, quality, quality_rules, substrings, token_counts, urls
+from lodestone.llm import rows as rows_module
 from lodestone.llm.queries import VOCABULARY
 
 LONG = "word another thing " * 30_000
@@ -207,8 +208,9 @@ def brute_components(texts, width, percent):
     return sets, [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, width, percent):
+@pytest.mark.parametrize(("width", "percent", "few"), [(3, 85, 1 << 18), (5, 80, 0)])
+def test_near_duplicates(spark, monkeypatch, width, percent, few):
+    monkeypatch.setattr(rows_module, "FEW", few)
     rng = random.Random(width)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 120))] for _ in range(30)]
