@@ -27,7 +27,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as written once to the shared folder, so that numbers given to its rows stay theirs however often it is read."""
-    path = shared_path(df.sparkSession, name)
+    """df as written once to the shared folder, so that numbers given to its rows stay theirs however often it is read. The files go when the driver ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
