@@ -27,8 +27,8 @@ from lodestone.llm.common import id_field, ids, record, slices, spans_of, texts,
 from lodestone.llm.rows import member_filter, numbered, split_by
 
 WIDTH = 35
-BUCKET_BYTES, PER_TASK = 6 << 20, 8
-"""Text whose windows meet in one bucket, at most about, and buckets for each shuffle partition at least."""
+BUCKET_BYTES = 6 << 20
+"""Text whose windows meet in one bucket, about."""
 
 REQUEST = "bucket long, chunk long, hashes binary, places binary, flags binary, checks binary"
 REPLY = "chunk long, places binary, rows binary, starts binary"
@@ -54,10 +54,9 @@ def from_planes(data: bytes, kind: type) -> np.ndarray:
 
 
 def bucket_bits(docs: DataFrame, text_col: str = "text") -> int:
-    """log2 of the number of buckets: so many that each gets a bounded share of the windows, and each task several buckets."""
+    """log2 of the number of buckets: so many that each gets a bounded share of the windows."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(np.ceil(np.log2(max(32, size / BUCKET_BYTES, PER_TASK * tasks))))
+    return int(np.ceil(np.log2(max(32, size / BUCKET_BYTES))))
 
 
 def requests(rows: DataFrame, windows: Callable, bits: int, kind: type) -> DataFrame:
