@@ -42,6 +42,10 @@ def leaf(path: Column | str) -> Column:
     return F.substring_index(F.regexp_replace(col(path), r"(\[[^\]]*\])+$", ""), ".", -1)
 
 
+def leaf_of(path: str) -> str:
+    return re.sub(r"(\[[^\]]*\])+$", "", path).rsplit(".", 1)[-1]
+
+
 def shape(path: Column | str) -> Column:
     """The path with every index emptied: a[7].b becomes a[].b."""
     return F.regexp_replace(col(path), r"\[[^\]]*\]", "[]")

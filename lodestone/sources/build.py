@@ -15,6 +15,8 @@ from lodestone.model import SAME, SCHEMA_VERSION, facts_of, write_table
 
 SHARED_LEAST = 8
 """Entities that must have a value before it can count as shared by their type."""
+SHARED_BUCKETS = 256
+"""Hashes by which a path's values are counted to find those that most entities may have."""
 
 DEF_COLUMNS = (("def_name", True), ("label", False), ("description", False), ("translated", False))
 KEYED_COLUMNS = (("key", True), ("translated", False), ("original", False))
@@ -25,11 +27,25 @@ def without_noise(field_values: DataFrame) -> DataFrame:
     return field_values.where(~is_noise("path"))
 
 
+def with_folds(xml_nodes: DataFrame) -> DataFrame:
+    """xml_nodes with the folded forms of their names."""
+    return xml_nodes.withColumns({f"{c}_fold": afold(c) for c in ("name", "parent_name", "def_name")})
+
+
 def shared_values(facts: DataFrame, defs: DataFrame, least: int = SHARED_LEAST) -> DataFrame:
-    """def_type, path, value, defs: values other than defaults that most entities of a type have."""
+    """def_type, path, value, defs: values other than defaults that most entities of a type have.
+
+    A path's values are first counted by SHARED_BUCKETS hashes: a value that most entities have
+    makes its bucket as full. Entities are told apart for the values of such buckets alone, so
+    the shuffles carry a few rows for each path, and these values. A path has at most one such
+    bucket for every half of its entities, so they are few and broadcast.
+    """
     totals = defs.groupBy("def_type").agg(F.count("*").alias("n_type"))
-    found = facts.where(F.col("is_default") != SAME).groupBy("def_type", "path", "value").agg(F.countDistinct("def_id").alias("defs")).where(F.col("defs") >= least)
-    return found.join(totals, "def_type").where(2 * F.col("defs") > F.col("n_type")).select("def_type", "path", "value", "defs")
+    set_ = facts.where(F.col("is_default") != SAME).withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(SHARED_BUCKETS)))
+    full = set_.groupBy("def_type", "path", "bucket").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    full = full.join(F.broadcast(totals), "def_type").where(2 * F.col("n") > F.col("n_type")).select("def_type", "path", "bucket")
+    found = set_.join(F.broadcast(full), ["def_type", "path", "bucket"], "left_semi").groupBy("def_type", "path", "value").agg(F.countDistinct("def_id").alias("defs")).where(F.col("defs") >= least)
+    return found.join(F.broadcast(totals), "def_type").where(2 * F.col("defs") > F.col("n_type")).select("def_type", "path", "value", "defs")
 
 
 def resolve_owners(injections: DataFrame, defs: DataFrame) -> DataFrame:
@@ -111,8 +127,7 @@ def publish(meta: dict[str, str], tables: dict[str, DataFrame], path: str) -> No
     keyed = write_table(tables["keyed"].where("key <> ''"), path, "keyed")
     facts = write_table(facts_of(without_noise(tables["field_values"]), defs), path, "facts")
     write_table(shared_values(facts, defs), path, "shared_values")
-    nodes = {f"{c}_fold": afold(c) for c in ("name", "parent_name", "def_name")}
-    write_table(tables["xml_nodes"].withColumns(nodes), path, "xml_nodes")
+    write_table(with_folds(tables["xml_nodes"]), path, "xml_nodes")
     write_table(tables["mods"], path, "mods")
     index = write_table(postings(defs.join(indexed_text(defs, translations), "id", "left"), "id", DEF_COLUMNS), path, "postings")
     keyed_index = write_table(postings(keyed, "id", KEYED_COLUMNS), path, "keyed_postings")
