@@ -154,9 +154,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Candidates come in two rounds, neither of which emits the pairs of a group. First every class
     that shares a band meets the band's first class. Then, in the bands that still hold several
-    components, classes of different ones are compared inside a join that carries the full sets:
-    what leaves it are links. A band that many classes share without being linked costs
-    comparisons in proportion to its pairs, of which Spark deals a large band over several tasks.
+    components, classes of different ones are compared inside joins: the first, by sketches, leaves
+    the classes that have a near one; the second carries their full sets, and leaves links. A band
+    that many classes share without being linked costs comparisons in proportion to its pairs, of
+    which Spark deals a large band over several tasks.
     """
     return duplicates_among(numbered(docs, id_col, text_col), width, percent)
 
@@ -189,19 +190,24 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
     split = split.select("band", "size", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
     still = written(spread_join(rooted, written(split, "split"), "band", total * n_bands, "inner").where("node <> first"), "still")
-    wanted = still.select(F.col("node").alias("row")).distinct()
-    maybe = maybe_members(rows.select("row", "text"), wanted)
-    sets = full_sets(maybe.join(wanted, "row"), width).join(nodes.select(F.col("node").alias("row"), "bands", "sketch"), "row")
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
-    open_ = still.join(sets.withColumnRenamed("row", "node"), "node").select("node", "n", "band", "root", "place", "parts", "shingles", *flat)
-    # One side of a large band is dealt over parts, and the other goes to each of them.
-    one = open_.withColumn("part", F.pmod(F.hash("node"), "parts"))
-    other = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # A pair counts in its first common band only, and only a link leaves the join.
+
+    def sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """One side of a large band is dealt over parts, and the other goes to each of them."""
+        open_ = rows.join(nodes.select("node", "bands", "sketch"), "node").select("node", "n", "band", "root", "place", "parts", *columns, *flat)
+        return open_.withColumn("part", F.pmod(F.hash("node"), "parts")).alias("x"), open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+
+    # A pair counts in its first common band only. Sets travel for those entries alone that have a near one in their band by sketch; only entries, then links leave the joins.
     seen = " and ".join(f"(x.place <= {i} or x.b{i} <> y.b{i})" for i in range(n_bands))
+    pair = f"x.band = y.band and x.part = y.part and x.root <> y.root and {alike} and {near} and {seen}"
     linked = f"{100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n)"
-    more = one.alias("x").join(other.alias("y"), F.expr(f"x.band = y.band and x.part = y.part and x.root > y.root and {alike} and {near} and {seen} and {linked}"))
+    one, other = sides(still)
+    near_ones = written(one.join(other, F.expr(pair), "left_semi").select("node", "band"), "near")
+    wanted = near_ones.select(F.col("node").alias("row")).distinct()
+    sets = full_sets(maybe_members(rows.select("row", "text"), wanted).join(wanted, "row"), width)
+    one, other = sides(still.join(near_ones, ["node", "band"], "left_semi").join(sets.withColumnRenamed("row", "node"), "node"), "shingles")
+    more = one.join(other, F.expr(f"{pair} and x.root > y.root and {linked}"))
     links = links.union(written(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "links"))
     # Rows meet their component by way of their class alone, and a hot class or component is dealt over many tasks.
     placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))

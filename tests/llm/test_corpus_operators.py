@@ -232,6 +232,24 @@ def test_near_duplicates(spark, monkeypatch, width, percent, few):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(texts))}
 
 
+def test_only_near_classes_send_their_sets(spark, monkeypatch):
+    """Texts that share bands with many others, but are alike enough with few: before, all of them sent their sets."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"x{k}_{i}" if i in cut else w for i, w in enumerate(base)) for k in range(80) for cut in [set(rng.choice(300, 22, replace=False).tolist())]]
+    texts += [t + " end" for t in texts[:3]]
+    sent, whole = [], near_duplicates.full_sets
+
+    def counted(rows_, width):
+        sent.append(rows_.count())
+        return whole(rows_, width)
+
+    monkeypatch.setattr(near_duplicates, "full_sets", counted)
+    got = rows(near_duplicates.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 3, 85).select("doc_id", "component_id"))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k % 80 for k in range(83)}
+    assert sent[0] < 40
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = rows(near_duplicates.near_duplicates(odd))
     assert len(got) == len(ODD)
