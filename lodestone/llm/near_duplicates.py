@@ -140,6 +140,23 @@ def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
     return written(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def meetings(still: DataFrame, split: DataFrame, total: int) -> DataFrame:
+    """node, n, root, band, place, parts: what is to be compared with what, from the entries of split bands.
+
+    Copies of one text share most of their bands. Bands in which the same component has most
+    entries become one, with each class once, unless that makes more comparisons than they do
+    apart; any two classes of a band stay together. A band so made has a negative number, and
+    its pairs count whatever other bands they share.
+    """
+    apart = split.groupBy("top").agg(F.sum("members").alias("size"), F.sum(F.col("members").cast("double") * F.col("members")).alias("apart"))
+    once = still.select("top", "node").distinct().groupBy("top").agg(F.count("*").alias("together"))
+    merged = apart.join(once, "top").where(F.col("together").cast("double") * F.col("together") <= F.col("apart")).select("top", "together", "size")
+    flagged = spread_join(still, written(merged, "merged"), "top", total)
+    own = F.col("together").isNotNull()
+    band, place, size = F.when(own, -1 - F.col("top")).otherwise(F.col("band")), F.when(own, -1).otherwise(F.col("place")), F.coalesce("together", "members")
+    return flagged.select("node", "n", "root", band.alias("band"), place.alias("place"), F.ceil(size / TOGETHER).cast("int").alias("parts")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, root, doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -153,8 +170,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     component_id is null. An empty table gives an empty one. Other columns are not read.
 
     Candidates come in two rounds, neither of which emits the pairs of a group. First every class
-    that shares a band meets the band's first class. Then, in the bands that still hold several
-    components, classes of different ones are compared inside joins: the first, by sketches, leaves
+    that shares a band meets the band's hub, the class that meets most others over all its bands.
+    Then, in the bands that still hold several components, merged by meetings(), classes of different ones are compared inside joins: the first, by sketches, leaves
     the classes that have a near one; the second carries their full sets, and leaves links. A band
     that many classes share without being linked costs comparisons in proportion to its pairs, of
     which Spark deals a large band over several tasks.
@@ -172,8 +189,12 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     nodes = found.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
     banded = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
     n_bands = bands(percent)[0]
-    firsts = banded.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"), "size")
-    grouped = written(spread_join(banded, written(firsts, "firsts"), "band", total * n_bands, "inner"), "bands")
+    sizes = written(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    shared = written(spread_join(banded, sizes.withColumn("members", F.col("size")), "band", total * n_bands, "inner"), "shared")
+    # The class that meets most others over all its bands stands in the middle of its copies: as a band's hub it links most of them.
+    fame = shared.groupBy("node").agg(F.sum("members").alias("fame"))
+    hubs = shared.join(fame, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("fame", -F.col("node"))).alias("hub"), F.count("*").alias("size")).select("band", F.col("hub.node").alias("first"), F.col("hub.n").alias("first_n"), "size")
+    grouped = written(spread_join(shared.drop("members"), written(hubs, "hubs"), "band", total * n_bands, "inner"), "bands")
     sketch_of = written(nodes.select("node", "sketch").join(grouped.select("node").distinct(), "node"), "odd")
     alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_WORDS))
@@ -187,9 +208,11 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     links = confirm(star, rows, width, percent)
     roots = written(components(links), "roots")
     rooted = grouped.join(roots, "node", "left").select("node", "n", "band", "first", "place", F.coalesce("root", "node").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2")
-    split = split.select("band", "size", F.ceil(F.col("size") / TOGETHER).cast("int").alias("parts"))
-    still = written(spread_join(rooted, written(split, "split"), "band", total * n_bands, "inner").where("node <> first"), "still")
+    held = rooted.groupBy("band", "root").agg(F.count("*").alias("size"))
+    split = held.groupBy("band").agg(F.sum("size").alias("members"), F.max_by("root", F.struct("size", -F.col("root"))).alias("top"), F.count("*").alias("roots")).where("roots > 1 and members > 2")
+    split = written(split.select("band", "top", "members"), "split")
+    still = written(spread_join(rooted, split.withColumn("size", F.col("members")), "band", total * n_bands, "inner").where("node <> first"), "still")
+    still = written(meetings(still, split, total * n_bands), "meetings")
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
 
