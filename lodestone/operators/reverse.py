@@ -115,9 +115,14 @@ def path_exists(s: Snapshot, path: PathQuery) -> bool:
 
 
 def authored_siblings(s: Snapshot, shown: DataFrame) -> Page:
-    """The other set fields of the indexed blocks that hold the shown (def_id, path) rows, in storage order."""
+    """The other set fields of the indexed blocks that hold the shown (def_id, def_type, path) rows, in storage order.
+
+    The types of the shown rows, a few names, come first: fields of other types are not read, nor
+    what they rest on.
+    """
     blocks = shown.select("def_id", container_prefix("path").alias("block")).where("block <> ''").distinct()
-    near = s.facts.where((F.col("is_default") != SAME) & F.col("path").contains("]."))
+    kinds = [r.def_type for r in shown.where(container_prefix("path") != "").select("def_type").distinct().collect()]
+    near = s.facts.where(F.col("def_type").isin(kinds) & (F.col("is_default") != SAME) & F.col("path").contains("]."))
     # A field lies in the block of each of its indexed prefixes.
     near = near.withColumn("block", F.explode(F.transform(index_prefixes("path"), lambda p: F.concat(p, F.lit(".")))))
     near = near.join(blocks, ["def_id", "block"], "left_semi").join(shown.select("def_id", "path"), ["def_id", "path"], "left_anti")

@@ -76,3 +76,13 @@ def test_shared_values_shuffle_few_rows(spark):
 
 def test_one_snapshot_for_a_session(spark):
     assert snapshot_of(spark, SF) is snapshot_of(spark, SF)
+
+
+def test_siblings_read_the_shown_types_only(spark):
+    """Before, every set field of a list entry was multiplied by its prefixes and shuffled, whatever its type."""
+    s = TableSnapshot(spark, SF)
+    beside = reverse.authored_siblings(s, reverse.matching(s, PathQuery("stat"), "Price", exact=True)).rows
+    text = plan(beside)
+    assert "p_partkey" in text and "l_orderkey" not in text and "o_orderkey" not in text
+    assert {r.leaf for r in beside.collect()} == {"value"}
+    assert reverse.authored_siblings(s, reverse.matching(s, PathQuery("stat"), "no such value", exact=True)).rows.count() == 0
