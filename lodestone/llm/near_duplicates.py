@@ -32,6 +32,11 @@ MISS = 1e-7
 TOGETHER = 4_096
 """Classes of a band that one task compares with all others of the band."""
 
+SETS_TOGETHER = 256
+"""Classes of a band in a part; two parts' full sets are compared in one task."""
+COLUMNS_TOGETHER = 1 << 13
+"""Different shingles whose places in all sets of a task are held at once."""
+
 SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, (2, SAMPLES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -157,6 +162,67 @@ def meetings(still: DataFrame, split: DataFrame, total: int) -> DataFrame:
     return flagged.select("node", "n", "root", band.alias("band"), place.alias("place"), F.ceil(size / TOGETHER).cast("int").alias("parts")).distinct()
 
 
+def shared_counts(sets: list[np.ndarray], n_first: int) -> np.ndarray:
+    """How many hashes each of the first n_first sets has in common with each of the others."""
+    sizes = np.array([len(s) for s in sets])
+    found, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = np.cumsum(times > 1) - 1  # what only one set has is shared with none
+    own, kept = np.repeat(np.arange(len(sets)), sizes), times[place] > 1
+    own, place = own[kept], several[place[kept]]
+    order = np.argsort(place, kind="stable")
+    own, place = own[order], place[order]
+    out = np.zeros((n_first, len(sets) - n_first), np.int64)
+    for a in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS_TOGETHER):
+        i, j = np.searchsorted(place, (a, a + COLUMNS_TOGETHER))
+        has = np.zeros((len(sets), COLUMNS_TOGETHER), np.float32)
+        has[own[i:j], place[i:j] - a] = 1
+        out += (has[:n_first] @ has[n_first:].T).astype(np.int64)
+    return out
+
+
+def linked_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: the linked nodes of different roots among rows (node, n, root, band, place, bands, sketch, parts, shingles), in the first band that two share.
+
+    A band's rows are dealt by hash over its parts, and each two parts meet in one group, a tile.
+    So a task holds the sets of two parts at once, however many rows a band has, and no join has
+    a skewed key to be split by what chance has put in its files.
+    """
+    part, limit = F.pmod(F.hash("node"), F.col("parts")), most_apart(percent)
+    dealt = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.col("band").alias("of"), F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "n", "root", "place", "bands", "sketch", "shingles", "part")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        column = {name: table.column(name).to_numpy() for name in ("node", "n", "root", "place", "part")}
+        lists = lambda name: table.column(name).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        band, odd = lists("bands"), lists("sketch")
+        first = np.flatnonzero(column["part"] == low)
+        second = first if low == high else np.flatnonzero(column["part"] == high)
+        x, y = first[:, None], second[None, :]
+        n, root, place = column["n"], column["root"], int(column["place"][0])
+        open_ = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        if low == high:
+            open_ &= x < y
+        apart = np.zeros(open_.shape, np.int64)
+        for k in range(odd.shape[1]):
+            apart += np.bitwise_count(odd[x, k].view(np.uint64) ^ odd[y, k].view(np.uint64))
+        open_ &= apart <= limit
+        for k in range(place):
+            open_ &= band[x, k] != band[y, k]
+        one, other = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        a = b = np.empty(0, np.int64)
+        if len(one):
+            ends = table.column("shingles").combine_chunks()
+            sets = [ends[int(k)].values.to_numpy() for k in (*first[one], *second[other])]
+            both = n[first[one]][:, None] + n[second[other]][None, :]
+            linked = open_[np.ix_(one, other)] & ((100 + percent) * shared_counts(sets, len(one)) >= percent * both)
+            i, j = np.nonzero(linked)
+            a, b = column["node"][first[one[i]]], column["node"][second[other[j]]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("of", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, root, doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -171,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Candidates come in two rounds, neither of which emits the pairs of a group. First every class
     that shares a band meets the band's hub, the class that meets most others over all its bands.
-    Then, in the bands that still hold several components, merged by meetings(), classes of different ones are compared inside joins: the first, by sketches, leaves
-    the classes that have a near one; the second carries their full sets, and leaves links. A band
+    Then, in the bands that still hold several components, merged by meetings(), classes of different ones are compared inside groups: the first step, a join by sketches, leaves
+    the classes that have a near one; the second carries their full sets to tiles of their bands, and leaves links. A band
     that many classes share without being linked costs comparisons in proportion to its pairs, of
     which Spark deals a large band over several tasks.
     """
@@ -216,22 +282,23 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
 
-    def sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One side of a large band is dealt over parts, and the other goes to each of them."""
-        open_ = rows.join(nodes.select("node", "bands", "sketch"), "node").select("node", "n", "band", "root", "place", "parts", *columns, *flat)
+        open_ = rows.join(nodes.select("node", "bands", "sketch"), "node").select("node", "n", "band", "root", "place", "parts", *flat)
         return open_.withColumn("part", F.pmod(F.hash("node"), "parts")).alias("x"), open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
 
     # A pair counts in its first common band only. Sets travel for those entries alone that have a near one in their band by sketch; only entries, then links leave the joins.
     seen = " and ".join(f"(x.place <= {i} or x.b{i} <> y.b{i})" for i in range(n_bands))
     pair = f"x.band = y.band and x.part = y.part and x.root <> y.root and {alike} and {near} and {seen}"
-    linked = f"{100 + percent} * size(array_intersect(x.shingles, y.shingles)) >= {percent} * (x.n + y.n)"
     one, other = sides(still)
     near_ones = written(one.join(other, F.expr(pair), "left_semi").select("node", "band"), "near")
     wanted = near_ones.select(F.col("node").alias("row")).distinct()
     sets = full_sets(maybe_members(rows.select("row", "text"), wanted).join(wanted, "row"), width)
-    one, other = sides(still.join(near_ones, ["node", "band"], "left_semi").join(sets.withColumnRenamed("row", "node"), "node"), "shingles")
-    more = one.join(other, F.expr(f"{pair} and x.root > y.root and {linked}"))
-    links = links.union(written(more.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "links"))
+    # The near ones of a band are counted anew: full sets cost more than sketches, so fewer of them make a tile.
+    each = near_ones.groupBy("band").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / SETS_TOGETHER).cast("int"))
+    near_ones = spread_join(near_ones, each, "band", total * n_bands, "inner")
+    open_ = still.drop("parts").join(near_ones, ["node", "band"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets.withColumnRenamed("row", "node"), "node")
+    links = links.union(written(linked_in_tiles(open_, percent), "links"))
     # Rows meet their component by way of their class alone, and a hot class or component is dealt over many tasks.
     placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed, "placed")

@@ -100,16 +100,44 @@ def maybe_members(rows: DataFrame, members: DataFrame, column: str = "row") -> D
     return split_by(rows, member_filter(members, column), column)[0]
 
 
+FEW_LINKS = 1 << 18
+"""Links whose components one task finds (4 MB of numbers); more are taken in steps over the cluster."""
+
+
+def components_at_once(edges: DataFrame) -> DataFrame:
+    """components() of at most FEW_LINKS different edges (u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = top(u), top(v)
+                above[max(u, v)] = min(u, v)
+        if above:
+            yield pa.RecordBatch.from_pydict({"node": pa.array(list(above), pa.int64()), "root": pa.array(map(top, list(above)), pa.int64())})
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: every node of the links (a, b), with the smallest node that it can reach.
 
-    Alternating large and small stars: each step hangs nodes under smaller ones, in joins and
-    aggregations on nodes alone, until nothing changes; the number of steps grows with the
-    logarithm of a component's size. Each step is cut from its lineage in the shared folder.
+    Up to FEW_LINKS, which is counted, one task finds them. Beyond, alternating large and small
+    stars: each step hangs nodes under smaller ones, in joins and aggregations on nodes alone,
+    until nothing changes; the number of steps grows with the logarithm of a component's size.
+    Each step is cut from its lineage in the shared folder.
     """
     shared_dir(links.sparkSession)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     state, total = None, edges.count()
+    if total <= FEW_LINKS:
+        return components_at_once(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("size"))

@@ -6,6 +6,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from lodestone.llm import near_duplicates as nd
+from lodestone.llm import rows
 
 
 def pairs_of(rows):
@@ -60,3 +61,35 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 3, 85).collect()}
     assert got == dict(enumerate(least)) and len(set(least)) > 1 and least[60] == 0
     assert 0 < seen["meetings"] <= 2 * len(texts) < seen["still"]
+
+
+def test_tiles_find_every_link_once(spark, monkeypatch):
+    """Before, full sets met in a join with one key for each band, which Spark split by its files on both sides: tasks grew with the square of a band."""
+    rng = random.Random(3)
+    monkeypatch.setattr(nd, "SETS_TOGETHER", 4)
+    monkeypatch.setattr(nd, "COLUMNS_TOGETHER", 16)
+    n_bands, size = nd.bands(85)
+    base = sorted(rng.sample(range(10**9), 60))
+    rows, sets = [], {}
+    for node in range(30):
+        s = nd.np.unique(nd.np.array(base[: 60 - rng.randrange(4)] + rng.sample(range(10**9), rng.randrange(8)), nd.np.uint64))
+        band, odd = nd.sketch(s, n_bands, size)
+        sets[node] = set(s.tolist())
+        rows.append((node, len(s), node % 7, 5, -1, band, nd.np.frombuffer(odd, nd.np.int64).tolist(), 8, s.view(nd.np.int64).tolist()))
+    df = spark.createDataFrame(rows, "node long, n long, root long, band long, place int, bands array<long>, sketch array<long>, parts int, shingles array<long>")
+    got = [tuple(sorted((r.a, r.b))) for r in nd.linked_in_tiles(df, 85).collect()]
+    want = {(a, b) for a, b in combinations(range(30), 2) if a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 30 * 29 / 2
+    assert "SortMergeJoin" not in nd.linked_in_tiles(df, 85)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_links_take_one_step(spark, monkeypatch):
+    """Before, a chain took as many rounds of jobs as its length needs."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(1000, 999), (5, 5), (7, 6)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    few = {tuple(r) for r in rows.components(links).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("", "")
+    assert few == {(k, 0) for k in range(41)} | {(999, 999), (1000, 999)} and jobs <= 6
+    monkeypatch.setattr(rows, "FEW_LINKS", 0)
+    assert {tuple(r) for r in rows.components(links).collect()} == few
