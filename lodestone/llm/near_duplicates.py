@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER_AZ, bounded_batches, forget, id_field, ids, mix, record, slices, texts, window_hashes, word_hashes, written
-from lodestone.llm.rows import components, free_name, maybe_members, numbered, spread_join, with_row
+from lodestone.llm.rows import components, free_name, maybe_members, numbered, spread_join, with_row, without_members
 
 WIDTH, PERCENT = 5, 80
 """Words of a shingle, and the least similarity, unless a caller says otherwise."""
@@ -252,16 +252,19 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     kind, total = id_field(rows, "doc_id"), found.count()
     classes = found.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.count("*").alias("size"))
     classes = written(classes, "classes")
-    nodes = found.join(classes.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "bands", "sketch")
+    # Bands and sketches are most of what is kept of a row, so they are not shuffled to tell a class's first row from its copies, nor to be asked for by a few.
+    worded = found.where("key is not null")
+    copies = worded.select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti")
+    nodes = without_members(worded, copies).select(F.col("row").alias("node"), "n", "bands", "sketch")
     banded = nodes.select("node", "n", F.posexplode("bands").alias("place", "band"))
     n_bands = bands(percent)[0]
     sizes = written(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    shared = written(spread_join(banded, sizes.withColumn("members", F.col("size")), "band", total * n_bands, "inner"), "shared")
+    shared = written(spread_join(maybe_members(banded, sizes, "band"), sizes.withColumn("members", F.col("size")), "band", total * n_bands, "inner"), "shared")
     # The class that meets most others over all its bands stands in the middle of its copies: as a band's hub it links most of them.
     fame = shared.groupBy("node").agg(F.sum("members").alias("fame"))
     hubs = shared.join(fame, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("fame", -F.col("node"))).alias("hub"), F.count("*").alias("size")).select("band", F.col("hub.node").alias("first"), F.col("hub.n").alias("first_n"), "size")
     grouped = written(spread_join(shared.drop("members"), written(hubs, "hubs"), "band", total * n_bands, "inner"), "bands")
-    sketch_of = written(nodes.select("node", "sketch").join(grouped.select("node").distinct(), "node"), "odd")
+    sketch_of = written(maybe_members(nodes.select("node", "sketch"), grouped.select("node").distinct(), "node"), "odd")
     alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     apart = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(SKETCH_WORDS))
     near = f"{apart} <= {most_apart(percent)}"
@@ -279,12 +282,13 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     split = written(split.select("band", "top", "members"), "split")
     still = written(spread_join(rooted, split.withColumn("size", F.col("members")), "band", total * n_bands, "inner").where("node <> first"), "still")
     still = written(meetings(still, split, total * n_bands), "meetings")
+    open_nodes = written(maybe_members(nodes.select("node", "bands", "sketch"), still.select("node").distinct(), "node"), "open")
     # Plain columns keep the join's condition small enough to be compiled.
     flat = [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{name[0]}{i}") for name, n in (("sketch", SKETCH_WORDS), ("bands", n_bands)) for i in range(n)]
 
     def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """One side of a large band is dealt over parts, and the other goes to each of them."""
-        open_ = rows.join(nodes.select("node", "bands", "sketch"), "node").select("node", "n", "band", "root", "place", "parts", *flat)
+        open_ = rows.join(open_nodes, "node").select("node", "n", "band", "root", "place", "parts", *flat)
         return open_.withColumn("part", F.pmod(F.hash("node"), "parts")).alias("x"), open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
 
     # A pair counts in its first common band only. Sets travel for those entries alone that have a near one in their band by sketch; only entries, then links leave the joins.
@@ -297,7 +301,7 @@ def duplicates_among(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT
     # The near ones of a band are counted anew: full sets cost more than sketches, so fewer of them make a tile.
     each = near_ones.groupBy("band").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / SETS_TOGETHER).cast("int"))
     near_ones = spread_join(near_ones, each, "band", total * n_bands, "inner")
-    open_ = still.drop("parts").join(near_ones, ["node", "band"]).join(nodes.select("node", "bands", "sketch"), "node").join(sets.withColumnRenamed("row", "node"), "node")
+    open_ = still.drop("parts").join(near_ones, ["node", "band"]).join(open_nodes, "node").join(sets.withColumnRenamed("row", "node"), "node")
     links = links.union(written(linked_in_tiles(open_, percent), "links"))
     # Rows meet their component by way of their class alone, and a hot class or component is dealt over many tasks.
     placed = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))

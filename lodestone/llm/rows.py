@@ -100,6 +100,15 @@ def maybe_members(rows: DataFrame, members: DataFrame, column: str = "row") -> D
     return split_by(rows, member_filter(members, column), column)[0]
 
 
+def without_members(rows: DataFrame, members: DataFrame, column: str = "row") -> DataFrame:
+    """The rows that are no members, exactly: few members, which is counted, are broadcast; else the rows that the filter can't tell are joined, and no others are shuffled."""
+    members = written(members.select(column), "members")
+    if members.count() <= FEW:
+        return rows.join(F.broadcast(members), column, "left_anti")
+    maybe, others = split_by(rows, member_filter(members, column), column)
+    return others.unionAll(maybe.join(members, column, "left_anti").select(*rows.columns))
+
+
 FEW_LINKS = 1 << 18
 """Links whose components one task finds (4 MB of numbers); more are taken in steps over the cluster."""
 

@@ -93,3 +93,32 @@ def test_few_links_take_one_step(spark, monkeypatch):
     assert few == {(k, 0) for k in range(41)} | {(999, 999), (1000, 999)} and jobs <= 6
     monkeypatch.setattr(rows, "FEW_LINKS", 0)
     assert {tuple(r) for r in rows.components(links).collect()} == few
+
+
+def test_bands_and_sketches_stay_where_they_are(spark):
+    """Before, five joins shuffled the bands or sketches of all rows, and one their entries in all bands: 20.1 MB here."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6_000)]
+    texts += texts[:300] + [t + " more" for t in texts[:300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    try:
+        before = shuffled()
+        out = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 3, 85).collect()}
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert out == {i: i if i < 6_000 else (i - 6_000) % 300 for i in range(6_600)}
+    assert moved < 7_000_000, moved
+
+
+def test_without_members_is_exact(spark, monkeypatch):
+    df = spark.range(3_000).selectExpr("id as row", "array(id, 7) as bands")
+    members = spark.range(0, 3_000, 3).toDF("row")
+    want = [k for k in range(3_000) if k % 3]
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(rows, "FEW", few)
+        monkeypatch.setattr(rows, "FILTER_BITS", 26 if few else 8)  # a filter that takes many others for members
+        assert sorted(r.row for r in rows.without_members(df, members).collect()) == want
