@@ -11,6 +11,7 @@ from lodestone.model import SAME, Snapshot
 from lodestone.operators.paging import Page
 from lodestone.plans.predicates import PathQuery, ValueMatch, any_contains, class_condition, type_condition, value_condition
 from lodestone.plans.scope import Scope, scoped
+from lodestone.shared import shared_path
 
 SUGGESTIONS, SHAPES = 3, 6
 """Shapes that value_elsewhere shows, and how many at most if the last ties."""
@@ -84,17 +85,21 @@ def value_elsewhere(s: Snapshot, own: PathQuery, value: str, match: ValueMatch =
 
     Shapes come by the sum of their paths' entities. SUGGESTIONS are shown; more, up to SHAPES,
     while they tie with the last; and if one is left over, it too. defs counts a shape's
-    entities exactly; others is the number of all such shapes.
+    entities exactly; others is the number of all such shapes. The path's own types, a few names,
+    and shapes are found first: fields of other types are not read, nor what they rest on.
     """
     hits = scoped(s.facts, scope).where(value_condition(value, match))
-    mine = hits.where(own.condition())
-    others = hits.join(mine.select("def_type").distinct(), "def_type", "left_semi").join(mine.select("shape").distinct(), "shape", "left_anti")
-    by_path = others.groupBy("shape", "path").agg(F.countDistinct("def_id").alias("n")).groupBy("shape").agg(F.sum("n").alias("rough"))
-    exact = others.groupBy("shape").agg(F.countDistinct("def_id").alias("defs"))
+    shared_path(s.spark, "own")  # sets the checkpoint folder
+    own_shapes = hits.where(own.condition()).select("def_type", "shape").distinct().checkpoint()
+    kinds = [r.def_type for r in own_shapes.select("def_type").distinct().collect()]
+    others = hits.where(F.col("def_type").isin(kinds)).join(own_shapes.select("shape").distinct(), "shape", "left_anti")
+    # An entity's paths of a shape are counted in one place, so a shape's entities and the sum of its paths' come from one reading.
+    each = others.where("shape is not null").groupBy("shape", "def_id").agg(F.countDistinct("path").alias("paths"))
+    shapes = each.groupBy("shape").agg(F.sum("paths").alias("rough"), F.count("*").alias("defs"))
     # One row for each shape of one value; the ranking needs them in one place.
     order = Window.orderBy(F.desc("rough"), "shape")
     everything = Window.partitionBy(F.lit(0))
-    ranked = by_path.join(exact, "shape").withColumn("rank", F.row_number().over(order)).withColumn("others", F.count("*").over(everything))
+    ranked = shapes.withColumn("rank", F.row_number().over(order)).withColumn("others", F.count("*").over(everything))
     bound = F.max(F.when(F.col("rank") == SUGGESTIONS, F.col("rough"))).over(everything)
     ranked = ranked.withColumn("take", F.max(F.when((F.col("rank") <= SUGGESTIONS) | ((F.col("rank") <= SHAPES) & (F.col("rough") == bound)), F.col("rank"))).over(everything))
     shown = (F.col("rank") <= F.col("take")) | (F.col("others") == F.col("take") + 1)

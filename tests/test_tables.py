@@ -86,3 +86,13 @@ def test_siblings_read_the_shown_types_only(spark):
     assert "p_partkey" in text and "l_orderkey" not in text and "o_orderkey" not in text
     assert {r.leaf for r in beside.collect()} == {"value"}
     assert reverse.authored_siblings(s, reverse.matching(s, PathQuery("stat"), "no such value", exact=True)).rows.count() == 0
+
+
+def test_value_elsewhere_reads_the_own_types_once(spark):
+    """Before, the facts stood six times in the plan, with those of all other types."""
+    s = TableSnapshot(spark, SF)
+    found = reverse.value_elsewhere(s, PathQuery("quantity"), "5")
+    text = plan(found)
+    assert text.count("row_number() windowspecdefinition(def_id") <= 1 and text.count("l_orderkey") and "p_partkey" not in text and "event_id" not in text
+    assert found.count()
+    assert reverse.value_elsewhere(s, PathQuery("quantity"), "no such value").count() == 0
